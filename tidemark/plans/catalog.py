@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import marts, serve, shape
-from tidemark.sources import mapping
+from tidemark import schemas
+from tidemark.functions import exact
+from tidemark.operators import discovery, extras, ingest, marts, quality, serve, shape, stage, text
+from tidemark.plans import build
+from tidemark.session import scratch_dir
+from tidemark.sources import landing, mapping
+from tidemark.streaming import discoveries as stream_discovery
+from tidemark.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,7 +122,7 @@ def _companies(spark, sf_dir):
 
 @query
 def demand_top(spark, sf_dir):
-    return serve.demand_top(_demand(spark, sf_dir), role="BUILDING", country="FRANCE")
+    return serve.demand_top(_demand(spark, sf_dir), role="BUILDING", country="NATION_6")
 
 
 @query
@@ -156,7 +163,7 @@ def skill_by_country(spark, sf_dir):
 
 @query
 def salary_skills(spark, sf_dir):
-    return serve.salary_skills(_pay(spark, sf_dir), role="BUILDING", country="FRANCE")
+    return serve.salary_skills(_pay(spark, sf_dir), role="BUILDING", country="NATION_6")
 
 
 @query
@@ -171,7 +178,7 @@ def top_paying_skills(spark, sf_dir):
 
 @query
 def premium_skills(spark, sf_dir):
-    return serve.premium_skills(_pay(spark, sf_dir), role="BUILDING", country="FRANCE")
+    return serve.premium_skills(_pay(spark, sf_dir), role="BUILDING", country="NATION_6")
 
 
 @query
@@ -191,7 +198,7 @@ def skills_list(spark, sf_dir):
 
 @query
 def leaderboard_top(spark, sf_dir):
-    return serve.leaderboard_top(_companies(spark, sf_dir), role="BUILDING", country="FRANCE")
+    return serve.leaderboard_top(_companies(spark, sf_dir), role="BUILDING", country="NATION_6")
 
 
 @query
@@ -216,12 +223,12 @@ def role_pairs(spark, sf_dir):
 
 @query
 def role_transitions(spark, sf_dir):
-    return joined_list(serve.role_transitions(_similarity(spark, sf_dir), role="FRANCE"), "shared_skill_list")
+    return joined_list(serve.role_transitions(_similarity(spark, sf_dir), role="NATION_6"), "shared_skill_list")
 
 
 @query
 def similarity_matrix(spark, sf_dir):
-    return serve.similarity_matrix(_similarity(spark, sf_dir), roles=["FRANCE", "GERMANY", "INDIA", "JAPAN"])
+    return serve.similarity_matrix(_similarity(spark, sf_dir), roles=["NATION_6", "NATION_7", "NATION_8", "NATION_9"])
 
 
 @query
@@ -236,7 +243,7 @@ def skill_gap(spark, sf_dir):
         F.count(F.lit(1)).alias("job_count")
     )
     known = marts.role_skills(enr, min_jobs=40)
-    return serve.skill_gap(demand, known, _similarity(spark, sf_dir), from_role="GERMANY", to_role="FRANCE")
+    return serve.skill_gap(demand, known, _similarity(spark, sf_dir), from_role="NATION_7", to_role="NATION_6")
 
 
 @query
@@ -286,3 +293,510 @@ def contract_share(spark, sf_dir):
 def headline(spark, sf_dir):
     first = shape.headline(_pay(spark, sf_dir), measure="avg_salary_with_skill", ties=SEGMENT_TIES)
     return first.select(*SEGMENT_TIES, "avg_salary_with_skill")
+
+
+# --- ingest -----------------------------------------------------------------------------------
+
+AS_OF = date(2024, 1, 1)
+AS_OF_TIME = datetime(2024, 1, 1, 12)
+
+
+def _event_rows(spark, sf_dir):
+    """Events as landed rows: a user is found under an event type, often more than once."""
+    return mapping.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_platform_id"),
+        F.col("event_type").alias("country_code"),
+        F.col("event_id").alias("search_role"),
+        F.col("ts").alias("extracted_at"),
+        F.concat(F.lit("batch-"), "event_type").alias("extraction_batch_id"),
+        "value",
+    )
+
+
+def _fresh_events(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir)
+    landed = rows.filter(F.col("value") > 95).select("job_platform_id", "country_code").distinct()
+    return ingest.dedup_first_wins(rows, landed)
+
+
+def _landing_folder(spark, sf_dir):
+    """Mapping A written as result pages in a new shared folder."""
+    folder = scratch_dir(spark, "landing")
+    mapping.write_pages(mapping.jobs(spark, sf_dir), folder)
+    return folder
+
+
+def _landed(spark, sf_dir):
+    return landing.land_postings(spark, _landing_folder(spark, sf_dir), batch_id="batch-1", as_of=AS_OF_TIME)
+
+
+@query
+def land_postings(spark, sf_dir):
+    title = F.get_json_object("raw_data", "$.title").alias("title")
+    return _landed(spark, sf_dir).select("job_platform_id", "search_role", "country_code", "extraction_batch_id", title)
+
+
+@query
+def dedup_first_wins(spark, sf_dir):
+    return _fresh_events(spark, sf_dir)
+
+
+@query
+def active_grid(spark, sf_dir):
+    """Postings in every cell of the role and country grid."""
+    grid = ingest.active_grid(roles(spark, sf_dir), countries(spark, sf_dir))
+    counted = mapping.jobs(spark, sf_dir).groupBy("search_role", "country_code").agg(F.count(F.lit(1)).alias("n"))
+    cells = grid.join(counted, ["search_role", "country_code"], "left")
+    return cells.withColumn("postings", F.coalesce("n", F.lit(0).cast("bigint"))).drop("n")
+
+
+@query
+def in_grid(spark, sf_dir):
+    grid = ingest.active_grid(roles(spark, sf_dir), countries(spark, sf_dir), role="BUILDING", country="NATION_6")
+    return ingest.in_grid(mapping.jobs(spark, sf_dir), grid).select("job_id", "search_role", "country_code")
+
+
+@query
+def recent_postings(spark, sf_dir):
+    recent = ingest.recent_postings(mapping.jobs(spark, sf_dir), as_of=date(1998, 8, 2), months=6)
+    return recent.select("job_id", "search_role", "country_code", "job_posted_at")
+
+
+@query
+def batch_stats(spark, sf_dir):
+    return ingest.batch_stats(_event_rows(spark, sf_dir), _fresh_events(spark, sf_dir))
+
+
+def _brand_taxonomy(spark, sf_dir):
+    """Brands as taxonomy entries, with the names of their parts as aliases."""
+    number = F.substring("p_brand", 7, 10).cast("int")
+    return (
+        mapping.table(spark, sf_dir, "part")
+        .groupBy("p_brand")
+        .agg(F.collect_set("p_name").alias("aliases"))
+        .select(
+            F.col("p_brand").alias("name"),
+            F.when(number % 5 != 0, F.concat(F.lit("group "), (number % 5).cast("string"))).alias("category"),
+            F.when(number % 3 != 0, F.lit("kind")).alias("subcategory"),
+            F.when(number % 4 != 0, F.col("aliases")).alias("aliases"),
+        )
+    )
+
+
+@query
+def taxonomy_terms(spark, sf_dir):
+    return text.taxonomy_terms(_brand_taxonomy(spark, sf_dir))
+
+
+@query
+def seed_dims(spark, sf_dir):
+    known = countries(spark, sf_dir).filter(F.col("country_name").contains("AFRICA"))
+    seeds = countries(spark, sf_dir).withColumn("country_name", F.concat(F.lit("seed "), "country_name"))
+    return ingest.seed_dims(known, seeds, key="country_code")
+
+
+@query
+def unprocessed(spark, sf_dir):
+    raw = mapping.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("extracted_at")
+    )
+    staged = mapping.table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    return ingest.unprocessed(raw, staged.select(F.col("l_orderkey").alias("raw_job_id")))
+
+
+# --- staging ----------------------------------------------------------------------------------
+
+STAGED = [
+    "job_platform_id",
+    "search_role",
+    "country_code",
+    "title",
+    "company_name",
+    "description",
+    "location_display",
+    "location_areas",
+    "category_tag",
+    "category_label",
+    "salary_min",
+    "salary_max",
+    "salary_is_predicted",
+    "salary_currency",
+    "contract_type",
+    "contract_time",
+    "redirect_url",
+    "job_posted_at",
+]
+
+
+def _shown(jobs):
+    money = {c: F.col(c).cast("double") for c in ("salary_min", "salary_max")}
+    return joined_list(jobs.select(*STAGED), "location_areas").withColumns(money)
+
+
+@query
+def flatten_posting(spark, sf_dir):
+    raw = ingest.dedup_first_wins(_landed(spark, sf_dir), None)
+    return _shown(stage.flatten_posting(raw)[0])
+
+
+@query
+def posting_quarantine(spark, sf_dir):
+    """Pages as payloads: the HTML ones are no JSON objects, those in an envelope are."""
+    body = F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct(F.col("page_id").alias("id")))).otherwise(F.col("html"))
+    raw = mapping.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"),
+        F.col("url").alias("job_platform_id"),
+        F.lit("page").alias("search_role"),
+        F.lit("us").alias("country_code"),
+        body.alias("raw_data"),
+        F.lit(AS_OF_TIME).cast("timestamp_ntz").alias("extracted_at"),
+    )
+    return stage.flatten_posting(raw)[1].select("id", "job_platform_id", "parse_error")
+
+
+@query
+def currency_by_region(spark, sf_dir):
+    docs = mapping.documents(spark, sf_dir).select("job_id", "country_code")
+    return stage.currency_by_region(docs)
+
+
+@query
+def value_midpoint(spark, sf_dir):
+    middle = exact.value_midpoint(F.col("salary_min"), F.col("salary_max")).cast("double")
+    return mapping.jobs(spark, sf_dir).select("job_id", middle.alias("salary_midpoint"))
+
+
+@query
+def region_names(spark, sf_dir):
+    asked = mapping.documents(spark, sf_dir).groupBy("country_code").agg(F.count(F.lit(1)).alias("postings"))
+    return serve.region_names(asked, schemas.countries(spark))
+
+
+@query
+def upsert_stage(spark, sf_dir):
+    jobs = mapping.jobs(spark, sf_dir).select(
+        "job_platform_id",
+        "country_code",
+        "search_role",
+        "title",
+        F.col("job_posted_at").alias("extracted_at"),
+        F.col("job_posted_at").alias("processed_at"),
+    )
+    old = jobs.filter(F.col("extracted_at") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    new = jobs.filter(F.col("extracted_at") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    new = new.withColumns({"title": F.concat("title", F.lit(" again")), "processed_at": F.lit(AS_OF_TIME).cast("timestamp_ntz")})
+    return stage.upsert_stage(old, new, as_of=AS_OF_TIME)
+
+
+def _line_tags(spark, sf_dir, lines, stamp):
+    part = mapping.table(spark, sf_dir, "part").select(
+        "p_partkey", F.substring("p_brand", 7, 10).cast("bigint").alias("skill_id"), F.col("p_brand").alias("skill_name")
+    )
+    return (
+        mapping.table(spark, sf_dir, "lineitem")
+        .filter(lines)
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_orderkey").alias("job_id"), "skill_id", "skill_name")
+        .agg(F.sum("l_linenumber").alias("mention_count"), F.lit(stamp).cast("timestamp_ntz").alias("extracted_at"))
+    )
+
+
+@query
+def upsert_tags(spark, sf_dir):
+    old = _line_tags(spark, sf_dir, F.col("l_linenumber") <= 3, datetime(2023, 1, 1))
+    new = _line_tags(spark, sf_dir, F.col("l_linenumber") >= 3, datetime(2024, 1, 1))
+    return stage.upsert_tags(old, new)
+
+
+@query
+def snapshot_demand(spark, sf_dir):
+    return stage.snapshot_demand(_demand(spark, sf_dir), as_of=AS_OF)
+
+
+def _found_tags(spark, sf_dir):
+    part = mapping.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    found = (
+        mapping.table(spark, sf_dir, "lineitem")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_orderkey").alias("job_id"), F.col("p_brand").alias("skill_name"))
+        .agg(F.min("p_type").alias("category"), F.count(F.lit(1)).alias("mention_count"))
+        .withColumn("subcategory", F.lit(""))
+    )
+    known = mapping.skills(spark, sf_dir).filter(F.col("skill_id") <= 15)
+    return stage.assign_tag_ids(found, known)
+
+
+@query
+def assign_tag_ids(spark, sf_dir):
+    """Facts with their ids, where a new id shows as 0."""
+    facts, _ = _found_tags(spark, sf_dir)
+    old = F.when(F.col("skill_id") == F.xxhash64("skill_name"), F.lit(0).cast("bigint")).otherwise(F.col("skill_id"))
+    return facts.select("job_id", "skill_name", "category", "mention_count", old.alias("skill_id"))
+
+
+@query
+def assign_tag_ids_dim(spark, sf_dir):
+    _, dim = _found_tags(spark, sf_dir)
+    old = F.when(F.col("skill_id") == F.xxhash64("skill_name"), F.lit(0).cast("bigint")).otherwise(F.col("skill_id"))
+    return dim.withColumn("skill_id", old)
+
+
+@query
+def rebuild(spark, sf_dir):
+    """Skills of all postings staged anew, by the posting's platform id."""
+    tables = stage.rebuild(mapping.document_postings(spark, sf_dir), mapping.taxonomy(spark), as_of=AS_OF_TIME)
+    ids = tables["stg_jobs"].select("job_id", F.col("job_platform_id").cast("bigint").alias("posting"))
+    skills = tables["stg_job_skills"].filter("verified").join(ids, "job_id")
+    return skills.select(F.col("posting").alias("job_id"), "skill_name", "mention_count", "extraction_method")
+
+
+@query
+def layer_counts(spark, sf_dir):
+    return stage.layer_counts(
+        {
+            "raw.jobs": mapping.table(spark, sf_dir, "orders"),
+            "staging.stg_jobs": mapping.jobs(spark, sf_dir),
+            "staging.stg_job_skills": mapping.job_skills(spark, sf_dir),
+            "staging.dim_skills": mapping.skills(spark, sf_dir),
+            "staging.dim_job_roles": roles(spark, sf_dir),
+            "staging.dim_countries": countries(spark, sf_dir),
+        }
+    )
+
+
+@query
+def progress(spark, sf_dir):
+    raw, staged = mapping.table(spark, sf_dir, "customer"), mapping.table(spark, sf_dir, "orders")
+    served = staged.select("o_custkey").distinct()
+    return stage.progress(raw, served, mapping.job_skills(spark, sf_dir))
+
+
+# --- text -------------------------------------------------------------------------------------
+
+
+def _terms(spark):
+    return text.taxonomy_terms(mapping.taxonomy(spark))
+
+
+def _found(spark, sf_dir):
+    return text.extract_terms(mapping.documents(spark, sf_dir), _terms(spark))
+
+
+@query
+def compile_terms(spark, sf_dir):
+    terms = text.taxonomy_terms(_brand_taxonomy(spark, sf_dir))
+    return text.compile_terms(terms).select("term", "canonical", "pattern", "kind", "anchor")
+
+
+@query
+def extract_terms(spark, sf_dir):
+    return _found(spark, sf_dir)
+
+
+@query
+def extract_terms_basic(spark, sf_dir):
+    return text.extract_terms(mapping.documents(spark, sf_dir), _terms(spark), special="basic")
+
+
+@query
+def term_coverage(spark, sf_dir):
+    coverage = text.term_coverage(mapping.documents(spark, sf_dir), _found(spark, sf_dir))
+    return joined_list(coverage, "unmatched_potential_terms")
+
+
+def _routed(spark, sf_dir):
+    return text.route_docs(mapping.documents(spark, sf_dir), _found(spark, sf_dir))
+
+
+@query
+def route_docs(spark, sf_dir):
+    return _routed(spark, sf_dir)
+
+
+@query
+def candidate_terms(spark, sf_dir):
+    return text.candidate_terms(mapping.documents(spark, sf_dir))
+
+
+def _graded(spark, sf_dir):
+    """Candidates with labels and scores that vary with their length."""
+    size = F.length("text")
+    label = F.when(size % 3 == 0, "database").when(size % 3 == 1, "etl tool").otherwise("other")
+    cands = text.candidate_terms(mapping.documents(spark, sf_dir))
+    return cands.withColumns({"label": label, "score": F.least(F.lit(10), size) / F.lit(10.0)})
+
+
+@query
+def clean_candidates(spark, sf_dir):
+    return text.clean_candidates(_graded(spark, sf_dir))
+
+
+def _verified(spark, sf_dir):
+    cleaned = text.clean_candidates(text.candidate_terms(mapping.documents(spark, sf_dir)))
+    return text.verify_candidates(cleaned, _terms(spark))
+
+
+@query
+def verify_candidates(spark, sf_dir):
+    return _verified(spark, sf_dir)
+
+
+@query
+def merge_terms(spark, sf_dir):
+    return text.merge_terms(_found(spark, sf_dir), _verified(spark, sf_dir))[0]
+
+
+@query
+def merge_terms_new(spark, sf_dir):
+    return text.merge_terms(_found(spark, sf_dir), _verified(spark, sf_dir))[1]
+
+
+def _hybrid(spark, sf_dir):
+    return text.hybrid_extract(mapping.documents(spark, sf_dir), _terms(spark))
+
+
+@query
+def hybrid_extract(spark, sf_dir):
+    return _hybrid(spark, sf_dir)[0]
+
+
+@query
+def hybrid_extract_new(spark, sf_dir):
+    return _hybrid(spark, sf_dir)[1]
+
+
+@query
+def extraction_stats(spark, sf_dir):
+    return text.extraction_stats(_routed(spark, sf_dir), _hybrid(spark, sf_dir)[0])
+
+
+# --- discovery --------------------------------------------------------------------------------
+
+
+def _discoveries(spark, sf_dir):
+    docs = mapping.documents(spark, sf_dir).select("job_id", "context", "seen_at")
+    return discovery.discoveries(_hybrid(spark, sf_dir)[1].join(docs, "job_id"))
+
+
+@query
+def discoveries(spark, sf_dir):
+    return joined_list(_discoveries(spark, sf_dir), "sample_contexts")
+
+
+@query
+def promotion_candidates(spark, sf_dir):
+    return joined_list(discovery.promotion_candidates(_discoveries(spark, sf_dir)), "sample_contexts")
+
+
+def _promoted(spark, sf_dir):
+    fit = discovery.promotion_candidates(_discoveries(spark, sf_dir))
+    return discovery.promote_terms(mapping.taxonomy(spark), mapping.skills(spark, sf_dir), fit)
+
+
+@query
+def promote_terms(spark, sf_dir):
+    return joined_list(_promoted(spark, sf_dir)[0], "aliases")
+
+
+@query
+def promote_terms_dim(spark, sf_dir):
+    return _promoted(spark, sf_dir)[1].select("skill_name", "skill_category", "skill_subcategory")
+
+
+@query
+def discovery_stats(spark, sf_dir):
+    stats = discovery.discovery_stats(_discoveries(spark, sf_dir))
+    line = F.transform("top_pending", lambda e: F.concat_ws(":", e["name"], e["category"], e["occurrences"].cast("string")))
+    return stats.withColumn("top_pending", F.array_join(line, "|"))
+
+
+# --- incremental ------------------------------------------------------------------------------
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """All pages landed and staged through the stream, as the staged table it leaves."""
+    out = scratch_dir(spark, "stream-ingest")
+    run = streams.stream_ingest(spark, _landing_folder(spark, sf_dir), out, f"{out}/checkpoint", max_files=60)
+    run.awaitTermination()
+    return _shown(spark.read.parquet(f"{out}/stg_jobs"))
+
+
+@query
+def stream_discoveries(spark, sf_dir):
+    """Discoveries the stream leaves after taking all documents in several batches."""
+    out = scratch_dir(spark, "stream-discoveries")
+    jobs = stage.flatten_posting(mapping.document_postings(spark, sf_dir))[0]
+    jobs.withColumn("processed_at", F.col("extracted_at")).repartition(3, "job_id").write.parquet(f"{out}/staged")
+    run = stream_discovery.stream_discoveries(
+        spark, f"{out}/staged", out, f"{out}/checkpoint", taxonomy=mapping.taxonomy(spark), max_files=2
+    )
+    run.awaitTermination()
+    return stream_discovery.stream_totals(spark, out).select("skill_key", "category", "occurrence_count", "is_promoted")
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+@query
+def dq_not_null(spark, sf_dir):
+    return quality.dq_not_null(mapping.postings(spark, sf_dir), columns=["job_id", "salary_min", "salary_max"])
+
+
+@query
+def dq_unique(spark, sf_dir):
+    return quality.dq_unique(mapping.table(spark, sf_dir, "lineitem"), keys=["l_suppkey", "l_partkey"])
+
+
+@query
+def dq_relationships(spark, sf_dir):
+    customers = mapping.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "custkey")
+    orders = mapping.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey")
+    return quality.dq_relationships(customers, orders, key="custkey").select("custkey", "c_name")
+
+
+@query
+def dq_mart_keys(spark, sf_dir):
+    enr = mapping.postings(spark, sf_dir)
+    frames = build.mart_frames(enr, mapping.jobs(spark, sf_dir))
+    return quality.dq_mart_keys(frames)
+
+
+# --- extras -----------------------------------------------------------------------------------
+
+
+@query
+def skill_trend(spark, sf_dir):
+    """Demand over the postings known at the start of three years, and how it moved."""
+    enr = mapping.postings(spark, sf_dir)
+    history = None
+    for year in (1996, 1998, 2000):
+        known = enr.filter(F.col("job_posted_at") < F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+        one = stage.snapshot_demand(marts.skill_demand(known), as_of=date(year, 1, 1))
+        history = one if history is None else history.unionByName(one)
+    return extras.skill_trend(history)
+
+
+@query
+def skill_demand_rollup(spark, sf_dir):
+    return extras.skill_demand_rollup(mapping.postings(spark, sf_dir))
+
+
+@query
+def normalize_tags(spark, sf_dir):
+    """Brands above 20 counted as spellings of the brand twenty below."""
+    variants = mapping.skills(spark, sf_dir).filter(F.col("skill_id") > 20)
+    aliases = variants.select(
+        F.upper("skill_name").alias("alias"),
+        F.concat(F.lit("Brand#"), (F.col("skill_id") - 20).cast("string")).alias("canonical"),
+    )
+    return extras.normalize_tags(mapping.postings(spark, sf_dir), aliases)
+
+
+@query
+def posting_match(spark, sf_dir):
+    """Customers as candidates whose skills are the parts they bought."""
+    orders = mapping.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("candidate_id"))
+    enr = mapping.part_name_postings(spark, sf_dir)
+    have = enr.join(orders, F.col("job_id") == F.col("o_orderkey")).select("candidate_id", "skill_name")
+    return extras.posting_match(have, marts.role_skills(enr, min_jobs=40), limit=3)

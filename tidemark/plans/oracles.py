@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from tidemark.schemas import GENERIC_WORDS
+from tidemark.sources.mapping import taxonomy_rows
+
 W = r"\p{L}\p{N}_"
 
 # Named subqueries in dependency order; a query takes along those it names, directly or not.
@@ -296,7 +299,7 @@ DEMAND = """skill_name, skill_category, search_role, country_code, job_count, de
   avg_salary_max, avg_salary_midpoint, rank_in_role_country, rank_in_role_global"""
 oracle(
     "demand_top",
-    f"""SELECT {DEMAND} FROM pt_demand WHERE search_role = 'BUILDING' AND country_code = 'FRANCE'
+    f"""SELECT {DEMAND} FROM pt_demand WHERE search_role = 'BUILDING' AND country_code = 'NATION_6'
         ORDER BY rank_in_role_country LIMIT 30""",
 )
 oracle(
@@ -349,7 +352,7 @@ oracle(
     """SELECT skill_name, skill_category, search_role, country_code, salary_currency, jobs_with_skill,
       avg_salary_with_skill, median_salary_with_skill, market_avg_salary, salary_premium_absolute,
       salary_premium_percentage, rank_by_salary
-      FROM pt_sal WHERE search_role = 'BUILDING' AND country_code = 'FRANCE' AND jobs_with_skill >= 5
+      FROM pt_sal WHERE search_role = 'BUILDING' AND country_code = 'NATION_6' AND jobs_with_skill >= 5
       ORDER BY salary_premium_percentage DESC NULLS LAST, skill_name LIMIT 50""",
 )
 
@@ -380,7 +383,7 @@ oracle(
 oracle(
     "premium_skills",
     """SELECT skill_name, skill_category, salary_premium_percentage, salary_premium_absolute, avg_salary_with_skill,
-      market_avg_salary, jobs_with_skill FROM pt_sal WHERE search_role = 'BUILDING' AND country_code = 'FRANCE'
+      market_avg_salary, jobs_with_skill FROM pt_sal WHERE search_role = 'BUILDING' AND country_code = 'NATION_6'
       ORDER BY salary_premium_percentage DESC, skill_name LIMIT 15""",
 )
 oracle(
@@ -398,7 +401,7 @@ oracle(
     "leaderboard_top",
     """SELECT company_name, search_role, country_code, job_count, avg_salary_min, avg_salary_max, avg_salary_midpoint,
       full_time_count, part_time_count, contract_count, rank_in_role_country FROM pt_lb
-      WHERE search_role = 'BUILDING' AND country_code = 'FRANCE' ORDER BY rank_in_role_country LIMIT 50""",
+      WHERE search_role = 'BUILDING' AND country_code = 'NATION_6' ORDER BY rank_in_role_country LIMIT 50""",
 )
 oracle(
     "leaderboard_global",
@@ -422,10 +425,10 @@ oracle("role_pairs", """SELECT role_1, role_2, shared_skills_count, role_1_uniqu
 DIFFICULTY = "CASE WHEN {0} >= 0.5 THEN 'easy' WHEN {0} >= 0.3 THEN 'moderate' ELSE 'significant' END"
 oracle(
     "role_transitions",
-    f"""SELECT CASE WHEN role_1 = 'FRANCE' THEN role_2 ELSE role_1 END AS target_role,
+    f"""SELECT CASE WHEN role_1 = 'NATION_6' THEN role_2 ELSE role_1 END AS target_role,
       jaccard_similarity AS similarity, shared_skills_count AS shared_skills,
       {DIFFICULTY.format("jaccard_similarity")} AS difficulty, top_shared_skills AS shared_skill_list
-      FROM pt_sim WHERE role_1 = 'FRANCE' OR role_2 = 'FRANCE'""",
+      FROM pt_sim WHERE role_1 = 'NATION_6' OR role_2 = 'NATION_6'""",
 )
 part(
     "pt_cells",
@@ -433,7 +436,7 @@ part(
       UNION ALL SELECT role_2, role_1, jaccard_similarity FROM pt_sim
       UNION ALL SELECT r, r, 1.0::DOUBLE FROM (SELECT role_1 AS r FROM pt_sim UNION SELECT role_2 FROM pt_sim)""",
 )
-MATRIX_ROLES = ["FRANCE", "GERMANY", "INDIA", "JAPAN"]
+MATRIX_ROLES = ["NATION_6", "NATION_7", "NATION_8", "NATION_9"]
 oracle(
     "similarity_matrix",
     'SELECT "row", '
@@ -443,15 +446,15 @@ oracle(
 oracle("similarity_cells", "SELECT * FROM pt_cells")
 oracle(
     "skill_gap",
-    f"""SELECT 'GERMANY' AS from_role, 'FRANCE' AS to_role, skill_name, skill_category, job_count, similarity,
+    f"""SELECT 'NATION_7' AS from_role, 'NATION_6' AS to_role, skill_name, skill_category, job_count, similarity,
       shared_skills_count, difficulty
       FROM (SELECT skill_name, 'names' AS skill_category, sum(job_count)::BIGINT AS job_count FROM (
-          SELECT skill_name, count(DISTINCT job_id) AS job_count FROM pt_names WHERE search_role = 'FRANCE' GROUP BY 1)
+          SELECT skill_name, count(DISTINCT job_id) AS job_count FROM pt_names WHERE search_role = 'NATION_6' GROUP BY 1)
         GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20) t
       CROSS JOIN (SELECT jaccard_similarity AS similarity, shared_skills_count,
           {DIFFICULTY.format("jaccard_similarity")} AS difficulty
-        FROM pt_sim WHERE role_1 = 'FRANCE' AND role_2 = 'GERMANY') p
-      WHERE skill_name NOT IN (SELECT skill_name FROM pt_roleset WHERE search_role = 'GERMANY')
+        FROM pt_sim WHERE role_1 = 'NATION_6' AND role_2 = 'NATION_7') p
+      WHERE skill_name NOT IN (SELECT skill_name FROM pt_roleset WHERE search_role = 'NATION_7')
       ORDER BY job_count DESC, skill_name LIMIT 10""",
 )
 oracle(
@@ -507,5 +510,442 @@ oracle(
 )
 
 
+
+# --- ingest -----------------------------------------------------------------------------------
+
+part(
+    "pt_event",
+    """SELECT CAST(user_id AS VARCHAR) AS job_platform_id, event_type AS country_code, event_id AS search_role,
+      ts AS extracted_at, 'batch-' || event_type AS extraction_batch_id, value FROM events""",
+)
+part(
+    "pt_fresh",
+    """SELECT * EXCLUDE (n) FROM (
+        SELECT *, row_number() OVER (PARTITION BY job_platform_id, country_code ORDER BY extracted_at, search_role) AS n
+        FROM pt_event) e
+      WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM pt_event x WHERE x.value > 95
+        AND x.job_platform_id = e.job_platform_id AND x.country_code = e.country_code)""",
+)
+oracle(
+    "land_postings",
+    """SELECT job_platform_id, search_role, country_code, 'batch-1' AS extraction_batch_id, title
+      FROM pt_jobs, (SELECT unnest([1, 2]) AS copy)
+      WHERE job_id % 97 <> 0 AND (copy = 1 OR job_id % 10 = 0)""",
+)
+oracle("dedup_first_wins", "SELECT * FROM pt_fresh")
+oracle(
+    "active_grid",
+    """SELECT role_name AS search_role, c.country_code, c.country_name, coalesce(n, 0) AS postings
+      FROM pt_roles CROSS JOIN pt_countries c
+      LEFT JOIN (SELECT search_role, country_code, count(*) AS n FROM pt_jobs GROUP BY ALL) j
+        ON j.search_role = role_name AND j.country_code = c.country_code
+      WHERE is_active""",
+)
+oracle(
+    "in_grid",
+    """SELECT job_id, search_role, country_code FROM pt_jobs
+      WHERE search_role = 'BUILDING' AND country_code = 'NATION_6'""",
+)
+oracle(
+    "recent_postings",
+    """SELECT job_id, search_role, country_code, job_posted_at FROM pt_jobs
+      WHERE job_posted_at >= DATE '1998-08-02' - INTERVAL 180 DAY""",
+)
+oracle(
+    "batch_stats",
+    """SELECT e.extraction_batch_id, e.n AS total_fetched, coalesce(f.n, 0) AS total_inserted,
+      e.n - coalesce(f.n, 0) AS duplicates_skipped, date_sub('second', e.a, e.b) AS elapsed_seconds
+      FROM (SELECT extraction_batch_id, count(*) AS n, min(extracted_at) AS a, max(extracted_at) AS b FROM pt_event
+        GROUP BY 1) e
+      LEFT JOIN (SELECT extraction_batch_id, count(*) AS n FROM pt_fresh GROUP BY 1) f
+        ON e.extraction_batch_id = f.extraction_batch_id""",
+)
+part(
+    "pt_brandterms",
+    """
+    WITH b AS (
+      SELECT p_brand AS name, CAST(substr(p_brand, 7) AS BIGINT) AS k, list(DISTINCT p_name) AS names
+      FROM part GROUP BY 1, 2),
+    t AS (
+      SELECT name AS term, name, k FROM b
+      UNION ALL SELECT unnest(names), name, k FROM b WHERE k % 4 <> 0)
+    SELECT term, name AS canonical, CASE WHEN k % 5 <> 0 THEN 'group ' || CAST(k % 5 AS VARCHAR) ELSE 'Unknown' END AS category,
+      CASE WHEN k % 3 <> 0 THEN 'kind' ELSE '' END AS subcategory FROM t""",
+)
+oracle("taxonomy_terms", "SELECT * FROM pt_brandterms")
+oracle(
+    "seed_dims",
+    """SELECT country_code, CASE WHEN contains(country_name, 'AFRICA') THEN country_name ELSE 'seed ' || country_name END
+      AS country_name, true AS is_active FROM pt_countries""",
+)
+oracle(
+    "unprocessed",
+    """SELECT o_orderkey AS id, o_orderdate AS extracted_at FROM orders
+      WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+      ORDER BY extracted_at, id LIMIT 1000""",
+)
+
+# --- staging ----------------------------------------------------------------------------------
+
+part(
+    "pt_staged",
+    """
+    SELECT job_platform_id, search_role, country_code, title,
+      CASE WHEN job_id % 7 = 1 THEN '' ELSE company_name END AS company_name,
+      'Order ' || job_platform_id AS description,
+      CASE WHEN job_id % 9 = 0 THEN '' ELSE country_code END AS location_display,
+      CASE WHEN job_id % 9 = 0 THEN '' ELSE 'World|' || country_code END AS location_areas,
+      CASE WHEN job_id % 6 = 0 THEN '' ELSE 'jobs' END AS category_tag,
+      CASE WHEN job_id % 6 = 0 THEN '' ELSE search_role END AS category_label,
+      CAST(salary_min AS DOUBLE) AS salary_min, CAST(salary_max AS DOUBLE) AS salary_max,
+      job_id % 4 = 0 AS salary_is_predicted, 'USD' AS salary_currency, contract_type, contract_time, '' AS redirect_url,
+      CASE WHEN job_id % 11 = 0 OR job_id % 13 = 0 THEN NULL ELSE job_posted_at END AS job_posted_at
+    FROM pt_jobs WHERE job_id % 97 <> 0""",
+)
+oracle("flatten_posting", "SELECT * FROM pt_staged")
+oracle("stream_ingest", "SELECT * FROM pt_staged")
+oracle(
+    "posting_quarantine",
+    """SELECT page_id AS id, url AS job_platform_id, 'payload is not a JSON object' AS parse_error
+      FROM pages WHERE page_id % 3 <> 0""",
+)
+oracle(
+    "currency_by_region",
+    """SELECT doc_id AS job_id, lang AS country_code,
+      CASE WHEN lang IN ('de', 'fr') THEN 'EUR' ELSE 'USD' END AS salary_currency FROM documents""",
+)
+oracle("value_midpoint", """SELECT job_id,
+      CAST(coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min) AS DOUBLE) / 2 AS salary_midpoint
+      FROM pt_jobs""")
+oracle(
+    "region_names",
+    """SELECT lang AS country_code, count(*) AS postings,
+      CASE lang WHEN 'de' THEN 'Germany' WHEN 'fr' THEN 'France' ELSE upper(lang) END AS country_name
+      FROM documents GROUP BY 1""",
+)
+oracle(
+    "upsert_stage",
+    """SELECT job_platform_id, country_code, search_role,
+      CASE WHEN job_posted_at < TIMESTAMP '1997-01-01' THEN title ELSE title || ' again' END AS title,
+      job_posted_at AS extracted_at,
+      CASE WHEN job_posted_at < TIMESTAMP '1996-01-01' THEN job_posted_at
+           ELSE TIMESTAMP '2024-01-01 12:00:00' END AS processed_at
+      FROM pt_jobs""",
+)
+oracle(
+    "upsert_tags",
+    """SELECT l_orderkey AS job_id, CAST(substr(p_brand, 7) AS BIGINT) AS skill_id, p_brand AS skill_name,
+      coalesce(sum(l_linenumber) FILTER (WHERE l_linenumber >= 3),
+               sum(l_linenumber) FILTER (WHERE l_linenumber <= 3))::BIGINT AS mention_count,
+      CASE WHEN min(l_linenumber) <= 3 THEN TIMESTAMP '2023-01-01' ELSE TIMESTAMP '2024-01-01' END AS extracted_at
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
+)
+SNAPSHOT = """skill_id, skill_name, search_role, country_code, job_count, demand_percentage, avg_salary_min,
+      avg_salary_max"""
+oracle("snapshot_demand", f"SELECT DATE '2024-01-01' AS snapshot_date, {SNAPSHOT} FROM pt_demand")
+part(
+    "pt_founds",
+    """SELECT l_orderkey AS job_id, p_brand AS skill_name, min(p_type) AS category, count(*) AS mention_count,
+      CAST(substr(p_brand, 7) AS BIGINT) AS k
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+)
+oracle(
+    "assign_tag_ids",
+    """SELECT job_id, skill_name, category, mention_count, CASE WHEN k <= 15 THEN k ELSE 0 END AS skill_id
+      FROM pt_founds""",
+)
+oracle(
+    "assign_tag_ids_dim",
+    """SELECT * FROM pt_skills WHERE skill_id <= 15
+      UNION ALL SELECT 0, skill_name, arg_min(category, (job_id, category)), '' FROM pt_founds WHERE k > 15 GROUP BY 2""",
+)
+oracle(
+    "layer_counts",
+    """SELECT 'raw.jobs' AS table_name, count(*) AS count FROM orders
+      UNION ALL SELECT 'staging.stg_jobs', count(*) FROM pt_jobs
+      UNION ALL SELECT 'staging.stg_job_skills', count(*) FROM pt_tags
+      UNION ALL SELECT 'staging.dim_skills', count(*) FROM pt_skills
+      UNION ALL SELECT 'staging.dim_job_roles', count(*) FROM pt_roles
+      UNION ALL SELECT 'staging.dim_countries', count(*) FROM pt_countries""",
+)
+oracle(
+    "progress",
+    f"""SELECT total_raw, processed, total_skills, total_raw - processed AS remaining,
+      {ratio("processed", "total_raw", 1, percent=True)} AS progress_percent
+      FROM (SELECT (SELECT count(*) FROM customer) AS total_raw,
+        (SELECT count(DISTINCT o_custkey) FROM orders) AS processed, (SELECT count(*) FROM pt_tags) AS total_skills)""",
+)
+
+# --- text -------------------------------------------------------------------------------------
+# A consuming pattern needs a boundary character on either side. Doubling every such character, in
+# text and terms alike, lets neighbouring matches have one each.
+
+
+def literal(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def doubled(term: str) -> str:
+    return re.sub(r"(\W)", r"\1\1", term)
+
+
+part(
+    "pt_docs",
+    f"""SELECT doc_id AS job_id, text, source, lang,
+      '  ' || regexp_replace(text, '([^{W}])', '\\1\\1', 'g') || '  ' AS dbl FROM documents""",
+)
+part(
+    "pt_taxo",
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        "(" + ", ".join(literal(v) for v in (r["name"], r["category"], r["subcategory"], "|".join(r["aliases"] or []))) + ")"
+        for r in taxonomy_rows()
+    )
+    + ") v(name, category, subcategory, aliases)",
+)
+part(
+    "pt_terms",
+    "SELECT term, needle, canonical, coalesce(category, 'Unknown') AS category, coalesce(subcategory, '') AS subcategory"
+    " FROM (VALUES "
+    + ", ".join(
+        "(" + ", ".join(literal(v) for v in (t, doubled(t.lower()), r["name"], r["category"], r["subcategory"])) + ")"
+        for r in taxonomy_rows()
+        for t in [r["name"], *(r["aliases"] or [])]
+    )
+    + ") v(term, needle, canonical, category, subcategory)",
+)
+part(
+    "pt_hits",
+    f"""SELECT job_id, canonical AS skill_name, category, subcategory, sum(n)::BIGINT AS mention_count
+      FROM (SELECT job_id, t.*, len(regexp_extract_all(low, '[^{W}]' || regexp_escape(needle) || '[^{W}]')) AS n
+        FROM (SELECT job_id, lower(dbl) AS low FROM pt_docs) CROSS JOIN pt_terms t)
+      WHERE n > 0 GROUP BY 1, 2, 3, 4""",
+)
+part(
+    "pt_looks",
+    f"""SELECT job_id, text, list_transform(regexp_extract_all(dbl,
+      '[^{W}]([A-Z][a-z]+[A-Z][a-z]*|[A-Z]{{2,}}|[a-zA-Z]+\\p{{Nd}}+|[a-zA-Z]+--[a-zA-Z]+)[^{W}]', 1),
+      lambda x: replace(x, '--', '-')) AS looks FROM pt_docs""",
+)
+part(
+    "pt_routed",
+    """SELECT d.job_id, coalesce(k, 0) AS known_skills,
+      coalesce(k, 0) < 5 OR ('0x' || substr(md5(CAST(d.job_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0 AS needs_discovery
+      FROM pt_docs d LEFT JOIN (SELECT job_id, count(*) AS k FROM pt_hits GROUP BY 1) h ON d.job_id = h.job_id""",
+)
+part(
+    "pt_cands",
+    """SELECT job_id, (generate_subscripts(looks, 1) - 1)::INTEGER AS position, unnest(looks) AS text, 'other' AS label,
+      0.8::DOUBLE AS score
+      FROM pt_looks WHERE length(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) >= 50""",
+)
+GENERIC = ", ".join(literal(w) for w in GENERIC_WORDS)
+part(
+    "pt_checked",
+    f"""SELECT job_id, position, text AS skill_name, 'Other' AS category, label AS subcategory, score AS confidence,
+      lower(text) IN (SELECT lower(name) FROM pt_taxo) AS verified
+      FROM (SELECT *, row_number() OVER (PARTITION BY job_id, lower(text) ORDER BY position) AS n FROM pt_cands
+        WHERE length(text) >= 2)
+      WHERE n = 1 AND lower(text) NOT IN ({GENERIC})""",
+)
+METHOD = "CASE WHEN verified THEN 'gliner_verified' ELSE 'gliner_unverified' END"
+
+
+def merged_sql(where: str) -> str:
+    return f"""
+    SELECT * EXCLUDE (n, priority) FROM (
+      SELECT *, row_number() OVER (PARTITION BY job_id, lower(skill_name) ORDER BY priority, position NULLS FIRST, skill_name)
+        AS n
+      FROM (
+        SELECT job_id, skill_name, category, subcategory, mention_count, NULL::DOUBLE AS confidence, true AS verified,
+          'taxonomy' AS extraction_method, NULL::INTEGER AS position, 1 AS priority FROM pt_hits
+        UNION ALL
+        SELECT job_id, skill_name, category, subcategory, 1, confidence, verified, {METHOD}, position,
+          CASE WHEN verified THEN 2 ELSE 3 END FROM pt_checked {where}))
+    WHERE n = 1"""
+
+
+part("pt_merged", merged_sql(""))
+part("pt_hybrid", merged_sql("WHERE job_id IN (SELECT job_id FROM pt_routed WHERE needs_discovery)"))
+oracle(
+    "compile_terms",
+    f"""SELECT term, canonical, '(?iu)(?<![{W}])\\Q' || term || '\\E(?![{W}])' AS pattern,
+      CASE WHEN regexp_full_match(term, '[{W}]+') THEN 'word' ELSE 'phrase' END AS kind,
+      regexp_extract(lower(term), '[{W}]+') AS anchor FROM pt_brandterms""",
+)
+oracle("extract_terms", "SELECT * FROM pt_hits")
+oracle("extract_terms_basic", "SELECT * FROM pt_hits")
+oracle(
+    "rebuild",
+    "SELECT job_id, skill_name, mention_count, extraction_method FROM pt_hybrid WHERE verified",
+)
+oracle(
+    "term_coverage",
+    """SELECT l.job_id, coalesce(k, 0) AS matched_skills, coalesce(m, 0)::BIGINT AS total_mentions,
+      array_to_string(list_sort(list_filter(list_distinct(looks),
+        lambda x: NOT list_contains(coalesce(names, []), x)))[1:20], '|') AS unmatched_potential_terms,
+      least(1.0::DOUBLE, coalesce(k, 0)::DOUBLE / greatest(1, len(list_distinct(looks)))) AS coverage_confidence
+      FROM pt_looks l LEFT JOIN (SELECT job_id, count(*) AS k, sum(mention_count) AS m, list(skill_name) AS names
+        FROM pt_hits GROUP BY 1) h ON l.job_id = h.job_id""",
+)
+oracle("route_docs", "SELECT * FROM pt_routed")
+oracle("candidate_terms", "SELECT * FROM pt_cands")
+oracle(
+    "clean_candidates",
+    f"""SELECT job_id, position, text AS skill_name,
+      CASE label WHEN 'database' THEN 'Database' WHEN 'etl tool' THEN 'Data Engineering' ELSE 'Other' END AS category,
+      label AS subcategory, score AS confidence
+      FROM (SELECT *, row_number() OVER (PARTITION BY job_id, lower(text) ORDER BY position) AS n FROM (
+          SELECT job_id, position, text,
+            CASE length(text) % 3 WHEN 0 THEN 'database' WHEN 1 THEN 'etl tool' ELSE 'other' END AS label,
+            least(10, length(text)) / 10.0::DOUBLE AS score FROM pt_cands)
+        WHERE score >= 0.5 AND length(text) >= 2)
+      WHERE n = 1 AND lower(text) NOT IN ({GENERIC})""",
+)
+oracle("verify_candidates", f"SELECT *, {METHOD} AS extraction_method FROM pt_checked")
+oracle("merge_terms", "SELECT * FROM pt_merged")
+oracle("merge_terms_new", "SELECT * FROM pt_merged WHERE extraction_method = 'gliner_unverified'")
+oracle("hybrid_extract", "SELECT * FROM pt_hybrid")
+oracle("hybrid_extract_new", "SELECT * FROM pt_hybrid WHERE extraction_method = 'gliner_unverified'")
+oracle(
+    "extraction_stats",
+    """SELECT n AS total_extractions, n - d AS fast_path_only, d AS finder_invoked, v AS verified_skills,
+      u AS unverified_skills, (n - d)::DOUBLE / greatest(1, n) AS fast_path_ratio, d::DOUBLE / greatest(1, n) AS finder_ratio
+      FROM (SELECT count(*) AS n, count(*) FILTER (WHERE needs_discovery) AS d FROM pt_routed)
+      CROSS JOIN (SELECT count(*) FILTER (WHERE verified) AS v, count(*) FILTER (WHERE NOT verified) AS u FROM pt_hybrid)""",
+)
+
+# --- discovery --------------------------------------------------------------------------------
+
+part(
+    "pt_sightings",
+    """SELECT h.*, lower(skill_name) AS skill_key, d.source || ' @ ' || d.lang AS context,
+      TIMESTAMP '2024-01-01' + to_minutes(h.job_id % 525600) AS seen_at,
+      row_number() OVER (PARTITION BY lower(skill_name)
+        ORDER BY TIMESTAMP '2024-01-01' + to_minutes(h.job_id % 525600), h.job_id, position) AS nth
+      FROM pt_hybrid h JOIN pt_docs d ON h.job_id = d.job_id WHERE extraction_method = 'gliner_unverified'""",
+)
+part(
+    "pt_disc",
+    """SELECT skill_key, max(skill_name) FILTER (WHERE nth = 1) AS name, max(category) FILTER (WHERE nth = 1) AS category,
+      max(subcategory) FILTER (WHERE nth = 1) AS subcategory, min(seen_at) AS first_seen, max(seen_at) AS last_seen,
+      count(*) AS occurrence_count,
+      sum(floor(confidence * 1000.0 + 0.5)::BIGINT)::DOUBLE / (count(*) * 1000)::DOUBLE AS avg_confidence,
+      string_agg(context, '|' ORDER BY nth) FILTER (WHERE nth <= 5) AS sample_contexts, false AS is_promoted
+      FROM pt_sightings GROUP BY 1""",
+)
+FIT = "occurrence_count >= 3 AND avg_confidence >= 0.75"
+oracle("discoveries", "SELECT * FROM pt_disc")
+oracle("promotion_candidates", f"SELECT * FROM pt_disc WHERE {FIT}")
+oracle(
+    "promote_terms",
+    f"""SELECT name, category, subcategory, nullif(aliases, '') AS aliases FROM pt_taxo
+      UNION ALL SELECT name, category, subcategory, '' FROM pt_disc
+        WHERE {FIT} AND skill_key NOT IN (SELECT lower(name) FROM pt_taxo)""",
+)
+oracle(
+    "promote_terms_dim",
+    f"""SELECT skill_name, skill_category, skill_subcategory FROM pt_skills
+      UNION ALL SELECT name, category, subcategory FROM pt_disc
+        WHERE {FIT} AND name NOT IN (SELECT skill_name FROM pt_skills)""",
+)
+oracle(
+    "discovery_stats",
+    f"""SELECT count(*) AS total_discoveries, 0::BIGINT AS promoted_count,
+      count(*) FILTER (WHERE {FIT}) AS pending_promotion,
+      (SELECT string_agg(name || ':' || category || ':' || CAST(occurrence_count AS VARCHAR), '|'
+          ORDER BY occurrence_count DESC, skill_key)
+        FROM (SELECT * FROM pt_disc ORDER BY occurrence_count DESC, skill_key LIMIT 10)) AS top_pending
+      FROM pt_disc""",
+)
+
+# --- quality and extras -----------------------------------------------------------------------
+
+oracle(
+    "dq_not_null",
+    """SELECT 'job_id' AS column_name, count(*) FILTER (WHERE job_id IS NULL) AS failures FROM pt_enr
+      UNION ALL SELECT 'salary_min', count(*) FILTER (WHERE salary_min IS NULL) FROM pt_enr
+      UNION ALL SELECT 'salary_max', count(*) FILTER (WHERE salary_max IS NULL) FROM pt_enr""",
+)
+oracle(
+    "dq_unique",
+    "SELECT l_suppkey, l_partkey, count(*) AS row_count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+)
+oracle(
+    "dq_relationships",
+    "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+)
+
+
+def repeats(mart: str, table: str, keys: str) -> str:
+    return f"""SELECT '{mart}' AS mart, count(*) AS failures
+      FROM (SELECT {keys} FROM {table} GROUP BY {keys} HAVING count(*) > 1)"""
+
+
+oracle(
+    "dq_mart_keys",
+    " UNION ALL ".join(
+        [
+            repeats("skill_demand", "pt_demand", "skill_id, search_role, country_code"),
+            repeats("skill_cooccurrence", "pt_cooc", "skill_id_1, skill_id_2, search_role"),
+            repeats("salary_by_skill", "pt_sal", "skill_id, search_role, country_code, salary_currency"),
+            repeats("company_leaderboard", "pt_lb", "company_name, search_role, country_code"),
+            "SELECT 'role_similarity', 0",
+            repeats("skills_by_country", "pt_bycountry", "skill_id, search_role, country_code"),
+        ]
+    ),
+)
+
+
+def snapshot_at(year: int) -> str:
+    known = demand_sql(50).replace("pt_totals", f"(SELECT search_role, country_code, count(DISTINCT job_id) AS total_jobs "
+        f"FROM pt_enr WHERE job_posted_at < TIMESTAMP '{year}-01-01' GROUP BY ALL)")
+    known = known.replace("FROM pt_enr GROUP BY ALL) c", f"FROM pt_enr WHERE job_posted_at < TIMESTAMP '{year}-01-01' GROUP BY ALL) c")
+    return f"SELECT DATE '{year}-01-01' AS snapshot_date, {SNAPSHOT} FROM ({known})"
+
+
+part("pt_history", " UNION ALL ".join(snapshot_at(y) for y in (1996, 1998, 2000)))
+oracle(
+    "skill_trend",
+    """SELECT snapshot_date, skill_name, search_role, country_code, job_count, demand_percentage,
+      job_count - lag(job_count) OVER w AS job_count_change,
+      (floor(demand_percentage * 100.0 + 0.5)::BIGINT - lag(floor(demand_percentage * 100.0 + 0.5)::BIGINT) OVER w)
+        / 100.0::DOUBLE AS percentage_change
+      FROM pt_history WINDOW w AS (PARTITION BY skill_name, search_role, country_code ORDER BY snapshot_date)""",
+)
+oracle(
+    "skill_demand_rollup",
+    f"""SELECT d.skill_id, skill_name, skill_category, d.search_role, d.country_code, job_count, total_jobs,
+      {ratio("job_count", "total_jobs", 2, percent=True)} AS demand_percentage, avg_salary_min
+      FROM (
+        SELECT skill_id, skill_name, skill_category, search_role, country_code, count(DISTINCT job_id) AS job_count,
+          {mean_units("lo_cents", 100)} AS avg_salary_min
+        FROM pt_enr GROUP BY GROUPING SETS ((skill_id, skill_name, skill_category, search_role, country_code),
+          (skill_id, skill_name, skill_category, search_role), (skill_id, skill_name, skill_category))) d
+      JOIN (SELECT search_role, country_code, count(DISTINCT job_id) AS total_jobs FROM pt_enr
+        GROUP BY GROUPING SETS ((search_role, country_code), (search_role), ())) t
+      ON d.search_role IS NOT DISTINCT FROM t.search_role AND d.country_code IS NOT DISTINCT FROM t.country_code""",
+)
+oracle(
+    "normalize_tags",
+    """SELECT job_id, search_role, country_code,
+      CASE WHEN skill_id > 20 THEN 'Brand#' || CAST(skill_id - 20 AS VARCHAR) ELSE skill_name END AS skill_name,
+      sum(mention_count)::BIGINT AS mention_count FROM pt_enr GROUP BY 1, 2, 3, 4""",
+)
+oracle(
+    "posting_match",
+    f"""SELECT * FROM (
+      SELECT candidate_id, m.search_role, matched_skills, total - matched_skills AS missing_skills,
+        {ratio("matched_skills", "total", 4)} AS score,
+        row_number() OVER (PARTITION BY candidate_id
+          ORDER BY {ratio("matched_skills", "total", 4)} DESC, matched_skills DESC, m.search_role) AS rank
+      FROM (SELECT o_custkey AS candidate_id, r.search_role, count(DISTINCT n.skill_name) AS matched_skills
+        FROM pt_names n JOIN orders ON o_orderkey = n.job_id JOIN pt_roleset r ON r.skill_name = n.skill_name
+        GROUP BY 1, 2) m
+      JOIN (SELECT search_role, count(*) AS total FROM pt_roleset GROUP BY 1) t ON t.search_role = m.search_role)
+      WHERE rank <= 3""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {key: build(sql) for key, sql in ORACLES.items()}

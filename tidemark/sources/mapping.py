@@ -6,6 +6,7 @@ as countries. Mapping B reads documents as postings whose text holds the skills.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +100,128 @@ def part_name_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     roles = jobs(spark, sf_dir).select("job_id", F.col("country_code").alias("search_role"))
     return tags.join(roles, "job_id")
+
+
+# --- postings as landed JSON ------------------------------------------------------------------
+
+
+def posting_json(postings: DataFrame) -> DataFrame:
+    """Mapping A postings as the JSON a search returns, in all the shapes that occur.
+
+    By remainders of the key: no id, company as text or absent, malformed or absent date, location
+    that is no object, predicted flag as text or number, no category.
+    """
+    key = F.col("job_id")
+    created = F.concat(F.date_format("job_posted_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    plain = F.to_json(
+        F.struct(
+            F.when(key % 97 != 0, key).alias("id"),
+            "title",
+            F.concat(F.lit("Order "), key.cast("string")).alias("description"),
+            F.when(key % 11 == 0, "soon").when(key % 13 != 0, created).alias("created"),
+            "salary_min",
+            "salary_max",
+            F.nullif("contract_type", F.lit("")).alias("contract_type"),
+            F.nullif("contract_time", F.lit("")).alias("contract_time"),
+            F.when(
+                key % 6 != 0, F.struct(F.lit("jobs").alias("tag"), F.col("search_role").alias("label"))
+            ).alias("category"),
+        )
+    )
+
+    def quoted(c: str) -> Column:
+        return F.concat(F.lit('"'), F.col(c), F.lit('"'))
+
+    company = F.when(key % 7 == 0, F.concat(F.lit('"company":'), quoted("company_name"))).when(
+        key % 7 != 1, F.concat(F.lit('"company":{"display_name":'), quoted("company_name"), F.lit("}"))
+    )
+    place = quoted("country_code")
+    location = F.when(key % 9 == 0, F.concat(F.lit('"location":'), place)).otherwise(
+        F.concat(F.lit('"location":{"area":["World",'), place, F.lit('],"display_name":'), place, F.lit("}"))
+    )
+    predicted = (
+        F.when(key % 4 == 0, '"salary_is_predicted":"1"')
+        .when(key % 4 == 1, '"salary_is_predicted":1')
+        .when(key % 4 == 2, '"salary_is_predicted":"0"')
+    )
+    open_ended = F.substring(plain, F.lit(1), F.length(plain) - 1)
+    whole = F.concat(F.concat_ws(",", open_ended, company, location, predicted), F.lit("}"))
+    return postings.select("job_id", "search_role", "country_code", whole.alias("posting"))
+
+
+def write_pages(postings: DataFrame, path: str) -> None:
+    """Land postings as result pages of at most 50, one page per line; every tenth posting is found twice."""
+    rows = posting_json(postings)
+    again = rows.filter(F.col("job_id") % 10 == 0).withColumn("page", F.lit(-1) - F.floor(F.col("job_id") / 500))
+    once = rows.withColumn("page", F.floor(F.col("job_id") / 50))
+    pages = (
+        once.unionByName(again)
+        .groupBy("search_role", "country_code", "page")
+        .agg(F.array_join(F.array_sort(F.collect_list("posting")), ",").alias("list"), F.count(F.lit(1)).alias("n"))
+    )
+    line = F.concat(F.lit('{"results":['), "list", F.lit('],"count":'), F.col("n").cast("string"), F.lit("}"))
+    pages.select("search_role", "country_code", line.alias("value")).write.partitionBy(
+        "search_role", "country_code"
+    ).text(path)
+
+
+# --- mapping B --------------------------------------------------------------------------------
+
+# Frequent words of the document table, frozen so that every scale uses the same taxonomy.
+TAXONOMY_WORDS = (
+    "that with this from tion ther thon than thre thnt thes thha thhe thed erin thble anea thor thea thin "
+    "thti eron then thly thtion thing thsh thnd thst thou erre eran erth erhe ered eror erat thwh erly ernd "
+    "für ción éeau éeux"
+).split()
+TAXONOMY_ALIASES = {
+    "that": ["thth"],
+    "tion": ["attion", "ertion"],
+    "from": ["of the", "from-the"],
+    "this": ["This is the"],
+    "éeux": ["éle"],
+}
+
+
+def taxonomy_rows() -> list[dict]:
+    return [
+        {
+            "name": word,
+            "category": None if i % 7 == 6 else f"group {i % 5}",
+            "subcategory": None if i % 3 == 2 else f"kind {i % 4}",
+            "aliases": TAXONOMY_ALIASES.get(word),
+        }
+        for i, word in enumerate(TAXONOMY_WORDS)
+    ]
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    """Mapping B: the word taxonomy."""
+    return spark.createDataFrame(pa.Table.from_pylist(taxonomy_rows()))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping B: one posting per document, its source as role and its language as country."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"),
+        "text",
+        F.col("source").alias("search_role"),
+        F.col("lang").alias("country_code"),
+        F.concat_ws(" @ ", "source", "lang").alias("context"),
+        F.timestamp_add("MINUTE", (F.col("doc_id") % 525600).cast("int"), start).alias("seen_at"),
+    )
+
+
+def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping B: documents as raw landed rows."""
+    docs = documents(spark, sf_dir)
+    payload = F.to_json(F.struct(F.col("job_id").alias("id"), F.col("text").alias("description")))
+    return docs.select(
+        F.xxhash64(F.col("job_id").cast("string"), "country_code").alias("id"),
+        F.col("job_id").cast("string").alias("job_platform_id"),
+        "search_role",
+        "country_code",
+        payload.alias("raw_data"),
+        F.col("seen_at").alias("extracted_at"),
+        F.lit("batch-0").alias("extraction_batch_id"),
+    )
