@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 START = rf"(?<!{WORD})"
 END = rf"(?!{WORD})"
-TOKEN = rf"{WORD}+"
 
 # ---------------------------------------------------------------------------------------------
 # Terms with a pattern of their own. Matches must equal those of existing runs.
@@ -35,7 +34,7 @@ BASIC_TERMS = {
     ".NET": r"(?<![a-zA-Z])\.NET(?![a-zA-Z])",
 }
 # Text that looks like a technical term: CamelCase, CAPITALS, letters with digits, hyphenated.
-POTENTIAL_TERM = rf"{START}(?:[A-Z][a-z]+[A-Z][a-z]*|[A-Z]{{2,}}|[a-zA-Z]+\p{{Nd}}+|[a-zA-Z]+-[a-zA-Z]+){END}"
+POTENTIAL_TERM = r"(?:[A-Z][a-z]+[A-Z][a-z]*|[A-Z]{2,}|[a-zA-Z]+\p{Nd}+|[a-zA-Z]+-[a-zA-Z]+)"
 # ---------------------------------------------------------------------------------------------
 
 IGNORE_CASE = "(?iu)"
@@ -50,6 +49,15 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def _edges(term: Column, strict: bool) -> tuple[Column, Column]:
+    """Tests for the characters before and after a term, as look-around openings."""
+    if not strict:
+        return F.lit("(?<!"), F.lit("(?!")
+    before = F.when(F.rlike(term, F.lit(rf"^{WORD}")), "(?<!").otherwise("(?<=")
+    after = F.when(F.rlike(term, F.lit(rf"{WORD}$")), "(?!").otherwise("(?=")
+    return before, after
+
+
 def term_pattern(term: Column, *, special: str = "full", strict: bool = False) -> Column:
     """Pattern that finds a term between word boundaries, whatever the case.
 
@@ -57,22 +65,39 @@ def term_pattern(term: Column, *, special: str = "full", strict: bool = False) -
     character follows. ``strict=True`` keeps that behaviour; by default such an edge only must not
     touch a word character.
     """
-    if strict:
-        starts_in_word = F.rlike(term, F.lit(rf"^{WORD}"))
-        ends_in_word = F.rlike(term, F.lit(rf"{WORD}$"))
-        start = F.when(starts_in_word, START).otherwise(rf"(?<={WORD})")
-        end = F.when(ends_in_word, END).otherwise(rf"(?={WORD})")
-    else:
-        start, end = F.lit(START), F.lit(END)
-    pattern = F.concat(start, quoted(term), end)
+    before, after = _edges(term, strict)
+    pattern = F.concat(before, F.lit(f"{WORD})"), quoted(term), after, F.lit(f"{WORD})"))
+    return F.concat(F.lit(IGNORE_CASE), _own(term, special, pattern))
+
+
+def search_pattern(term: Column, *, special: str = "full", strict: bool = False) -> Column:
+    """The same matches as :func:`term_pattern`, for lower-case text.
+
+    The term comes first and what precedes it is checked afterwards, so the search skips to the
+    places where the term stands.
+    """
+    before, after = _edges(term, strict)
+    plain = quoted(F.lower(term))
+    found = F.concat(plain, before, F.lit(WORD), plain, F.lit(")"), after, F.lit(f"{WORD})"))
+    return _own(term, special, found, prefix=IGNORE_CASE)
+
+
+def _own(term: Column, special: str, pattern: Column, *, prefix: str = "") -> Column:
     for text, own in special_terms(special).items():
-        pattern = F.when(term == text, F.lit(own)).otherwise(pattern)
-    return F.concat(F.lit(IGNORE_CASE), pattern)
+        pattern = F.when(term == text, F.lit(prefix + own)).otherwise(pattern)
+    return pattern
+
+
+def _extract(text: Column, ascii_pattern: str, pattern: str) -> Column:
+    """All matches. Text of one byte per character takes a pattern that is quicker to test."""
+    one_byte = F.octet_length(text) == F.length(text)
+    quick = F.regexp_extract_all(text, F.lit(ascii_pattern), F.lit(0))
+    return F.when(one_byte, quick).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return _extract(text, "[a-zA-Z0-9_]+", f"{WORD}+")
 
 
 def potential_terms(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(POTENTIAL_TERM), F.lit(0))
+    return _extract(text, rf"\b{POTENTIAL_TERM}\b", f"{START}{POTENTIAL_TERM}{END}")

@@ -60,39 +60,46 @@ def split_row_number(
     )
 
 
-def exact_median(
-    hist: DataFrame, keys: Sequence[str], *, value: str = "value", freq: str = "freq", min_rows: int = 1
-) -> DataFrame:
-    """Both middle values of each group, as ``median_lo`` and ``median_hi`` (equal for odd sizes).
+def value_stats(hist: DataFrame, keys: Sequence[str], *, min_rows: int = 1) -> DataFrame:
+    """Size, sum, ends and both middle values of each group of counted integers.
 
-    ``hist`` holds one row per (keys, value) with its frequency. Values are integers; 4096
-    neighbouring ones share a bucket, the buckets are counted first, and only the one or two
-    that hold the middle are looked into. Groups under ``min_rows`` are left out.
+    ``hist`` holds one row per (keys, value) with its ``freq``. Neighbouring values share a bucket
+    (at most 4096 of them); buckets are summed up first, and only the values of the one or two
+    that hold the middle are ordered. Adds ``jobs``, ``total`` (decimal), ``low``, ``high``,
+    ``median_lo`` and ``median_hi``; groups under ``min_rows`` are left out.
     """
     keys = list(keys)
-    bucket = F.shiftright(F.col(value), 12)
-    counted = hist.groupBy(*keys, bucket.alias("_bucket")).agg(F.sum(freq).alias("_n"))
+    bucket = F.shiftright("value", 12)
+    buckets = hist.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.sum("freq").alias("_n"),
+        F.sum(F.col("value") * F.col("freq")).alias("_sum"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
+    )
     whole = Window.partitionBy(*keys)
-    spread = counted.select(
-        *keys,
-        "_bucket",
+    earlier = F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(*_BEFORE))
+    spread = buckets.select(
+        *[F.col(c).alias(f"_k_{c}") for c in (*keys, "_bucket")],
         "_n",
-        F.coalesce(F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0).cast("bigint")).alias(
-            "_before"
-        ),
-        F.sum("_n").over(whole).alias("_total"),
+        F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_before"),
+        F.sum("_n").over(whole).alias("jobs"),
+        F.sum(F.col("_sum").cast("decimal(20,0)")).over(whole).alias("total"),
+        F.min("_min").over(whole).alias("low"),
+        F.max("_max").over(whole).alias("high"),
     )
     one, two = F.lit(1).cast("bigint"), F.lit(2).cast("bigint")
-    low, high = int_div(F.col("_total") - one, two), int_div(F.col("_total"), two)
+    nth_low, nth_high = int_div(F.col("jobs") - one, two), int_div(F.col("jobs"), two)
     middle = spread.filter(
-        (F.col("_total") >= min_rows) & (F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low)
-    ).select(*[F.col(c).alias(f"_m_{c}") for c in (*keys, "_bucket")], "_before", "_total")
-
+        (F.col("jobs") >= min_rows)
+        & (F.col("_before") <= nth_high)
+        & (F.col("_before") + F.col("_n") > nth_low)
+    )
     values = hist.withColumn("_bucket", bucket)
-    same = null_safe(values, middle, [(c, f"_m_{c}") for c in (*keys, "_bucket")])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(*_SO_FAR)
-    upto = values.join(middle, same).withColumn("_upto", F.col("_before") + F.sum(freq).over(inside))
+    near = values.join(middle, null_safe(values, middle, [(c, f"_k_{c}") for c in (*keys, "_bucket")]))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(*_SO_FAR)
+    upto = near.withColumn("_upto", F.col("_before") + F.sum("freq").over(inside))
     return upto.groupBy(*keys).agg(
-        F.min(F.when(F.col("_upto") > low, F.col(value))).alias("median_lo"),
-        F.min(F.when(F.col("_upto") > high, F.col(value))).alias("median_hi"),
+        *[F.max(c).alias(c) for c in ("jobs", "total", "low", "high")],
+        F.min(F.when(F.col("_upto") > nth_low, F.col("value"))).alias("median_lo"),
+        F.min(F.when(F.col("_upto") > nth_high, F.col("value"))).alias("median_hi"),
     )

@@ -102,6 +102,6 @@ def discovery_stats(disc: DataFrame, *, top: int = 10, min_count: int = 3, min_c
     ).withColumns(
         {
             "pending_promotion": pending.agg(F.count(F.lit(1))).scalar(),
-            "top_pending": F.transform(head.agg(F.array_sort(F.collect_list("r"))).scalar(), lambda r: r["entry"]),
+            "top_pending": head.agg(F.array_sort(F.collect_list("r"))["entry"]).scalar(),
         }
     )

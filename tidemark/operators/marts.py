@@ -22,7 +22,7 @@ from tidemark.functions.exact import (
     product,
     value_midpoint,
 )
-from tidemark.functions.ranking import exact_median, name_prefix, null_safe, split_row_number
+from tidemark.functions.ranking import name_prefix, split_row_number, value_stats
 
 
 def enriched(job_skills: DataFrame, skills: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -163,32 +163,23 @@ def skill_cooccurrence(
     return with_period(mart, as_of)
 
 
-def _pay_stats(
-    rows: DataFrame, hist: DataFrame, keys: list[str], prefix: str, *, min_jobs: int, approx: bool
-) -> DataFrame:
-    """Jobs, pay sum, ends and median per group; all but a sketched median come from counted values."""
-    stats = (
-        hist.groupBy(*keys)
-        .agg(
-            F.sum("freq").alias(f"{prefix}_jobs"),
-            F.sum(product(F.col("value"), F.col("freq"))).alias(f"{prefix}_sum"),
-            F.min("value").alias(f"{prefix}_min"),
-            F.max("value").alias(f"{prefix}_max"),
-        )
-        .filter(F.col(f"{prefix}_jobs") >= min_jobs)
-    )
+def _pay_stats(rows: DataFrame, keys: list[str], prefix: str, *, min_jobs: int, approx: bool) -> DataFrame:
+    """Jobs, pay sum, ends and median of ``value`` per group, with a prefix; the median exact or sketched."""
     if approx:
         sketch = F.percentile_approx("value", 0.5, 10000)
-        medians = rows.groupBy(*keys).agg(sketch.alias("median_lo"), sketch.alias("median_hi"))
+        stats = rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("jobs"),
+            F.sum("value").alias("total"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            sketch.alias("median_lo"),
+            sketch.alias("median_hi"),
+        )
+        stats = stats.filter(F.col("jobs") >= min_jobs)
     else:
-        medians = exact_median(hist, keys, min_rows=min_jobs)
-    medians = medians.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("median_lo").alias(f"{prefix}_lo"),
-        F.col("median_hi").alias(f"{prefix}_hi"),
-    )
-    same = null_safe(stats, medians, [(k, f"_k_{k}") for k in keys])
-    return stats.join(medians, same).drop(*[f"_k_{k}" for k in keys])
+        counted = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("freq"))
+        stats = value_stats(counted, keys, min_rows=min_jobs)
+    return stats.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in stats.columns if c not in keys])
 
 
 def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False, as_of: date | None = None) -> DataFrame:
@@ -199,18 +190,15 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False,
     """
     paid = enr.filter(F.col("salary_midpoint") > 0).withColumn("value", half_cents(F.col("salary_midpoint")))
     segment = ["search_role", "country_code"]
-    skill = ["skill_id", "skill_name", "skill_category", *segment, "salary_currency"]
-    freq = F.count(F.lit(1)).alias("freq")
-
+    skill = ["skill_id", *segment, "salary_currency"]
+    names = paid.select("skill_id", "skill_name", "skill_category").distinct()
     paid_jobs = paid.select("job_id", *segment, "value").distinct()
-    market_hist = paid_jobs.groupBy(*segment, "value").agg(freq)
-    skill_hist = paid.groupBy(*skill, "value").agg(freq)
-    market = _pay_stats(paid_jobs, market_hist, segment, "m", min_jobs=1, approx=approx)
-    by_skill = _pay_stats(paid, skill_hist, skill, "s", min_jobs=min_jobs, approx=approx)
+    market = _pay_stats(paid_jobs, segment, "m", min_jobs=1, approx=approx)
+    by_skill = _pay_stats(paid, skill, "s", min_jobs=min_jobs, approx=approx)
 
-    mean = F.col("s_sum").cast("double") / F.col("s_jobs")
+    mean = F.col("s_total").cast("double") / F.col("s_jobs")
     ranked = split_row_number(
-        by_skill.withColumn("_mean", mean),
+        by_skill.join(names, "skill_id").withColumn("_mean", mean),
         segment,
         [F.desc("_mean"), F.col("skill_name"), F.col("skill_id"), F.col("salary_currency")],
         [(F.floor(F.col("_mean") / 20000), True)],
@@ -219,16 +207,16 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False,
     two_hundred = F.lit(200).cast("decimal(3,0)")
 
     def mean_pay(p: str) -> Column:
-        return exact_ratio_wide(F.col(f"{p}_sum"), F.col(f"{p}_jobs") * two_hundred, 2)
+        return exact_ratio_wide(F.col(f"{p}_total"), F.col(f"{p}_jobs") * two_hundred, 2)
 
     def median_pay(p: str) -> Column:
-        quarter_cents = F.col(f"{p}_lo") + F.col(f"{p}_hi")
+        quarter_cents = F.col(f"{p}_median_lo") + F.col(f"{p}_median_hi")
         return int_div(quarter_cents + F.lit(2).cast("bigint"), F.lit(4).cast("bigint")) / F.lit(100.0)
 
     def end_pay(c: str) -> Column:
         return int_div(F.col(c) + F.lit(1).cast("bigint"), F.lit(2).cast("bigint")) / F.lit(100.0)
 
-    gap = product(F.col("s_sum"), F.col("m_jobs")) - product(F.col("m_sum"), F.col("s_jobs"))
+    gap = product(F.col("s_total"), F.col("m_jobs")) - product(F.col("m_total"), F.col("s_jobs"))
     mart = ranked.join(market, segment).select(
         "skill_id",
         "skill_name",
@@ -239,13 +227,13 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False,
         F.col("s_jobs").alias("jobs_with_skill"),
         mean_pay("s").alias("avg_salary_with_skill"),
         median_pay("s").alias("median_salary_with_skill"),
-        end_pay("s_min").alias("min_salary_with_skill"),
-        end_pay("s_max").alias("max_salary_with_skill"),
+        end_pay("s_low").alias("min_salary_with_skill"),
+        end_pay("s_high").alias("max_salary_with_skill"),
         F.col("m_jobs").alias("total_jobs_with_salary"),
         mean_pay("m").alias("market_avg_salary"),
         median_pay("m").alias("market_median_salary"),
         exact_ratio_wide(gap, product(F.col("s_jobs"), F.col("m_jobs") * 200), 2).alias("salary_premium_absolute"),
-        exact_ratio_wide(gap, product(F.col("m_sum"), F.col("s_jobs")), 2, percent=True).alias(
+        exact_ratio_wide(gap, product(F.col("m_total"), F.col("s_jobs")), 2, percent=True).alias(
             "salary_premium_percentage"
         ),
         "rank_by_salary",

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.patterns import WORD, potential_terms, special_terms, term_pattern, words
+from tidemark.functions.patterns import WORD, potential_terms, search_pattern, special_terms, term_pattern, words
 from tidemark.schemas import CANDIDATES, generic_words, label_categories
 
 # Phrase terms kept inside the scan; a larger set is matched through a join instead.
@@ -36,9 +36,10 @@ def taxonomy_terms(taxonomy: DataFrame) -> DataFrame:
 def compile_terms(terms: DataFrame, *, special: str = "full", strict: bool = False) -> DataFrame:
     """Terms with their ``pattern`` and how to look for it.
 
-    ``kind`` is 'word' for a term that is a single word, which is found by comparing words. Other
-    terms are 'phrase': their ``anchor`` is a word the text must hold before the pattern is tried.
-    Terms with a pattern of their own, or without any word, have a ``probe`` to look for instead.
+    ``kind`` is 'word' for a term that is a single word, which is found by comparing words with its
+    ``term_key``. For other terms, 'phrase', the key is a pattern for lower-case text, tried only
+    where the text holds their ``anchor``, a word of theirs. Terms with a pattern of their own, or
+    without any word, have a ``probe`` to look for instead.
     """
     term = F.col("term")
     own = term.isin(*special_terms(special))
@@ -47,10 +48,12 @@ def compile_terms(terms: DataFrame, *, special: str = "full", strict: bool = Fal
     anchor = F.when(~own & (first != ""), first)
     # 'Node.js' also matches 'NodeJS': what it must hold is the part before the dot.
     stem = F.lower(F.when(own & term.endswith(".js"), F.substring_index(term, ".js", 1)).otherwise(term))
-    return terms.withColumn("pattern", term_pattern(term, special=special, strict=strict)).select(
+    search = search_pattern(term, special=special, strict=strict)
+    return terms.select(
         "*",
+        term_pattern(term, special=special, strict=strict).alias("pattern"),
         F.when(is_word, "word").otherwise("phrase").alias("kind"),
-        F.when(is_word, F.lower(term)).otherwise(F.col("pattern")).alias("term_key"),
+        F.when(is_word, F.lower(term)).otherwise(search).alias("term_key"),
         anchor.alias("anchor"),
         F.when(anchor.isNull(), stem).alias("probe"),
     )
@@ -62,30 +65,35 @@ def _constant(value: list, kind: str) -> Column:
 
 
 def _phrase_hits(read: DataFrame, phrases: list[Row]) -> DataFrame:
-    """Add ``keys``: the words of a text, and the patterns of its phrases, one per mention.
+    """Add ``keys``: the words of a text, and the keys of its phrases, one per mention.
 
     A phrase is tried only where its anchor is among the words, or its probe in the text.
     """
     anchors = _constant(sorted({p["anchor"] for p in phrases if p["anchor"]}), "array<string>")
-    listed = _constant([p.asDict() for p in phrases], "array<struct<pattern: string, anchor: string, probe: string>>")
+    listed = _constant([p.asDict() for p in phrases], "array<struct<term_key: string, anchor: string, probe: string>>")
     tried = F.filter(
         listed,
         lambda p: F.when(p["anchor"].isNotNull(), F.array_contains("present", p["anchor"])).otherwise(
             F.contains(F.col("lowered"), p["probe"])
         ),
     )
-    present = read.withColumn("present", F.array_intersect(anchors, F.col("tokens")))
+    present = read.withColumn("present", F.array_intersect("tokens", anchors))
     return present.withColumn("keys", F.concat("tokens", _mentions(tried)))
 
 
 def _mentions(phrases: Column) -> Column:
-    """The pattern of each phrase, as often as the text mentions it."""
+    """The key of each phrase, as often as the text mentions it."""
     counted = F.transform(
-        phrases, lambda p: F.array_repeat(p["pattern"], F.regexp_count(F.col("text"), p["pattern"]))
+        phrases, lambda p: F.array_repeat(p["term_key"], F.regexp_count(F.col("lowered"), p["term_key"]))
     )
     return F.flatten(counted)
 
 
+def _unfolded(keys: DataFrame, column: Column) -> DataFrame:
+    # The outer form spares Catalyst's filter on the array's size, which would work it out twice.
+    return keys.select("job_id", F.explode_outer(column).alias("term_key"))
+
+
 def extract_terms(docs: DataFrame, terms: DataFrame, *, special: str = "full", strict: bool = False) -> DataFrame:
     """Taxonomy terms found per job with their number of mentions; counts of a name and its aliases add up.
 
@@ -93,11 +101,13 @@ def extract_terms(docs: DataFrame, terms: DataFrame, *, special: str = "full", s
     patterns within the scan.
     """
     compiled = compile_terms(terms, special=special, strict=strict)
-    phrases = compiled.filter(F.col("kind") == "phrase").select("pattern", "anchor", "probe").distinct()
+    phrases = compiled.filter(F.col("kind") == "phrase").select("term_key", "anchor", "probe").distinct()
     few = phrases.limit(INLINE_PHRASES + 1).collect()
-    read = docs.select("job_id", "text", F.lower("text").alias("lowered")).withColumn("tokens", words(F.col("lowered")))
-    if len(few) <= INLINE_PHRASES:
-        found = _phrase_hits(read, few).select("job_id", F.explode("keys").alias("term_key"))
+    read = docs.select("job_id", F.lower("text").alias("lowered")).withColumn("tokens", words(F.col("lowered")))
+    if not few:
+        found = _unfolded(read, F.col("tokens"))
+    elif len(few) <= INLINE_PHRASES:
+        found = _unfolded(_phrase_hits(read, few), F.col("keys"))
     else:
         found = _found_by_anchor(read, phrases)
     wanted = compiled.select("term_key", "canonical", "category", "subcategory")
@@ -115,14 +125,14 @@ def _found_by_anchor(read: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     own = phrases.filter(F.col("anchor").isNull())
     due = (
-        read.select("job_id", F.explode(F.array_distinct("tokens")).alias("anchor"))
+        read.select("job_id", F.explode_outer(F.array_distinct("tokens")).alias("anchor"))
         .join(phrases.filter(F.col("anchor").isNotNull()), "anchor")
         .groupBy("job_id")
-        .agg(F.collect_list(F.struct("pattern")).alias("due"))
+        .agg(F.collect_list(F.struct("term_key")).alias("due"))
     )
-    words_found = _phrase_hits(read, own.collect()).select("job_id", F.explode("keys").alias("term_key"))
-    texts = read.select("job_id", "text").join(due, "job_id")
-    return words_found.unionByName(texts.select("job_id", F.explode(_mentions(F.col("due"))).alias("term_key")))
+    texts = read.select("job_id", "lowered").join(due, "job_id")
+    by_word = _unfolded(_phrase_hits(read, own.collect()), F.col("keys"))
+    return by_word.unionByName(_unfolded(texts, _mentions(F.col("due"))))
 
 
 def term_coverage(docs: DataFrame, found: DataFrame, *, max_terms: int = 20) -> DataFrame:

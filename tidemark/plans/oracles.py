@@ -705,20 +705,33 @@ part(
 )
 part(
     "pt_terms",
-    "SELECT term, needle, canonical, coalesce(category, 'Unknown') AS category, coalesce(subcategory, '') AS subcategory"
+    "SELECT term, canonical, coalesce(category, 'Unknown') AS category, coalesce(subcategory, '') AS subcategory"
     " FROM (VALUES "
     + ", ".join(
-        "(" + ", ".join(literal(v) for v in (t, doubled(t.lower()), r["name"], r["category"], r["subcategory"])) + ")"
+        "(" + ", ".join(literal(v) for v in (t, r["name"], r["category"], r["subcategory"])) + ")"
         for r in taxonomy_rows()
         for t in [r["name"], *(r["aliases"] or [])]
     )
-    + ") v(term, needle, canonical, category, subcategory)",
-)
+    + ") v(term, canonical, category, subcategory)",
+)
+def phrase_hits() -> str:
+    phrases = sorted({t for r in taxonomy_rows() for t in [r["name"], *(r["aliases"] or [])] if re.search(r"\W", t)})
+    return " UNION ALL ".join(
+        f"""SELECT job_id, {literal(t)} AS term,
+          len(regexp_extract_all(lower(dbl), {literal(f"[^{W}]" + re.escape(doubled(t.lower())) + f"[^{W}]")})) AS n
+          FROM pt_docs"""
+        for t in phrases
+    )
+
+
 part(
     "pt_hits",
     f"""SELECT job_id, canonical AS skill_name, category, subcategory, sum(n)::BIGINT AS mention_count
-      FROM (SELECT job_id, t.*, len(regexp_extract_all(low, '[^{W}]' || regexp_escape(needle) || '[^{W}]')) AS n
-        FROM (SELECT job_id, lower(dbl) AS low FROM pt_docs) CROSS JOIN pt_terms t)
+      FROM (
+        SELECT job_id, lower(word) AS term, count(*) AS n
+        FROM (SELECT job_id, unnest(regexp_extract_all(text, '[{W}]+')) AS word FROM pt_docs) GROUP BY 1, 2
+        UNION ALL {phrase_hits()}) h
+      JOIN pt_terms t ON h.term = t.term
       WHERE n > 0 GROUP BY 1, 2, 3, 4""",
 )
 part(

@@ -73,12 +73,13 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping A: brands of an order's lines, one row per (order, brand) with the number of lines."""
-    part = table(spark, sf_dir, "part").select("p_partkey", _brand_id().alias("skill_id"), F.col("p_brand").alias("skill_name"))
+    part = table(spark, sf_dir, "part").select("p_partkey", _brand_id().alias("skill_id"))
     return (
         table(spark, sf_dir, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("job_id"), "skill_id", "skill_name")
+        .groupBy(F.col("l_orderkey").alias("job_id"), "skill_id")
         .agg(F.count(F.lit(1)).alias("mention_count"))
+        .withColumn("skill_name", F.concat(F.lit("Brand#"), F.col("skill_id").cast("string")))
     )
 
 
