@@ -26,6 +26,17 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, (left[x].eqNullSafe(right[y]) for x, y in pairs))
 
 
+def summed_whole(df: DataFrame, keys: Sequence[str], *sums: Column) -> DataFrame:
+    """``df.groupBy(keys).agg(sums)`` that reads every column of ``df``.
+
+    For an aggregate used both row by row and summed up: column pruning would give the two uses
+    different plans and have the aggregate worked out twice. Needing the same columns, they share
+    one exchange.
+    """
+    touched = F.max(F.xxhash64(*df.columns)).alias("_touched")
+    return df.groupBy(*keys).agg(*sums, touched).filter(F.col("_touched").isNotNull()).drop("_touched")
+
+
 def name_prefix(name: str) -> Column:
     return F.substring(F.col(name), 1, NAME_PREFIX)
 
@@ -46,7 +57,7 @@ def split_row_number(
     cut = df.select("*", *[expr.alias(k) for (expr, _), k in zip(splits, keys)])
     coarse = [F.col(k).desc_nulls_last() if desc else F.col(k).asc_nulls_last() for (_, desc), k in zip(splits, keys)]
 
-    offsets = cut.groupBy(*parts, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = summed_whole(cut, [*parts, *keys], F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy(*parts).orderBy(*coarse).rowsBetween(*_BEFORE))
     offsets = offsets.select(
         *[F.col(c).alias(f"_o_{c}") for c in (*parts, *keys)],

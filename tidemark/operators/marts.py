@@ -22,7 +22,7 @@ from tidemark.functions.exact import (
     product,
     value_midpoint,
 )
-from tidemark.functions.ranking import name_prefix, split_row_number, value_stats
+from tidemark.functions.ranking import name_prefix, split_row_number, summed_whole, value_stats
 
 
 def enriched(job_skills: DataFrame, skills: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -196,14 +196,11 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False,
     market = _pay_stats(paid_jobs, segment, "m", min_jobs=1, approx=approx)
     by_skill = _pay_stats(paid, skill, "s", min_jobs=min_jobs, approx=approx)
 
-    mean = F.col("s_total").cast("double") / F.col("s_jobs")
-    ranked = split_row_number(
-        by_skill.join(names, "skill_id").withColumn("_mean", mean),
-        segment,
-        [F.desc("_mean"), F.col("skill_name"), F.col("skill_id"), F.col("salary_currency")],
-        [(F.floor(F.col("_mean") / 20000), True)],
-        "rank_by_salary",
+    # A segment's rows here are skills with enough paid jobs: as many as the vocabulary, whatever the number of jobs.
+    best = Window.partitionBy(*segment).orderBy(
+        (F.col("s_total").cast("double") / F.col("s_jobs")).desc(), "skill_name", "skill_id", "salary_currency"
     )
+    ranked = by_skill.join(names, "skill_id").withColumn("rank_by_salary", F.row_number().over(best).cast("bigint"))
     two_hundred = F.lit(200).cast("decimal(3,0)")
 
     def mean_pay(p: str) -> Column:
@@ -259,7 +256,9 @@ def company_leaderboard(jobs: DataFrame, *, top_n: int = 100, as_of: date | None
     )
     top = company.withColumn("rank_in_role_country", in_segment).filter(F.col("rank_in_role_country") <= top_n)
     in_country = split_row_number(
-        company.groupBy("company_name", "country_code").agg(F.sum("job_count").alias("company_total_jobs_in_country")),
+        summed_whole(
+            company, ["company_name", "country_code"], F.sum("job_count").alias("company_total_jobs_in_country")
+        ),
         ["country_code"],
         [F.desc("company_total_jobs_in_country"), F.col("company_name")],
         [(F.col("company_total_jobs_in_country"), True), (name_prefix("company_name"), False)],
