@@ -111,19 +111,18 @@ def test_taxonomy_defaults(spark):
     assert rows == {("A", "A", "Unknown", ""), ("B", "B", "c", "s"), ("b1", "B", "c", "s"), ("b2", "B", "c", "s")}
 
 
-def make_finder():
-    def find(texts):
-        return [
-            [{"text": " Polars ", "label": "big data tool", "score": 0.81234}, {"text": "POLARS", "label": "other", "score": 0.9}]
-            + [{"text": "data", "label": "other", "score": 0.9}, {"text": "Weak", "label": "other", "score": 0.4}]
-            + [{"text": "python", "label": "programming language", "score": 0.7}]
-            for _ in texts
-        ]
-
-    return find
+def test_custom_finder_and_merge(spark):
+    def make_finder():
+        def find(texts):
+            return [
+                [{"text": " Polars ", "label": "big data tool", "score": 0.81234}, {"text": "POLARS", "label": "other", "score": 0.9}]
+                + [{"text": "data", "label": "other", "score": 0.9}, {"text": "Weak", "label": "other", "score": 0.4}]
+                + [{"text": "python", "label": "programming language", "score": 0.7}]
+                for _ in texts
+            ]
 
+        return find
 
-def test_custom_finder_and_merge(spark):
     body = "Python and many other things are asked for in this long enough posting text"
     docs = spark.createDataFrame([(1, body), (2, "short")], "job_id long, text string")
     known = terms(spark, ("Python", "Lang", "", []), ("SQL", "Lang", "", []))

@@ -33,14 +33,19 @@ def dedup_first_wins(
 def active_grid(
     roles: DataFrame, countries: DataFrame, *, role: str | None = None, country: str | None = None
 ) -> DataFrame:
-    """Every active role with every active country, or with the one asked for."""
-    r = roles.filter("is_active").select("role_name", "is_active")
-    c = countries.filter("is_active").select("country_code", "country_name", "is_active")
+    """Every active role with every active country, or with the one asked for.
+
+    The active countries, a fixed dimension of a few rows, are unfolded under each role.
+    """
+    r = roles.filter("is_active")
+    c = countries.filter("is_active")
     if role is not None:
         r = r.filter(F.col("role_name") == role)
     if country is not None:
         c = c.filter(F.col("country_code") == country)
-    return r.join(c, "is_active").select(F.col("role_name").alias("search_role"), "country_code", "country_name")
+    listed = c.agg(F.collect_list(F.struct("country_code", "country_name"))).scalar()
+    cells = r.select(F.col("role_name").alias("search_role"), listed.alias("places"))
+    return cells.select("search_role", F.inline("places"))
 
 
 def in_grid(postings: DataFrame, grid: DataFrame) -> DataFrame:
