@@ -243,7 +243,7 @@ def skill_gap(spark, sf_dir):
         F.count(F.lit(1)).alias("job_count")
     )
     known = marts.role_skills(enr, min_jobs=40)
-    return serve.skill_gap(demand, known, _similarity(spark, sf_dir), from_role="NATION_7", to_role="NATION_6")
+    return serve.skill_gap(demand, known, _similarity(spark, sf_dir), from_role="NATION_9", to_role="NATION_6")
 
 
 @query
@@ -724,12 +724,12 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_discoveries(spark, sf_dir):
-    """Discoveries the stream leaves after taking all documents in several batches."""
+    """Discoveries the stream leaves after taking all documents in one batch."""
     out = scratch_dir(spark, "stream-discoveries")
     jobs = stage.flatten_posting(mapping.document_postings(spark, sf_dir))[0]
     jobs.withColumn("processed_at", F.col("extracted_at")).repartition(3, "job_id").write.parquet(f"{out}/staged")
     run = stream_discovery.stream_discoveries(
-        spark, f"{out}/staged", out, f"{out}/checkpoint", taxonomy=mapping.taxonomy(spark), max_files=2
+        spark, f"{out}/staged", out, f"{out}/checkpoint", taxonomy=mapping.taxonomy(spark), mode="discover_all"
     )
     run.awaitTermination()
     return stream_discovery.stream_totals(spark, out).select("skill_key", "category", "occurrence_count", "is_promoted")
@@ -750,9 +750,9 @@ def dq_unique(spark, sf_dir):
 
 @query
 def dq_relationships(spark, sf_dir):
-    customers = mapping.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "custkey")
-    orders = mapping.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey")
-    return quality.dq_relationships(customers, orders, key="custkey").select("custkey", "c_name")
+    """Documents that have no label."""
+    docs = mapping.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return quality.dq_relationships(docs, mapping.table(spark, sf_dir, "labels"), key="doc_id")
 
 
 @query

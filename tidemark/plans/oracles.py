@@ -446,15 +446,15 @@ oracle(
 oracle("similarity_cells", "SELECT * FROM pt_cells")
 oracle(
     "skill_gap",
-    f"""SELECT 'NATION_7' AS from_role, 'NATION_6' AS to_role, skill_name, skill_category, job_count, similarity,
+    f"""SELECT 'NATION_9' AS from_role, 'NATION_6' AS to_role, skill_name, skill_category, job_count, similarity,
       shared_skills_count, difficulty
       FROM (SELECT skill_name, 'names' AS skill_category, sum(job_count)::BIGINT AS job_count FROM (
           SELECT skill_name, count(DISTINCT job_id) AS job_count FROM pt_names WHERE search_role = 'NATION_6' GROUP BY 1)
         GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20) t
       CROSS JOIN (SELECT jaccard_similarity AS similarity, shared_skills_count,
           {DIFFICULTY.format("jaccard_similarity")} AS difficulty
-        FROM pt_sim WHERE role_1 = 'NATION_6' AND role_2 = 'NATION_7') p
-      WHERE skill_name NOT IN (SELECT skill_name FROM pt_roleset WHERE search_role = 'NATION_7')
+        FROM pt_sim WHERE role_1 = 'NATION_6' AND role_2 = 'NATION_9') p
+      WHERE skill_name NOT IN (SELECT skill_name FROM pt_roleset WHERE search_role = 'NATION_9')
       ORDER BY job_count DESC, skill_name LIMIT 10""",
 )
 oracle(
@@ -830,23 +830,28 @@ oracle(
 
 # --- discovery --------------------------------------------------------------------------------
 
-part(
-    "pt_sightings",
-    """SELECT h.*, lower(skill_name) AS skill_key, d.source || ' @ ' || d.lang AS context,
-      TIMESTAMP '2024-01-01' + to_minutes(h.job_id % 525600) AS seen_at,
-      row_number() OVER (PARTITION BY lower(skill_name)
-        ORDER BY TIMESTAMP '2024-01-01' + to_minutes(h.job_id % 525600), h.job_id, position) AS nth
-      FROM pt_hybrid h JOIN pt_docs d ON h.job_id = d.job_id WHERE extraction_method = 'gliner_unverified'""",
-)
-part(
-    "pt_disc",
-    """SELECT skill_key, max(skill_name) FILTER (WHERE nth = 1) AS name, max(category) FILTER (WHERE nth = 1) AS category,
-      max(subcategory) FILTER (WHERE nth = 1) AS subcategory, min(seen_at) AS first_seen, max(seen_at) AS last_seen,
-      count(*) AS occurrence_count,
+
+
+def sightings_sql(merged: str) -> str:
+    seen = "TIMESTAMP '2024-01-01' + to_minutes(h.job_id % 525600)"
+    return f"""SELECT h.*, lower(skill_name) AS skill_key, d.source || ' @ ' || d.lang AS context, {seen} AS seen_at,
+      row_number() OVER (PARTITION BY lower(skill_name) ORDER BY {seen}, h.job_id, position) AS nth
+      FROM {merged} h JOIN pt_docs d ON h.job_id = d.job_id WHERE extraction_method = 'gliner_unverified'"""
+
+
+def disc_sql(sightings: str) -> str:
+    return f"""SELECT skill_key, max(skill_name) FILTER (WHERE nth = 1) AS name,
+      max(category) FILTER (WHERE nth = 1) AS category, max(subcategory) FILTER (WHERE nth = 1) AS subcategory,
+      min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS occurrence_count,
       sum(floor(confidence * 1000.0 + 0.5)::BIGINT)::DOUBLE / (count(*) * 1000)::DOUBLE AS avg_confidence,
       string_agg(context, '|' ORDER BY nth) FILTER (WHERE nth <= 5) AS sample_contexts, false AS is_promoted
-      FROM pt_sightings GROUP BY 1""",
-)
+      FROM {sightings} GROUP BY 1"""
+
+
+part("pt_seen", sightings_sql("pt_hybrid"))
+part("pt_disc", disc_sql("pt_seen"))
+part("pt_allseen", sightings_sql("pt_merged"))
+part("pt_alldisc", disc_sql("pt_allseen"))
 FIT = "occurrence_count >= 3 AND avg_confidence >= 0.75"
 oracle("discoveries", "SELECT * FROM pt_disc")
 oracle("promotion_candidates", f"SELECT * FROM pt_disc WHERE {FIT}")
@@ -871,6 +876,11 @@ oracle(
         FROM (SELECT * FROM pt_disc ORDER BY occurrence_count DESC, skill_key LIMIT 10)) AS top_pending
       FROM pt_disc""",
 )
+oracle(
+    "stream_discoveries",
+    f"""SELECT skill_key, category, occurrence_count,
+      {FIT} AND skill_key NOT IN (SELECT lower(name) FROM pt_taxo) AS is_promoted FROM pt_alldisc""",
+)
 
 # --- quality and extras -----------------------------------------------------------------------
 
@@ -886,7 +896,7 @@ oracle(
 )
 oracle(
     "dq_relationships",
-    "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
 
 
