@@ -122,11 +122,12 @@ def skill_cooccurrence(
         frequent = totals.filter(F.col("total") >= min_count).select("search_role", "skill_id")
         tags = tags.join(frequent, ["search_role", "skill_id"], "left_semi")
 
-    one = tags.select("job_id", "search_role", F.col("skill_id").alias("skill_id_1"))
-    two = tags.select("job_id", F.col("skill_id").alias("skill_id_2"))
+    # A job has one role. Comparing it has both sides need the same columns, so they share one shuffle by job.
+    later = (F.col("a.skill_id") < F.col("b.skill_id")) & (F.col("a.search_role") <= F.col("b.search_role"))
     pairs = (
-        one.join(two, (one["job_id"] == two["job_id"]) & (F.col("skill_id_1") < F.col("skill_id_2")))
-        .groupBy("search_role", "skill_id_1", "skill_id_2")
+        tags.alias("a")
+        .join(tags.alias("b"), (F.col("a.job_id") == F.col("b.job_id")) & later)
+        .groupBy("a.search_role", F.col("a.skill_id").alias("skill_id_1"), F.col("b.skill_id").alias("skill_id_2"))
         .agg(F.count(F.lit(1)).alias("cooccurrence_count"))
         .filter(F.col("cooccurrence_count") >= min_count)
     )

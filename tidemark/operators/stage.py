@@ -167,9 +167,18 @@ def write_snapshot(snapshot: DataFrame, history: str) -> None:
     writer.partitionBy("snapshot_date").parquet(history)
 
 
-def rebuild(raw: DataFrame, taxonomy: DataFrame, *, as_of: datetime, **options) -> dict[str, DataFrame]:
-    """Staging tables made anew from all raw rows."""
+def rebuild(
+    raw: DataFrame, taxonomy: DataFrame, *, as_of: datetime, work: str | None = None, **options
+) -> dict[str, DataFrame]:
+    """Staging tables made anew from all raw rows.
+
+    With ``work``, a shared folder, the typed postings are written there first, so that the JSON is
+    parsed once for all tables.
+    """
     jobs, bad = flatten_posting(raw)
+    if work is not None:
+        jobs.write.mode("overwrite").parquet(f"{work}/postings")
+        jobs = raw.sparkSession.read.parquet(f"{work}/postings")
     docs = posting_texts(jobs)
     merged, new = text.hybrid_extract(docs, text.taxonomy_terms(taxonomy), **options)
     spark = raw.sparkSession

@@ -544,7 +544,8 @@ def assign_tag_ids_dim(spark, sf_dir):
 @query
 def rebuild(spark, sf_dir):
     """Skills of all postings staged anew, by the posting's platform id."""
-    tables = stage.rebuild(mapping.document_postings(spark, sf_dir), mapping.taxonomy(spark), as_of=AS_OF_TIME)
+    raw, work = mapping.document_postings(spark, sf_dir), scratch_dir(spark, "rebuild")
+    tables = stage.rebuild(raw, mapping.taxonomy(spark), as_of=AS_OF_TIME, work=work)
     ids = tables["stg_jobs"].select("job_id", F.col("job_platform_id").cast("bigint").alias("posting"))
     skills = tables["stg_job_skills"].filter("verified").join(ids, "job_id")
     return skills.select(F.col("posting").alias("job_id"), "skill_name", "mention_count", "extraction_method")
