@@ -405,20 +405,25 @@ def skill_gap(
         .limit(target_top)
     )
     known = role_skills.filter(F.col("search_role") == from_role).select("skill_name")
-    ends = {"from_role": F.lit(from_role), "to_role": F.lit(to_role)}
-    pair = (
-        sim.filter((F.col("role_1") == min(from_role, to_role)) & (F.col("role_2") == max(from_role, to_role)))
-        .withColumns(ends)
+    between = (F.col("role_1") == min(from_role, to_role)) & (F.col("role_2") == max(from_role, to_role))
+    # The pair is one row of the mart: a scalar, NULL where the mart has no such pair.
+    pair = sim.filter(between).agg(F.max(F.struct("jaccard_similarity", "shared_skills_count"))).scalar()
+    missing = target.join(known, "skill_name", "left_anti").withColumn("_pair", pair)
+    return (
+        missing.filter(F.col("_pair").isNotNull())
         .select(
-            "from_role",
-            "to_role",
-            F.col("jaccard_similarity").alias("similarity"),
-            "shared_skills_count",
-            difficulty(F.col("jaccard_similarity")).alias("difficulty"),
+            F.lit(from_role).alias("from_role"),
+            F.lit(to_role).alias("to_role"),
+            "skill_name",
+            "skill_category",
+            "job_count",
+            F.col("_pair.jaccard_similarity").alias("similarity"),
+            F.col("_pair.shared_skills_count").alias("shared_skills_count"),
+            difficulty(F.col("_pair.jaccard_similarity")).alias("difficulty"),
         )
+        .orderBy(F.desc("job_count"), "skill_name")
+        .limit(limit)
     )
-    missing = target.join(known, "skill_name", "left_anti").withColumns(ends)
-    return missing.join(pair, ["from_role", "to_role"]).orderBy(F.desc("job_count"), "skill_name").limit(limit)
 
 
 # --- dashboard --------------------------------------------------------------------------------
