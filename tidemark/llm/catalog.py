@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, language, license, mixing, neardup, pii, tokens, toxicity
+from tidemark.llm import decontaminate, embeddings, katz, language, license, mixing, neardup, pii, tokens, toxicity
 from tidemark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_katz_scores(spark, sf_dir):
+    scored = katz.score(katz.training(table(spark, sf_dir, "documents")))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op2_decontamination(spark, sf_dir):
     """Every document and benchmark item whose passage it holds."""
