@@ -9,10 +9,12 @@ similarity decides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, saved, slices, text_of
@@ -24,9 +26,13 @@ SIMILAR = 0.8
 ROUNDS, BINS = 8, 12
 #: Samples in a band: a pair of similarity 0.8 meets in one of the 16 bands with probability 0.99, one of 0.9 with 0.99997.
 ROWS = 6
+#: How often the outsiders of a bucket meet a member of its main class before they meet all members.
+MEETINGS = 1
 #: Counters of the sketch of document frequencies, in each of its two rows.
 WIDTH = 1 << 20
 PART = 1 << 12
+#: Steps of rounded-up weights: 2 at most, in 8 bits.
+STEPS = 127
 U = np.uint64
 SHIFT = U(64 - 20)
 
@@ -112,39 +118,67 @@ R, LOG_C = _tables()
 
 
 def samples(codes: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Signatures of the texts that have shingles: (texts, ROUNDS * BINS) numbers; others get zeros."""
+    """Signatures of the texts: (texts, ROUNDS * BINS) 32-bit numbers; texts without shingles get zeros."""
     n = len(bounds) - 1
-    out = np.zeros((n, ROUNDS, BINS), dtype=U)
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    out = np.zeros((n, ROUNDS, BINS), dtype=np.uint32)
+    owner = np.repeat(np.arange(n) * BINS, np.diff(bounds))
     log_w = np.log(weight).astype(np.float32)
     rows = np.arange(n)[:, None]
+    low, none = U(0xFFFF), np.iinfo(np.int64).max
     for k in range(ROUNDS):
         h = _mixed(codes, k + 1)
-        low = U(0xFFFF)
-        r, log_c = R[(h & low).astype(np.int64)], LOG_C[((h >> U(16)) & low).astype(np.int64)]
+        r, log_c = R.take((h & low).astype(np.int64)), LOG_C.take(((h >> U(16)) & low).astype(np.int64))
         beta = ((h >> U(32)) & low).astype(np.float32) / np.float32(1 << 16)
         t = np.floor(log_w / r + beta)
-        value = log_c - r * (t - beta + 1)
-        slot = owner * BINS + ((h >> U(48)) % U(BINS)).astype(np.int64)
-        order = np.lexsort((codes, value, slot))
-        slot = slot[order]
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        pick = order[first]
-        mine = np.zeros(n * BINS, dtype=U)
-        mine[slot[first]] = _mixed(codes[pick] + t[pick].astype(np.int64).astype(U) * U(0x9E3779B97F4A7C15), 77) | U(1)
-        mine = mine.reshape(n, BINS)
+        value = (log_c - r * (t - beta + 1)).view(np.int32)
+        # The least value of each bin, with a name of (shingle, t) in the lower half of the number.
+        value ^= (value >> 31) & np.int32(0x7FFFFFFF)
+        name = ((h + t.astype(np.int64).astype(U)) * U(0x9E3779B97F4A7C15) >> U(32)) | U(1)
+        best = np.full(n * BINS, none)
+        np.minimum.at(best, owner + ((h >> U(48)) % U(BINS)).astype(np.int64), (value.astype(np.int64) << 32) | name.astype(np.int64))
+        mine = np.where(best == none, 0, best & 0xFFFFFFFF).astype(np.uint32).reshape(n, BINS)
         # An empty bin takes the next full one's sample, marked by how far it was.
-        place, far = np.tile(np.arange(BINS), (n, 1)), np.zeros((n, BINS), dtype=U)
+        place, far = np.tile(np.arange(BINS), (n, 1)), np.zeros((n, BINS), dtype=np.uint32)
         for _ in range(BINS - 1):
             empty = mine[rows, place] == 0
+            if not empty.any():
+                break
             place = np.where(empty, (place + 1) % BINS, place)
-            far += empty.astype(U)
-        out[:, k] = mine[rows, place] + far * U(0xD6E8FEB86659FD93)
+            far += empty.astype(np.uint32)
+        out[:, k] = mine[rows, place] + far * np.uint32(0x85EBCA6B)
     return out.reshape(n, -1)
 
 
+def brief(signature: np.ndarray) -> np.ndarray:
+    """Two mixed bits of every sample, as numbers of 64 bits: (texts, samples / 32)."""
+    mixed = (signature * np.uint32(0xC2B2AE35)) >> np.uint32(30)
+    two = np.stack([mixed >> np.uint32(1), mixed & np.uint32(1)], 2).astype(np.uint8).reshape(len(signature), -1)
+    return np.packbits(two, axis=1).view(np.int64)
+
+
+def allowed(n: Column, similar: float) -> Column:
+    """How many samples of a pair this similar may differ in their two bits, short of 4.2 standard deviations.
+
+    ``n``: shingles of the smaller text, as short texts fill few bins.
+    """
+    p = (1 - similar) * 0.75
+    independent = F.least(F.lit(float(BINS)), n * 0.6) * ROUNDS
+    return (p + 4.2 * F.sqrt(p * (1 - p) / independent)) * (ROUNDS * BINS)
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many samples two ``brief`` arrays differ."""
+    odd = F.lit(0x5555555555555555)
+
+    def one(i):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
+
+    return reduce(lambda x, y: x + y, [one(i) for i in range(ROUNDS * BINS // 32)])
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(len(signature), -1, ROWS)
+    parts = signature.astype(U).reshape(len(signature), -1, ROWS)
     out = np.zeros(parts.shape[:2], dtype=U)
     for i in range(ROWS):
         out = _mixed(out ^ parts[:, :, i], i + 11)
@@ -166,23 +200,52 @@ def _signed(docs: DataFrame, sketch) -> DataFrame:
             codes, counts, bounds = per_text(batch.column("text"))
             w = weights(sketch.value, codes, counts)
             full = np.flatnonzero(np.diff(bounds))
-            keys = bands(samples(codes, w, bounds))[full]
+            signature = samples(codes, w, bounds)[full]
+            keys, short = bands(signature), brief(signature)
             total = np.add.reduceat(w, bounds[:-1][full]) if len(full) else np.zeros(0)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (short, keys)]
             at = pa.array(full)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("doc_id").take(at), pa.array(total), flat], ["node", "doc_id", "total", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("doc_id").take(at), pa.array(total), pa.array(np.diff(bounds)[full]), *lists], ["node", "doc_id", "total", "n", "brief", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.md5(text_of().cast("binary")).alias("node"), "doc_id", text_of().alias("text"))
-    return texts.mapInArrow(run, f"node string, doc_id {kind}, total double, bands array<bigint>")
+    return texts.mapInArrow(run, f"node string, doc_id {kind}, total double, n bigint, brief array<bigint>, bands array<bigint>")
+
+
+def _rounded(texts: DataFrame, sketch) -> DataFrame:
+    """``held`` of each node: a number for each shingle and time it occurs, its weight rounded up in the last 8 bits."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            codes, counts, bounds = per_text(batch.column("text"))
+            each = np.repeat(np.arange(len(codes)), counts)
+            time = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+            units = np.ceil(weights(sketch.value, codes[each], 1) * STEPS).astype(U)
+            held = ((_mixed(codes[each] + time.astype(U), 55) & ~U(255)) | units).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held))], ["node", "held"])
+
+    return texts.mapInArrow(run, "node string, held array<bigint>")
+
+
+def could_reach(a: str, b: str, similar: float) -> Column:
+    """Whether two texts' shared shingles, weights rounded up, can make them similar; never false for those that are."""
+    shared = F.aggregate(F.array_intersect(a, b), F.lit(0).cast("bigint"), lambda total, x: total + x.bitwiseAND(F.lit(255).cast("bigint")))
+    both = (F.col("sa.total") + F.col("sb.total")) * STEPS
+    return shared * (1 + similar) >= both * (similar * (1 - 1e-9))
+
+
+def _texts(some: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``some``, read from one of the documents with that text."""
+    keys = nodes.join(some, "node", "left_semi").select("node", F.col("doc_id").alias("first_id"))
+    named = docs.select(F.md5(text_of().cast("binary")).alias("node"), "doc_id", text_of().alias("text"))
+    return named.join(keys, "node").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, sketch, similar: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, with ``similarity``."""
     some = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = nodes.join(some, "node", "left_semi").select("node", F.col("doc_id").alias("first_id"))
-    named = docs.select(F.md5(text_of().cast("binary")).alias("node"), "doc_id", text_of().alias("text"))
-    texts = named.join(keys, "node").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    texts = _texts(some, docs, nodes)
 
     def run(batches):
         for batch in batches:
@@ -215,37 +278,50 @@ def _pieces(batch: pa.RecordBatch, column: str):
 def classes(docs: DataFrame, *, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): ``node``, ``doc_id`` (the smallest with that text), ``n_docs``, ``class_node``; verified (a, b).
 
-    A bucket of a band is not expanded into pairs: every member is compared with the bucket's first. Then the
-    members that are not yet in the class of most of their bucket are compared with all members of other
-    classes there, so that no link between classes that some band proposes is left out. Pairs whose total
-    weights alone rule out the similarity are not compared.
+    A bucket of a band is not expanded into pairs: every member is compared with the bucket's first, then those
+    not yet in the class of most of their bucket with a member of it, MEETINGS times. Those
+    still outside it are compared with all members of other classes in the bucket, so that no link between classes that some band proposes is left out. Pairs that their total
+    weights two bits of every sample, or shared shingles of rounded-up weight rule out are not verified.
     """
     spark = docs.sparkSession
     documents, table = document_frequencies(docs)
     sketch = spark.sparkContext.broadcast(rarity(documents, table))
     rows = saved(_signed(docs, sketch), "dup-signed")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.min("total").alias("total"), F.min("bands").alias("bands")), "dup-nodes")
-    members = nodes.select("node", "total", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "total")).alias("first")).filter("n > 1")
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("total", "n", "brief")).alias("sign"), F.min("bands").alias("bands")), "dup-nodes")
+    members = nodes.select("node", "sign", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "sign")).alias("first")).filter("members > 1")
     members = saved(members.join(shared, ["band", "key"]), "dup-buckets")
-    fits = F.least("ta", "tb") >= F.greatest("ta", "tb") * similar * (1 - 1e-9)
-    stars = members.filter("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.total").alias("ta"), F.col("total").alias("tb"))
-    links = saved(_verified(stars.filter(fits).select("a", "b").distinct(), docs, nodes, sketch, similar), "dup-links")
+    fits = F.least("sa.total", "sb.total") >= F.greatest("sa.total", "sb.total") * similar * (1 - 1e-9)
+    fits &= differing("sa.brief", "sb.brief") <= allowed(F.least("sa.n", "sb.n"), similar)
+    stars = members.filter("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.sign").alias("sa"), F.col("sign").alias("sb"))
+    tried = saved(stars.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-tried")
+    links = saved(_verified(tried, docs, nodes, sketch, similar), "dup-links")
     root = saved(components(links), "dup-roots")
-
-    named = members.select("node", "total", "band", "key").join(root, "node", "left").select("node", "total", "band", "key", F.coalesce("root", "node").alias("root"))
-    sizes = named.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "key", F.col("most.root").alias("main"))
-    named = saved(named.join(mixed, ["band", "key"]), "dup-mixed")
-    few = named.filter("root <> main").select("band", "key", F.col("node").alias("a"), F.col("total").alias("ta"), F.col("root").alias("ra"))
-    many = named.select("band", "key", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("root").alias("rb"))
-    across = few.join(many, ["band", "key"]).filter((F.col("ra") != F.col("rb")) & fits)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = saved(_verified(across.join(tried, ["a", "b"], "left_anti"), docs, nodes, sketch, similar), "dup-more")
-    if more.take(1):
-        links = links.unionAll(more)
-        root = saved(components(links), "dup-roots")
+    buckets = members.select("node", "sign", "band", "key")
+    for turn in range(1, MEETINGS + 2):
+        named = buckets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Of each class in a bucket: its size and a member that differs from turn to turn.
+        draw = F.struct(F.xxhash64("node", "band", F.lit(turn)), "node", "sign")
+        sizes = named.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("one"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root", "one")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        named = saved(named.join(mixed.select("band", "key", F.col("most.root").alias("main"), F.col("most.one").alias("one")), ["band", "key"]), "dup-mixed")
+        few = named.filter("root <> main").select("band", "key", F.col("node").alias("a"), F.col("sign").alias("sa"), F.col("root").alias("ra"), "one")
+        if turn <= MEETINGS:
+            pairs = few.select("a", F.col("one.node").alias("b"), "sa", F.col("one.sign").alias("sb")).filter(fits)
+        else:
+            held = saved(_rounded(_texts(named.select("node").distinct(), docs, nodes), sketch), "dup-rounded")
+            few = few.join(held.select(F.col("node").alias("a"), F.col("held").alias("ha")), "a")
+            many = named.select("band", "key", F.col("node").alias("b"), F.col("sign").alias("sb"), F.col("root").alias("rb"))
+            many = many.join(held.select(F.col("node").alias("b"), F.col("held").alias("hb")), "b")
+            pairs = few.join(many, ["band", "key"]).filter((F.col("ra") != F.col("rb")) & fits & could_reach("ha", "hb", similar))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "dup-pairs")
+        if pairs.take(1):
+            more = saved(_verified(pairs, docs, nodes, sketch, similar), "dup-more")
+            tried = tried.unionAll(pairs)
+            if more.take(1):
+                links = links.unionAll(more)
+                root = saved(components(links), "dup-roots")
     ended = nodes.join(root, "node", "left").select("node", "doc_id", "n_docs", F.coalesce("root", "node").alias("class_node"))
     return saved(ended, "dup-classes"), links
 
