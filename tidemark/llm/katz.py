@@ -126,10 +126,12 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
         F.sum(F.when(seen, discounted(F.col("n"), d2))).alias("kept"),
         F.sum(F.when(seen, F.col("p"))).alias("lower"),
     )
+    # A history none of whose counts is discounted leaves half a token, so that unseen words stay possible.
+    contexts = contexts.withColumn("total", F.when(F.col("kept") >= F.col("total") - 1e-9, F.col("total") + 0.5).otherwise(F.col("total").cast("double")))
     # What is left for unseen words, over what the shorter history gives them; a history never seen backs off whole.
     left = 1 - F.col("kept") / F.col("total")
-    alpha = F.when(F.col("total") > 0, left / F.greatest(1 - F.col("lower"), F.lit(1e-12))).otherwise(1.0)
-    contexts = contexts.select("before", "total", F.greatest(alpha, F.lit(1e-12)).alias("alpha"))
+    alpha = F.when(F.col("kept") > 0, left / F.greatest(1 - F.col("lower"), F.lit(1e-12))).otherwise(1.0)
+    contexts = contexts.select("before", "total", "alpha")
     p = F.when(seen, discounted(F.col("n"), d2) / F.col("total")).otherwise(F.col("alpha") * F.col("p"))
     pairs = saved(held.join(contexts, "before").select("before", "word", "c", F.log10(p).alias("logp")), "katz-scores")
     return pairs, words, tokens, unknown

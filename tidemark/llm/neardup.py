@@ -152,7 +152,7 @@ def samples(codes: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.nda
 def brief(signature: np.ndarray) -> np.ndarray:
     """Two mixed bits of every sample, as numbers of 64 bits: (texts, samples / 32)."""
     mixed = (signature * np.uint32(0xC2B2AE35)) >> np.uint32(30)
-    two = np.stack([mixed >> np.uint32(1), mixed & np.uint32(1)], 2).astype(np.uint8).reshape(len(signature), -1)
+    two = np.stack([mixed >> np.uint32(1), mixed & np.uint32(1)], 2).astype(np.uint8).reshape(len(signature), ROUNDS * BINS * 2)
     return np.packbits(two, axis=1).view(np.int64)
 
 
@@ -178,7 +178,7 @@ def differing(a: str, b: str) -> Column:
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    parts = signature.astype(U).reshape(len(signature), -1, ROWS)
+    parts = signature.astype(U).reshape(len(signature), ROUNDS * BINS // ROWS, ROWS)
     out = np.zeros(parts.shape[:2], dtype=U)
     for i in range(ROWS):
         out = _mixed(out ^ parts[:, :, i], i + 11)
