@@ -105,10 +105,10 @@ def compile_model(counts: dict[str, pd.DataFrame], least_share: float = LEAST_SH
     tables, kept = {}, [set(), set(), set(), set()]
     for lang, (g, n) in parts.items():
         h3, h2, h1, s = (to[x].astype(np.int64) for x in g)
-        full = pd.DataFrame({3: (h3 * a + h2) * a + h1, 2: h2 * a + h1, 1: h1, 0: 0 * h1, "s": s, "n": n})
-        tables[lang] = [full.groupby([k, "s"])["n"].sum() for k in range(ORDER + 1)]
+        full = pd.DataFrame({"h3": (h3 * a + h2) * a + h1, "h2": h2 * a + h1, "h1": h1, "h0": 0 * h1, "s": s, "n": n})
+        tables[lang] = [full.groupby([f"h{k}", "s"])["n"].sum() for k in range(ORDER + 1)]
         for k in range(1, ORDER + 1):
-            total = full.groupby(k)["n"].sum()
+            total = full.groupby(f"h{k}")["n"].sum()
             kept[k].update(total.index[total >= max(2, least_share * n.sum())])
     # A state for each context kept in some tree, the empty one first; a history leads to the longest.
     state = np.zeros(a**3, dtype=np.int32)
@@ -130,9 +130,9 @@ def compile_model(counts: dict[str, pd.DataFrame], least_share: float = LEAST_SH
         for k in range(ORDER, -1, -1):
             deep = np.flatnonzero(order >= k)
             series = tables[lang][k]
-            have, inverse = np.unique(series.index.get_level_values(0).to_numpy(np.int64), return_inverse=True)
+            have, inverse = np.unique(series.index.get_level_values(f"h{k}").to_numpy(np.int64), return_inverse=True)
             dense = np.zeros((len(have) + 1, a))
-            dense[inverse, series.index.get_level_values(1).to_numpy(np.int64)] = series.to_numpy()
+            dense[inverse, series.index.get_level_values("s").to_numpy(np.int64)] = series.to_numpy()
             at = np.searchsorted(have, code[deep] % a**k)
             at = np.where((at < len(have)) & (have[np.minimum(at, len(have) - 1)] == code[deep] % a**k), at, len(have))
             cnt = dense[at] * left[deep]
