@@ -131,7 +131,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
     # What is left for unseen words, over what the shorter history gives them; a history never seen backs off whole.
     left = 1 - F.col("kept") / F.col("total")
     alpha = F.when(F.col("kept") > 0, left / F.greatest(1 - F.col("lower"), F.lit(1e-12))).otherwise(1.0)
-    contexts = contexts.select("before", "total", "alpha")
+    contexts = contexts.select("before", "total", alpha.alias("alpha"))
     p = F.when(seen, discounted(F.col("n"), d2) / F.col("total")).otherwise(F.col("alpha") * F.col("p"))
     pairs = saved(held.join(contexts, "before").select("before", "word", "c", F.log10(p).alias("logp")), "katz-scores")
     return pairs, words, tokens, unknown
