@@ -30,7 +30,12 @@ def session(name: str = "tidemark", *, cpus: int | None = None) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in a bare local session, a temporary folder is used.
+    Where ``spark.checkpoint.dir`` is unset, a local session uses a temporary folder; on a cluster, where
+    executors would each write to a disk of their own, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
