@@ -284,3 +284,15 @@ def test_properties(spark, sf_dir):
         assert 0 <= r["jaccard_similarity"] <= r["dice_coefficient"] <= r["overlap_coefficient"] <= 1
         j = r["jaccard_similarity"]
         assert abs(r["dice_coefficient"] - 2 * j / (1 + j)) < 2e-4
+
+
+def test_a_missing_snapshot_is_no_step(spark):
+    days = [date(2025, 1, d) for d in (1, 2, 3)]
+    rows = [(d, "gap", "r", "gb", n, 1.0) for d, n in ((days[0], 5), (days[2], 9))]
+    rows += [(d, "whole", "r", "gb", n, 1.0) for d, n in zip(days, (1, 3, 6), strict=True)]
+    history = spark.createDataFrame(
+        rows, "snapshot_date date, skill_name string, search_role string, country_code string, job_count long, demand_percentage double"
+    )
+    got = {(r["skill_name"], r["snapshot_date"]): r["job_count_change"] for r in extras.skill_trend(history).collect()}
+    assert [got["whole", d] for d in days] == [None, 2, 3]
+    assert got["gap", days[0]] is None and got["gap", days[2]] is None

@@ -10,8 +10,15 @@ from tidemark.operators.marts import jobs_per_segment
 
 
 def skill_trend(history: DataFrame) -> DataFrame:
-    """Change of jobs and share of a skill from one snapshot to the next."""
+    """Change of jobs and share of a skill from one snapshot to the next.
+
+    Without a row in the snapshot just before, a change is null. Only the distinct dates go into one window.
+    """
+    dates = history.select("snapshot_date").distinct()
+    dates = dates.withColumn("_previous", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")))
+    history = history.join(dates, "snapshot_date")
     before = Window.partitionBy("skill_name", "search_role", "country_code").orderBy("snapshot_date")
+    adjacent = F.lag("snapshot_date").over(before) == F.col("_previous")
     hundredths = F.floor(F.col("demand_percentage") * 100.0 + 0.5).cast("bigint")
     return history.select(
         "snapshot_date",
@@ -20,8 +27,8 @@ def skill_trend(history: DataFrame) -> DataFrame:
         "country_code",
         "job_count",
         "demand_percentage",
-        (F.col("job_count") - F.lag("job_count").over(before)).alias("job_count_change"),
-        ((hundredths - F.lag(hundredths).over(before)) / F.lit(100.0)).alias("percentage_change"),
+        F.when(adjacent, F.col("job_count") - F.lag("job_count").over(before)).alias("job_count_change"),
+        F.when(adjacent, (hundredths - F.lag(hundredths).over(before)) / F.lit(100.0)).alias("percentage_change"),
     )
 
 

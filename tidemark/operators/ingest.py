@@ -85,8 +85,8 @@ def seed_dims(existing: DataFrame, seeds: DataFrame, *, key: str) -> DataFrame:
     return existing.unionByName(seeds.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def unprocessed(raw: DataFrame, staged: DataFrame, *, limit: int | None = 1000) -> DataFrame:
-    """Raw rows that have no staged row, oldest first."""
+def unprocessed(raw: DataFrame, staged: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Raw rows that have no staged row; with a ``limit``, the oldest of them."""
     done = staged.select(F.col("raw_job_id").alias("id"))
     left = raw.join(done, "id", "left_anti").select(*raw.columns)
     return left if limit is None else left.orderBy("extracted_at", "id").limit(limit)

@@ -102,31 +102,25 @@ def skill_demand(enr: DataFrame, *, top_n: int = 50, as_of: date | None = None)
     return with_period(mart, as_of)
 
 
-def skill_cooccurrence(
-    enr: DataFrame, *, min_count: int = 5, max_tags_per_entity: int | None = None, as_of: date | None = None
-) -> DataFrame:
+def skill_cooccurrence(enr: DataFrame, *, min_count: int = 5, as_of: date | None = None) -> DataFrame:
     """Pairs of skills asked for by the same job, per role, with Jaccard and both conditional shares.
 
     A pair cannot be more frequent than its rarer skill, so skills under ``min_count`` in a role
     leave before the self join; the result is the same and the long tail makes no pairs.
-    ``max_tags_per_entity`` (off) leaves out jobs with more skills than that.
     """
     totals = enr.groupBy("search_role", "skill_id", "skill_name", "skill_category").agg(
         F.count(F.lit(1)).alias("total")
     )
     tags = enr.select("job_id", "search_role", "skill_id")
-    if max_tags_per_entity is not None:
-        crowded = tags.groupBy("job_id").count().filter(F.col("count") > max_tags_per_entity)
-        tags = tags.join(crowded, "job_id", "left_anti")
     if min_count > 1:
         frequent = totals.filter(F.col("total") >= min_count).select("search_role", "skill_id")
         tags = tags.join(frequent, ["search_role", "skill_id"], "left_semi")
 
-    # A job has one role. Comparing it has both sides need the same columns, so they share one shuffle by job.
-    later = (F.col("a.skill_id") < F.col("b.skill_id")) & (F.col("a.search_role") <= F.col("b.search_role"))
+    # Both sides need the same columns, so they share one shuffle.
+    same = (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.search_role") == F.col("b.search_role"))
     pairs = (
         tags.alias("a")
-        .join(tags.alias("b"), (F.col("a.job_id") == F.col("b.job_id")) & later)
+        .join(tags.alias("b"), same & (F.col("a.skill_id") < F.col("b.skill_id")))
         .groupBy("a.search_role", F.col("a.skill_id").alias("skill_id_1"), F.col("b.skill_id").alias("skill_id_2"))
         .agg(F.count(F.lit(1)).alias("cooccurrence_count"))
         .filter(F.col("cooccurrence_count") >= min_count)
@@ -164,38 +158,26 @@ def skill_cooccurrence(
     return with_period(mart, as_of)
 
 
-def _pay_stats(rows: DataFrame, keys: list[str], prefix: str, *, min_jobs: int, approx: bool) -> DataFrame:
-    """Jobs, pay sum, ends and median of ``value`` per group, with a prefix; the median exact or sketched."""
-    if approx:
-        sketch = F.percentile_approx("value", 0.5, 10000)
-        stats = rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("jobs"),
-            F.sum("value").alias("total"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            sketch.alias("median_lo"),
-            sketch.alias("median_hi"),
-        )
-        stats = stats.filter(F.col("jobs") >= min_jobs)
-    else:
-        counted = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("freq"))
-        stats = value_stats(counted, keys, min_rows=min_jobs)
+def _pay_stats(rows: DataFrame, keys: list[str], prefix: str, *, min_jobs: int) -> DataFrame:
+    """Jobs, pay sum, ends and median of ``value`` per group, with a prefix."""
+    counted = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("freq"))
+    stats = value_stats(counted, keys, min_rows=min_jobs)
     return stats.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in stats.columns if c not in keys])
 
 
-def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, approx: bool = False, as_of: date | None = None) -> DataFrame:
+def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, as_of: date | None = None) -> DataFrame:
     """Pay of jobs asking for a skill against all paid jobs of the (role, country).
 
     Pay is counted in half-cents per distinct value first, so sums, ends and the exact median all
-    work on counted values. ``approx=True`` sketches the median instead.
+    work on counted values.
     """
     paid = enr.filter(F.col("salary_midpoint") > 0).withColumn("value", half_cents(F.col("salary_midpoint")))
     segment = ["search_role", "country_code"]
     skill = ["skill_id", *segment, "salary_currency"]
     names = paid.select("skill_id", "skill_name", "skill_category").distinct()
     paid_jobs = paid.select("job_id", *segment, "value").distinct()
-    market = _pay_stats(paid_jobs, segment, "m", min_jobs=1, approx=approx)
-    by_skill = _pay_stats(paid, skill, "s", min_jobs=min_jobs, approx=approx)
+    market = _pay_stats(paid_jobs, segment, "m", min_jobs=1)
+    by_skill = _pay_stats(paid, skill, "s", min_jobs=min_jobs)
 
     # A segment's rows here are skills with enough paid jobs: as many as the vocabulary, whatever the number of jobs.
     best = Window.partitionBy(*segment).orderBy(

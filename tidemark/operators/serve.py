@@ -73,13 +73,14 @@ def demand_top_global(demand: DataFrame, *, role: str, limit: int = 30) -> DataF
     )
 
 
-def demand_all(demand: DataFrame, *, max_rank: int = 30, limit: int = 500) -> DataFrame:
-    return (
+def demand_all(demand: DataFrame, *, max_rank: int = 30, limit: int | None = None) -> DataFrame:
+    """The leading skills of every role and country; ``limit`` is a caller's page size."""
+    ranked = (
         demand.filter(F.col("rank_in_role_country") <= max_rank)
         .select(*DEMAND_COLUMNS)
         .orderBy("search_role", "country_code", "rank_in_role_country")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 # --- co-occurrence ----------------------------------------------------------------------------

@@ -143,7 +143,9 @@ def assign_tag_ids(found: DataFrame, dim: DataFrame, *, order: str = "job_id") -
         )
     )
     grown = dim.unionByName(new, allowMissingColumns=True)
-    return found.join(grown.select("skill_name", "skill_id"), "skill_name"), grown
+    # A new name's id is its hash, so facts only meet the known dimension.
+    tagged = found.filter(F.col("skill_name").isNotNull()).join(dim.select("skill_name", "skill_id"), "skill_name", "left")
+    return tagged.withColumn("skill_id", F.coalesce("skill_id", F.xxhash64("skill_name"))), grown
 
 
 def snapshot_demand(demand: DataFrame, *, as_of: date) -> DataFrame:

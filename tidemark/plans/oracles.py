@@ -312,8 +312,7 @@ oracle(
 )
 oracle(
     "demand_all",
-    f"""SELECT {DEMAND} FROM pt_demand WHERE rank_in_role_country <= 30
-        ORDER BY search_role, country_code, rank_in_role_country LIMIT 500""",
+    f"""SELECT {DEMAND} FROM pt_demand WHERE rank_in_role_country <= 30""",
 )
 PAIR = """skill_name_1, skill_category_1, skill_name_2, skill_category_2, search_role, cooccurrence_count,
   jaccard_similarity, prob_skill2_given_skill1, prob_skill1_given_skill2"""
@@ -581,8 +580,7 @@ oracle(
 oracle(
     "unprocessed",
     """SELECT o_orderkey AS id, o_orderdate AS extracted_at FROM orders
-      WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-      ORDER BY extracted_at, id LIMIT 1000""",
+      WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
 )
 
 # --- staging ----------------------------------------------------------------------------------
@@ -931,10 +929,11 @@ part("pt_history", " UNION ALL ".join(snapshot_at(y) for y in (1996, 1998, 2000)
 oracle(
     "skill_trend",
     """SELECT snapshot_date, skill_name, search_role, country_code, job_count, demand_percentage,
-      job_count - lag(job_count) OVER w AS job_count_change,
-      (floor(demand_percentage * 100.0 + 0.5)::BIGINT - lag(floor(demand_percentage * 100.0 + 0.5)::BIGINT) OVER w)
-        / 100.0::DOUBLE AS percentage_change
-      FROM pt_history WINDOW w AS (PARTITION BY skill_name, search_role, country_code ORDER BY snapshot_date)""",
+      CASE WHEN lag(snapshot_date) OVER w = previous THEN job_count - lag(job_count) OVER w END AS job_count_change,
+      CASE WHEN lag(snapshot_date) OVER w = previous THEN (floor(demand_percentage * 100.0 + 0.5)::BIGINT
+        - lag(floor(demand_percentage * 100.0 + 0.5)::BIGINT) OVER w) / 100.0::DOUBLE END AS percentage_change
+      FROM pt_history JOIN (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS previous
+        FROM (SELECT DISTINCT snapshot_date FROM pt_history)) USING (snapshot_date) WINDOW w AS (PARTITION BY skill_name, search_role, country_code ORDER BY snapshot_date)""",
 )
 oracle(
     "skill_demand_rollup",
