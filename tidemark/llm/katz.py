@@ -28,7 +28,7 @@ END, START = 1, 2
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Bytes of text of a slice, and keys of a range (all slices together).
-SLICE_BYTES, RANGE_KEYS = 16_000_000, 2_000_000
+SLICE_BYTES, RANGE_KEYS = 8_000_000, 1_000_000
 
 CODED = "slice bigint, doc_ids array<{}>, train array<boolean>, sizes array<int>, names binary, code binary, n_names bigint, n_tokens bigint"
 ASKED = "part bigint, slice bigint, keys binary, addends binary"
@@ -83,6 +83,7 @@ class Slice:
         self.id, self.doc_ids, self.train = row["slice"], row["doc_ids"], row["train"]
         names = _unpacked(row["names"], np.uint64)
         self.words, at = np.unique(names, return_inverse=True)
+        at = at.astype(np.int32)
         size = np.asarray(row["sizes"], dtype=np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         code = _unpacked(row["code"], np.uint32)
@@ -90,13 +91,21 @@ class Slice:
         history[self.bounds[:-1]] = 1
         self.word, self.history = at[code], at[history]
         self.start, self.end = at[1], at[0]
-        self.learned = np.repeat(np.asarray(self.train, dtype=np.int64), size)
+
+    def learned(self) -> np.ndarray:
+        return np.repeat(np.asarray(self.train, dtype=np.float64), np.diff(self.bounds))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the distinct pairs, a token of each, and the pair of each token."""
         key = self.words[self.history] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word]
         key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return np.unique(key ^ (key >> np.uint64(32)), return_index=True, return_inverse=True)
+        key ^= key >> np.uint64(32)
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.empty(len(key), dtype=np.int32)
+        at[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        return key[fresh], order[fresh], at
 
 
 def _asked(at: int, keys: np.ndarray, addends: np.ndarray, parts: int):
@@ -196,12 +205,12 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask_words(batches):
         for s in map(Slice, _rows(batches)):
-            yield _asked(s.id, s.words, np.bincount(s.word, weights=s.learned, minlength=len(s.words)).astype(np.int64)[None], few)
+            yield _asked(s.id, s.words, np.bincount(s.word, weights=s.learned(), minlength=len(s.words)).astype(np.int64)[None], few)
 
     def ask_pairs(batches):
         for s in map(Slice, _rows(batches)):
             keys, _, at = s.pairs()
-            yield _asked(s.id, keys, np.bincount(at, weights=s.learned).astype(np.int64)[None], many)
+            yield _asked(s.id, keys, np.bincount(at, weights=s.learned()).astype(np.int64)[None], many)
 
     words = saved(tally(coded.mapInArrow(ask_words, ASKED), np.int64), "katz-words")
     pairs = saved(tally(coded.mapInArrow(ask_pairs, ASKED), np.int64), "katz-pairs")
