@@ -257,6 +257,29 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert (signature[0] == signature[1]).mean() == pytest.approx(neardup.similarity(*parts), abs=0.1)
 
 
+@pytest.mark.parametrize(("shared", "weight", "own"), [(2, 500.0, 50), (12, 100.0, 100), (12, 100.0, 0), (300, 1.5, 40)])
+def test_samples_agree_as_often_as_texts_with_heavy_shingles_are_similar(shared, weight, own):
+    rng = np.random.default_rng(23)
+    agree, due = [], []
+    for _ in range(20):
+        codes = rng.integers(1, 2**63, shared + 2 * own).astype(np.uint64)
+        parts = []
+        for mine in (codes[shared : shared + own], codes[shared + own :]):
+            some = np.concatenate([codes[:shared], mine])
+            order = np.argsort(some)
+            parts.append((some[order], np.array([weight] * shared + [1.0] * own)[order]))
+        signature = neardup.samples(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.array([0, shared + own, 2 * (shared + own)]))
+        agree.append((signature[0] == signature[1]).mean())
+        due.append(neardup.similarity(*parts))
+    assert np.mean(agree) == pytest.approx(np.mean(due), abs=0.03)
+
+
+def test_texts_that_repeat_a_line_are_near_duplicates(spark):
+    rows = [(2 * i + k, f"again{i} " * 300 + " ".join(f"own{i}of{k}x{j}" for j in range(14))) for i in range(20) for k in range(2)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (60, 50), (70, 70)] + [(100, i) for i in range(101, 140)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -2,9 +2,10 @@
 
 Equal texts are one node. A node's shingles are its runs of five words, weighed by frequency in the text and
 rarity in the corpus. Each sample of the signature is the shingle that improved consistent weighted sampling
-draws from one bin of the text's shingles (bins by hash; an empty bin borrows from the next), so two texts
-agree on a sample as often as they are similar. Bands of samples propose pairs, the weighted Jaccard
-similarity decides.
+draws from one bin of the text's shingles (bins by hash; an empty bin borrows from the next). A shingle heavier
+than UNIT goes to the bins in pieces of that weight, so that no bin depends on a few heavy shingles and two texts
+agree on a sample as often as they are similar. Bands of samples propose pairs, the weighted Jaccard similarity
+decides.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tidemark.llm.decontaminate import shingles_of, word_codes
 SIMILAR = 0.8
 #: Samples: so many rounds over all shingles, each giving a sample for every bin.
 ROUNDS, BINS = 8, 12
+#: Weight of a piece of a shingle, at most: what one that occurs once weighs at most, so that only repeated ones are cut.
+UNIT = 2.0
 #: Samples in a band: a pair of similarity 0.8 meets in one of the 16 bands with probability 0.99, one of 0.9 with 0.99997.
 ROWS = 6
 #: How often the outsiders of a bucket meet a member of its main class before they meet all members.
@@ -117,10 +120,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 R, LOG_C = _tables()
 
 
+def in_pieces(codes: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles cut into pieces of UNIT and a rest, each with a code of its own.
+
+    Piece by piece, the least weights of two texts sum to the least of the whole, so similarities stay the same.
+    There are no more pieces than twice the words.
+    """
+    pieces = np.maximum(np.ceil(weight / UNIT), 1).astype(np.int64)
+    each = np.repeat(np.arange(len(codes)), pieces)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    ends = np.concatenate([[0], np.cumsum(pieces)])
+    return codes[each] + place.astype(U) * U(0xD6E8FEB86659FD93), np.minimum(weight[each] - place * UNIT, UNIT), ends[bounds]
+
+
 def samples(codes: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Signatures of the texts: (texts, ROUNDS * BINS) 32-bit numbers; texts without shingles get zeros."""
     n = len(bounds) - 1
     out = np.zeros((n, ROUNDS, BINS), dtype=np.uint32)
+    codes, weight, bounds = in_pieces(codes, weight, bounds)
     owner = np.repeat(np.arange(n) * BINS, np.diff(bounds))
     log_w = np.log(weight).astype(np.float32)
     rows = np.arange(n)[:, None]
@@ -159,7 +176,8 @@ def brief(signature: np.ndarray) -> np.ndarray:
 def allowed(n: Column, similar: float) -> Column:
     """How many samples of a pair this similar may differ in their two bits, short of 4.2 standard deviations.
 
-    ``n``: shingles of the smaller text, as short texts fill few bins.
+    Two texts agree on a sample as often as they are similar, whatever their weights, as heavy shingles are in pieces.
+    ``n``: shingles of the smaller text, as short texts fill few bins; its pieces are no fewer.
     """
     p = (1 - similar) * 0.75
     independent = F.least(F.lit(float(BINS)), n * 0.6) * ROUNDS
