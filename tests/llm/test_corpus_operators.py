@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -199,6 +200,20 @@ def test_tokens_against_one_by_one():
     assert tokens.count_words(vocab, some).tolist() == [tokens.count_one(vocab, "▁" + w) for w in some]
 
 
+def test_token_counts_of_whole_texts_in_their_own_case(spark, sf_dir, texts):
+    vocab = tokens.vocabulary(["▁", "T", "▁T", "▁The", "▁the", "he", "USA", "u", "s", "a"])
+    some = ["The USA", "the usa", "\tTHE  the\nThe ", "", None, "É é Zwölf 😀"]
+    frame = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+    for found, by, known in (
+        (tokens.count_tokens(frame, vocab), vocab, dict(enumerate(some))),
+        (catalog.QUERIES["op5_token_counts"](spark, sf_dir), tokens.vocabulary(tokens.load_pieces(catalog.vocabulary_path())), texts),
+    ):
+        one = functools.cache(lambda w, by=by: tokens.count_one(by, "▁" + w))
+        for r in found.collect():
+            ws = re.findall(r"[^\x20\x09-\x0D]+", known[r["doc_id"]] or "")
+            assert (r["n_words"], r["n_tokens"]) == (len(ws), sum(map(one, ws)))
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))

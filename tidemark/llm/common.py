@@ -96,9 +96,10 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words between the six ASCII blanks, A-Z lowered, and each text's bounds among them."""
-    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(whole(texts)))
+def flat_words(texts: pa.Array, *, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Words between the six ASCII blanks, A-Z lowered unless told otherwise, and each text's bounds among them."""
+    texts = whole(texts)
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts) if lower else texts)
     bounds = np.asarray(lists.offsets).astype(np.int64)
     words = lists.flatten()
     bounds = bounds - bounds[0]

@@ -1,6 +1,6 @@
 """Token counts: a trie of distinct pre-tokens, scored once per shared prefix.
 
-A pre-token is a word between ASCII blanks with the word mark before it. Its tokens are those of the best
+A pre-token is a word between ASCII blanks, in the case it is written in, with the word mark before it. Its tokens are those of the best
 segmentation under a unigram model over a given vocabulary. All distinct pre-tokens of a slice of texts go
 into one trie, level by level; the best score of a prefix is found once from the scores of the shorter
 prefixes on its path, however many pre-tokens share it. Each pre-token's count is the one at its last node.
@@ -146,7 +146,7 @@ def count_tokens(docs: DataFrame, vocab: Vocabulary, *, id_col: str = "doc_id")
 
     def run(batches):
         for batch in slices(batches, "text", 16_000_000):
-            words, bounds = flat_words(batch.column("text"))
+            words, bounds = flat_words(batch.column("text"), lower=False)
             coded = words.dictionary_encode()
             counts = count_words(shared.value, coded.dictionary.to_pylist())
             total = np.concatenate([[0], np.cumsum(counts[np.asarray(coded.indices)] if len(words) else [])]).astype(np.int64)
