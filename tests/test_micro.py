@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import discovery, extras, ingest, marts, quality, serve, shape, stage, text
+from tidemark.plans import catalog
 
 RAW = "id long, job_platform_id string, search_role string, country_code string, raw_data string, extracted_at timestamp_ntz"
 T0 = datetime(2024, 1, 1)
@@ -296,3 +297,14 @@ def test_a_missing_snapshot_is_no_step(spark):
     got = {(r["skill_name"], r["snapshot_date"]): r["job_count_change"] for r in extras.skill_trend(history).collect()}
     assert [got["whole", d] for d in days] == [None, 2, 3]
     assert got["gap", days[0]] is None and got["gap", days[2]] is None
+
+
+UNCUT = ("demand_top_global", "category_share", "snapshot_demand", "skill_trend", "leaderboard_global", "contract_mix", "company_search")
+
+
+@pytest.mark.parametrize("key", UNCUT)
+def test_totals_search_and_history_do_not_depend_on_the_cut_of_a_mart(spark, sf_dir, monkeypatch, key):
+    want = sorted(map(str, catalog.QUERIES[key](spark, sf_dir).collect()))
+    for mart in (marts.skill_demand, marts.company_leaderboard):
+        monkeypatch.setitem(mart.__kwdefaults__, "top_n", 1)
+    assert sorted(map(str, catalog.QUERIES[key](spark, sf_dir).collect())) == want

@@ -60,10 +60,11 @@ def jobs_per_segment(enr: DataFrame) -> DataFrame:
     )
 
 
-def skill_demand(enr: DataFrame, *, top_n: int = 50, as_of: date | None = None) -> DataFrame:
+def skill_demand(enr: DataFrame, *, top_n: int | None = 50, as_of: date | None = None) -> DataFrame:
     """Jobs, share of the segment's jobs, mean pay and two ranks per (skill, role, country).
 
-    Both ranks are taken before the cut to ``top_n`` skills per (role, country).
+    Both ranks are taken before the cut to ``top_n`` skills per (role, country). With None all skills stay, for totals
+    and history, and there is no ``rank_in_role_country``.
     """
     counted = enr.groupBy(
         "skill_id", "skill_name", "skill_category", "skill_subcategory", "search_role", "country_code"
@@ -81,9 +82,12 @@ def skill_demand(enr: DataFrame, *, top_n: int = 50, as_of: date | None = None)
         [(F.col("job_count"), True), (name_prefix("skill_name"), False)],
         "rank_in_role_global",
     )
-    in_segment = F.row_number().over(Window.partitionBy("search_role", "country_code").orderBy(*order))
-    top = ranked.withColumn("rank_in_role_country", in_segment).filter(F.col("rank_in_role_country") <= top_n)
-    mart = top.join(jobs_per_segment(enr), ["search_role", "country_code"]).select(
+    rank = []
+    if top_n is not None:
+        in_segment = F.row_number().over(Window.partitionBy("search_role", "country_code").orderBy(*order))
+        ranked = ranked.withColumn("rank_in_role_country", in_segment).filter(F.col("rank_in_role_country") <= top_n)
+        rank = [F.col("rank_in_role_country").cast("bigint").alias("rank_in_role_country")]
+    mart = ranked.join(jobs_per_segment(enr), ["search_role", "country_code"]).select(
         "skill_id",
         "skill_name",
         "skill_category",
@@ -96,7 +100,7 @@ def skill_demand(enr: DataFrame, *, top_n: int = 50, as_of: date | None = None)
         "avg_salary_min",
         "avg_salary_max",
         "avg_salary_midpoint",
-        F.col("rank_in_role_country").cast("bigint").alias("rank_in_role_country"),
+        *rank,
         "rank_in_role_global",
     )
     return with_period(mart, as_of)
@@ -221,10 +225,10 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, as_of: date | None = N
     return with_period(mart, as_of)
 
 
-def company_leaderboard(jobs: DataFrame, *, top_n: int = 100, as_of: date | None = None) -> DataFrame:
-    """Postings, pay and contract kinds per (company, role, country), with the company's rank in the country."""
+def company_segments(jobs: DataFrame) -> DataFrame:
+    """Postings, pay and contract kinds per (company, role, country): all companies, for totals and search."""
     midpoint = value_midpoint(F.col("salary_min"), F.col("salary_max"))
-    company = jobs.filter(F.col("company_name") != "").groupBy("company_name", "search_role", "country_code").agg(
+    return jobs.filter(F.col("company_name") != "").groupBy("company_name", "search_role", "country_code").agg(
         F.count(F.lit(1)).alias("job_count"),
         mean_units(cents(F.col("salary_min")), 100).alias("avg_salary_min"),
         mean_units(cents(F.col("salary_max")), 100).alias("avg_salary_max"),
@@ -234,6 +238,11 @@ def company_leaderboard(jobs: DataFrame, *, top_n: int = 100, as_of: date | None
         F.count_if(F.col("contract_type") == "contract").alias("contract_count"),
         F.count_if(F.col("contract_type") == "permanent").alias("permanent_count"),
     )
+
+
+def company_leaderboard(jobs: DataFrame, *, top_n: int = 100, as_of: date | None = None) -> DataFrame:
+    """The ``top_n`` companies of each (role, country) with their ``company_segments`` and rank in the country."""
+    company = company_segments(jobs)
     in_segment = F.row_number().over(
         Window.partitionBy("search_role", "country_code").orderBy(F.desc("job_count"), "company_name")
     )

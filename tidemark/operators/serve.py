@@ -1,6 +1,7 @@
 """Questions asked of the marts: filters, top-k lists and small aggregates.
 
-Global views average the per-country averages without weights, as their callers expect;
+Views over several segments, totals and search want the uncut aggregates (``skill_demand(top_n=None)``,
+``company_segments``); the lists of one segment read the ranked marts. Global views average the per-country averages without weights, as their callers expect;
 ``weighted=True`` weights by jobs where offered.
 """
 
@@ -313,7 +314,7 @@ def leaderboard_global(lb: DataFrame, *, role: str, limit: int = 50) -> DataFram
 
 
 def contract_mix(lb: DataFrame, *, role: str, country: str | None = None) -> DataFrame:
-    """Postings per contract kind over the ranked companies, 0 where there are none."""
+    """Postings per contract kind over the companies of ``lb``, 0 where there are none."""
 
     def total(c: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0).cast("bigint"))

@@ -149,7 +149,7 @@ def assign_tag_ids(found: DataFrame, dim: DataFrame, *, order: str = "job_id") -
 
 
 def snapshot_demand(demand: DataFrame, *, as_of: date) -> DataFrame:
-    """A dated copy of the demand mart for the history."""
+    """A dated copy of the demand for the history; give it the uncut one (``skill_demand(top_n=None)``)."""
     return demand.select(
         F.lit(as_of).alias("snapshot_date"),
         "skill_id",

@@ -108,6 +108,10 @@ def _demand(spark, sf_dir):
     return marts.skill_demand(mapping.postings(spark, sf_dir))
 
 
+def _demand_uncut(spark, sf_dir):
+    return marts.skill_demand(mapping.postings(spark, sf_dir), top_n=None)
+
+
 def _pairs(spark, sf_dir):
     return marts.skill_cooccurrence(mapping.postings(spark, sf_dir))
 
@@ -120,6 +124,10 @@ def _companies(spark, sf_dir):
     return marts.company_leaderboard(mapping.jobs(spark, sf_dir))
 
 
+def _companies_uncut(spark, sf_dir):
+    return marts.company_segments(mapping.jobs(spark, sf_dir))
+
+
 @query
 def demand_top(spark, sf_dir):
     return serve.demand_top(_demand(spark, sf_dir), role="BUILDING", country="NATION_6")
@@ -127,7 +135,7 @@ def demand_top(spark, sf_dir):
 
 @query
 def demand_top_global(spark, sf_dir):
-    return serve.demand_top_global(_demand(spark, sf_dir), role="BUILDING")
+    return serve.demand_top_global(_demand_uncut(spark, sf_dir), role="BUILDING")
 
 
 @query
@@ -203,17 +211,17 @@ def leaderboard_top(spark, sf_dir):
 
 @query
 def leaderboard_global(spark, sf_dir):
-    return serve.leaderboard_global(_companies(spark, sf_dir), role="BUILDING")
+    return serve.leaderboard_global(_companies_uncut(spark, sf_dir), role="BUILDING")
 
 
 @query
 def contract_mix(spark, sf_dir):
-    return serve.contract_mix(_companies(spark, sf_dir), role="BUILDING")
+    return serve.contract_mix(_companies_uncut(spark, sf_dir), role="BUILDING")
 
 
 @query
 def company_search(spark, sf_dir):
-    return serve.company_search(_companies(spark, sf_dir), query="R#0000001")
+    return serve.company_search(_companies_uncut(spark, sf_dir), query="R#0000001")
 
 
 @query
@@ -275,7 +283,7 @@ SEGMENT_TIES = ("skill_name", "search_role", "country_code")
 
 @query
 def category_share(spark, sf_dir):
-    return shape.category_share(_demand(spark, sf_dir))
+    return shape.category_share(_demand_uncut(spark, sf_dir))
 
 
 @query
@@ -510,7 +518,7 @@ def upsert_tags(spark, sf_dir):
 
 @query
 def snapshot_demand(spark, sf_dir):
-    return stage.snapshot_demand(_demand(spark, sf_dir), as_of=AS_OF)
+    return stage.snapshot_demand(_demand_uncut(spark, sf_dir), as_of=AS_OF)
 
 
 def _found_tags(spark, sf_dir):
@@ -773,7 +781,7 @@ def skill_trend(spark, sf_dir):
     history = None
     for year in (1996, 1998, 2000):
         known = enr.filter(F.col("job_posted_at") < F.lit(f"{year}-01-01").cast("timestamp_ntz"))
-        one = stage.snapshot_demand(marts.skill_demand(known), as_of=date(year, 1, 1))
+        one = stage.snapshot_demand(marts.skill_demand(known, top_n=None), as_of=date(year, 1, 1))
         history = one if history is None else history.unionByName(one)
     return extras.skill_trend(history)
 
