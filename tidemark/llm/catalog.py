@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, katz, language, license, mixing, neardup, pii, tokens, toxicity
+from tidemark.llm import alignment, decontaminate, embeddings, katz, language, license, mixing, neardup, pieces, pii, tokens, toxicity
 from tidemark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,11 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def vocabulary_path() -> str:
-    """The vocabulary file of the installed public tokenizers; any other can be given to ``load_pieces``."""
+def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
+    """A vocabulary file of the installed public tokenizers; any other can be given to the loading functions."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -85,4 +85,20 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_sentencepiece(spark, sf_dir):
+    model = pieces.load_model(vocabulary_path())
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+    spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelt, 256).alias("ids_sha256"), "ids")
+    decoded = pieces.decode_ids(digests, model)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_tokenizer_alignment(spark, sf_dir):
+    left, right = alignment.load_byte_level(vocabulary_path("byte_bpe_50k.json")), pieces.load_model(vocabulary_path())
+    return alignment.summary(alignment.align_texts(table(spark, sf_dir, "documents"), left, right))
+
+
 ORACLES: dict[str, str] = {}
