@@ -26,6 +26,10 @@ from tidemark.llm.common import saved, slices, whole
 BLANKS = [c for c in range(0x110000) if chr(c).isspace()] + [0x180E, 0x200B, 0x2060, 0xFEFF]
 
 
+#: Bytes of text aligned at once (whole rows).
+SLICE_BYTES = 1_000_000
+
+
 @dataclasses.dataclass(frozen=True)
 class ByteLevel:
     """A byte-level vocabulary: its file's text, and the bytes of each id."""
@@ -221,7 +225,7 @@ def align_texts(docs: DataFrame, left: ByteLevel, right: pieces.Model, *, id_col
     shared = docs.sparkSession.sparkContext.broadcast((left, right))
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = align_batch(*shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *found.values()], [id_col, *found])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, decontaminate, embeddings, katz, language, license, mixing, neardup, pieces, pii, tokens, toxicity
+from tidemark.llm import alignment, balltree, decontaminate, embeddings, katz, language, license, mixing, neardup, pieces, pii, tokens, toxicity
 from tidemark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,4 +101,9 @@ def op12_tokenizer_alignment(spark, sf_dir):
     return alignment.summary(alignment.align_texts(table(spark, sf_dir, "documents"), left, right))
 
 
-ORACLES: dict[str, str] = {}
+@query
+def op13_lexical_search(spark, sf_dir):
+    return balltree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES: dict[str, str] = {"op13_lexical_search": balltree.ORACLE}

@@ -28,6 +28,9 @@ NONE = np.int64(2**62)
 #: Longer stretches whose places have to be merged one by one leave the rounds for a heap.
 ONE_BY_ONE = 256
 FILTER_BITS = 22
+#: Bytes of text encoded, and ids decoded, at once (whole rows).
+SLICE_BYTES = 2_000_000
+SLICE_IDS = 250_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -301,7 +304,7 @@ def encode_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, bounds = encode(shared.value, batch.column("text"))
             ends = np.insert(ids, bounds[1:], shared.value.end_id).astype(np.int32)
             offsets = (bounds + np.arange(len(bounds))).astype(np.int32)
@@ -355,15 +358,24 @@ def decode_ids(encoded: DataFrame, model: Model, *, ids_col: str = "ids") -> Dat
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(at)
-            values = lists.flatten()
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            if values.null_count or (len(values) and not 0 <= pa.compute.min(values).as_py() <= pa.compute.max(values).as_py() < size):
-                raise ValueError(f"an id is null or not below {size}")
-            texts = pa.array(decode(shared.value, np.asarray(values).astype(np.int64), bounds), pa.string())
-            texts = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), texts], [*kept, name])
+            upto = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0)))
+            start = 0
+            while start < batch.num_rows:
+                before = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, before + SLICE_IDS, side="right")))
+                yield decoded(batch.slice(start, stop - start))
+                start = stop
+
+    def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(at)
+        values = lists.flatten()
+        counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        if values.null_count or (len(values) and not 0 <= pa.compute.min(values).as_py() <= pa.compute.max(values).as_py() < size):
+            raise ValueError(f"an id is null or not below {size}")
+        texts = pa.array(decode(shared.value, np.asarray(values).astype(np.int64), bounds), pa.string())
+        texts = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), texts], [*kept, name])
 
     types = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
     return encoded.mapInArrow(run, f"{types}{', ' if types else ''}`{name}` string")
