@@ -28,6 +28,8 @@ BLANKS = [c for c in range(0x110000) if chr(c).isspace()] + [0x180E, 0x200B, 0x2
 
 #: Bytes of text aligned at once (whole rows).
 SLICE_BYTES = 1_000_000
+#: Bytes of the strings that the byte-level tokenizer gets, about.
+JOINED_BYTES = 16_384
 
 
 @dataclasses.dataclass(frozen=True)
@@ -89,13 +91,37 @@ def encode_byte_level(side: ByteLevel, texts: pa.Array) -> tuple[np.ndarray, np.
     cut[bounds[:-1][bounds[:-1] < len(points)]] = True
     starts = np.flatnonzero(cut)
     coded = pieces.parts_of(held, at[starts])
-    found = [e.ids for e in _tokenizer(side.spec).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    ids = np.fromiter((i for some in found for i in some), dtype=np.int64)
-    inner = np.concatenate([[0], np.cumsum(list(map(len, found)))])
-    out, part_bounds = pieces.gather(ids, inner, np.asarray(coded.indices))
+    which = np.asarray(coded.indices)
+    # A stretch of a single blank and other letters can stand beside its like in one string without a change.
+    last = np.append(starts[1:], len(points)) - 1
+    plain = np.zeros(len(coded.dictionary), dtype=bool)
+    plain[which] = (last > starts) & ~blank[np.minimum(starts + 1, last)] & ~blank[last]
+    ids, inner = _encode_parts(side, coded.dictionary, plain)
+    out, part_bounds = pieces.gather(ids, inner, which)
     return out, part_bounds[np.searchsorted(starts, bounds)]
 
 
+def _encode_parts(side: ByteLevel, parts: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each part in turn; the plain ones are joined to strings of some size and told apart by their bytes."""
+    joined = parts.filter(pa.array(plain))
+    ends = np.cumsum(np.asarray(pa.compute.binary_length(joined)))
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, JOINED_BYTES)[1:])) + 1
+    held = "".join(joined.to_pylist()).encode()
+    at = [0, *ends[cuts - 1].tolist(), len(held)]
+    strings = [held[a:b].decode() for a, b in zip(at, at[1:], strict=False) if a < b]
+    strings += parts.filter(pa.array(~plain)).to_pylist()
+    found = [e.ids for e in _tokenizer(side.spec).encode_batch_fast(strings, add_special_tokens=False)]
+    ids = np.concatenate([np.array(some, dtype=np.int64) for some in found])
+    # Tokens in each part: the plain ones come first, then the others, and part ends are token ends.
+    size = np.fromiter(map(len, side.tokens), dtype=np.int64, count=len(side.tokens))
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    part_ends = np.cumsum(np.asarray(pa.compute.binary_length(parts))[order])
+    upto = np.concatenate([[0], np.searchsorted(np.cumsum(size[ids]), part_ends, side="right")])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return pieces.gather(ids, upto, place)
+
+
 @dataclasses.dataclass(frozen=True)
 class Side:
     ids: np.ndarray
