@@ -3,7 +3,8 @@
 A document is the vector of its terms' saturated frequencies, an item that of its terms' rarities; the score
 is their inner product in whole numbers. Documents stay where they are read: each block of them becomes a ball
 tree over the terms that the items use. A node knows its documents' range, and their radius about the
-centroid, so no document under it scores above item . centroid + |item| * radius. Nodes are taken best first;
+centroid, so no document under it scores above item . centroid + |item| * radius, where the item's length counts
+only the terms that some document under the node holds. Nodes are taken best first;
 those whose bound, rounded up, lies below the item's tenth score so far are left out with all below them, and
 leaves are scored exactly. A first descent to each item's nearest leaf in every block gives scores that
 start the full search, so a block that holds nothing better is left at its upper nodes.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, saved, slices, text_of
+from tidemark.llm.common import flat_bytes, row_sums, saved, slices, text_of
 from tidemark.llm.pieces import gather
 
 TOP = 10
@@ -28,6 +29,8 @@ TOP = 10
 BLOCK_DOCS, LEAF_DOCS = 8192, 32
 #: Words of items that one pass over the documents holds; more items take more passes.
 PASS_WORDS = 1_000_000
+#: Turns of the two means that cut a node.
+STEPS = 3
 #: Relative room for rounding in doubles, far above what sums of a million terms lose.
 ROOM = 1e-9
 #: Candidates kept before they are cut to the best of each item.
@@ -130,14 +133,13 @@ def centroid(term: np.ndarray, x: np.ndarray, docs: int, size: int) -> np.ndarra
     return np.bincount(term, weights=x, minlength=size) / docs
 
 
-def plant(place: np.ndarray, at: np.ndarray, term: np.ndarray, value: np.ndarray, scale: np.ndarray, leaf_docs: int = LEAF_DOCS) -> tuple[np.ndarray, Tree]:
-    """A ball tree over documents with ``value`` for each ``term``; distances are those of ``value * scale``.
+def plant(place: np.ndarray, at: np.ndarray, term: np.ndarray, value: np.ndarray, size: int, leaf_docs: int = LEAF_DOCS) -> tuple[np.ndarray, Tree]:
+    """A ball tree over documents with ``value`` for each of ``size`` terms.
 
-    A node is halved by where its documents lie between two that are far apart. Returns the order the documents
-    were put in and the tree.
+    A node is cut in two by which of two means its documents are nearer to, a quarter of them at least on each
+    side; the means begin as documents far apart. Returns the order the documents were put in and the tree.
     """
-    size = len(scale)
-    x = value * scale[term]
+    x = value.astype(np.float64)
     norm = np.add.reduceat(np.append(x * x, 0.0), at[:-1]) * (np.diff(at) > 0) if len(at) > 1 else np.zeros(0)
     order = np.arange(len(at) - 1)
     first, end, left, right, radius = [], [], [], [], []
@@ -171,9 +173,15 @@ def plant(place: np.ndarray, at: np.ndarray, term: np.ndarray, value: np.ndarray
         if b - a > leaf_docs and away.max() > ROOM * square:
             one = int(docs[np.argmax(away)])
             other = int(docs[np.argmax(norm[docs] - 2 * dots(docs, dense(one)))])
-            side = np.argsort(dots(docs, dense(other) - dense(one)), kind="stable")
-            order[a:b] = docs[side]
-            middle = (a + b) // 2
+            means = dense(one), dense(other)
+            for _ in range(STEPS):
+                side = dots(docs, means[1] - means[0]) > float(means[1] @ means[1] - means[0] @ means[0]) / 2
+                halves = [docs[~side], docs[side]]
+                if not len(halves[0]) or not len(halves[1]):
+                    break
+                means = tuple(centroid(gather(term, at, h)[0], gather(x, at, h)[0], len(h), size) for h in halves)
+            order[a:b] = docs[np.argsort(dots(docs, means[1] - means[0]), kind="stable")]
+            middle = a + min(max(int((~side).sum()), (b - a + 3) // 4), 3 * (b - a) // 4)
             todo += [(middle, b, node, True), (a, middle, node, False)]
     t, bounds = gather(term, at, order)
     v, _ = gather(value, at, order)
@@ -183,18 +191,14 @@ def plant(place: np.ndarray, at: np.ndarray, term: np.ndarray, value: np.ndarray
 class Search:
     """The items' best documents of one tree; ``floor`` holds a score that each item's tenth is known to reach."""
 
-    def __init__(self, tree: Tree, items: Items, weight: np.ndarray, scale: np.ndarray, floor: np.ndarray, top: int):
-        self.tree, self.items, self.scale, self.top = tree, items, scale, top
+    def __init__(self, tree: Tree, items: Items, weight: np.ndarray, floor: np.ndarray, top: int):
+        self.tree, self.items, self.top = tree, items, top
         self.whole = items.count * weight[items.term]  # exact
-        self.q = np.where(scale[items.term] > 0, self.whole / np.where(scale[items.term] > 0, scale[items.term], 1.0), 0.0)
-        rows = np.repeat(np.arange(len(items.ids)), np.diff(items.at))
-        self.norm = np.sqrt(np.bincount(rows, weights=self.q**2, minlength=len(items.ids)))
-        self.x = tree.value * scale[tree.term]
         self.floor = np.maximum(floor, 1)
         self.best = np.zeros((len(items.ids), top), dtype=np.int64)
         self.found: list[np.ndarray] = []  # (item, document, score)
         self.held = 0
-        self.column = np.full(len(scale), -1, dtype=np.int64)
+        self.column = np.full(len(weight), -1, dtype=np.int64)
         self.scored = 0
 
     def bounds(self, node: int, some: np.ndarray) -> np.ndarray:
@@ -202,12 +206,12 @@ class Search:
         tree = self.tree
         a, b = tree.first[node], tree.end[node]
         part = slice(tree.at[a], tree.at[b])
-        c = centroid(tree.term[part], self.x[part], max(1, b - a), len(self.scale))
+        c = centroid(tree.term[part], tree.value[part], max(1, b - a), len(self.column))
         term, at = gather(self.items.term, self.items.at, some)
-        q, _ = gather(self.q, self.items.at, some)
-        inner = np.diff(np.concatenate([[0.0], np.cumsum(q * c[term])])[at])
-        # A running sum loses a share of the whole sum, not of the item's own part of it.
-        return (inner + self.norm[some] * tree.radius[node]) * (1 + ROOM) + ROOM * float(q @ c[term]) + 1
+        q, _ = gather(self.whole, self.items.at, some)
+        # Documents differ from the centroid only on terms that it has, so only those of the item's matter.
+        q = q * (c[term] > 0)
+        return (row_sums(q * c[term], at) + np.sqrt(row_sums(q * q, at)) * tree.radius[node]) * (1 + ROOM) + 1
 
     def leaf(self, node: int, some: np.ndarray) -> None:
         """Score the node's documents exactly and raise the items' floors."""
@@ -287,13 +291,13 @@ class Search:
 # --- the search -----------------------------------------------------------------------------------
 
 
-def build_trees(coded: DataFrame, stats: tuple[int, int], weight: np.ndarray, scale: np.ndarray, *, block_docs: int = BLOCK_DOCS, leaf_docs: int = LEAF_DOCS) -> DataFrame:
+def build_trees(coded: DataFrame, stats: tuple[int, int], weight: np.ndarray, *, block_docs: int = BLOCK_DOCS, leaf_docs: int = LEAF_DOCS) -> DataFrame:
     """A row for each block of documents: their ``ids`` and the fields of its tree."""
     n_docs, n_terms = stats
-    shared = coded.sparkSession.sparkContext.broadcast((weight, scale))
+    shared = coded.sparkSession.sparkContext.broadcast(weight)
 
     def tree_of(ids: pa.Array, n: np.ndarray, at: np.ndarray, term: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
-        weight, scale = shared.value
+        weight = shared.value
         wide = n.astype(object) if 75 * int(n.max(initial=0)) * n_docs >= 2**63 else n
         m = 25 + (75 * wide * n_docs // n_terms).astype(np.int64)
         value = (1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, np.diff(at)))
@@ -301,7 +305,7 @@ def build_trees(coded: DataFrame, stats: tuple[int, int], weight: np.ndarray, sc
         at = np.concatenate([[0], np.cumsum(heavy)])[at]
         place = np.empty(len(ids), dtype=np.int64)
         place[np.asarray(pa.compute.sort_indices(ids, null_placement="at_end"))] = np.arange(len(ids))
-        order, tree = plant(place, at, term[heavy], value[heavy], scale, leaf_docs)
+        order, tree = plant(place, at, term[heavy], value[heavy], len(weight), leaf_docs)
         columns = [ids.take(pa.array(order)), *(pa.array(getattr(tree, f)) for f in FIELDS)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
         return pa.RecordBatch.from_arrays(lists, ["ids", *FIELDS])
@@ -331,16 +335,16 @@ def build_trees(coded: DataFrame, stats: tuple[int, int], weight: np.ndarray, sc
     return coded.mapInArrow(run, f"ids array<{kind}>, {', '.join(f'`{f}` array<{types.get(f, "bigint")}>' for f in FIELDS)}")
 
 
-def search_trees(trees: DataFrame, items: Items, weight: np.ndarray, scale: np.ndarray, floor: np.ndarray, *, top: int = TOP, descend: bool = False) -> DataFrame:
+def search_trees(trees: DataFrame, items: Items, weight: np.ndarray, floor: np.ndarray, *, top: int = TOP, descend: bool = False) -> DataFrame:
     """Each block's best documents of each item: ``item`` (its place), ``doc_id``, ``score``."""
-    shared = trees.sparkSession.sparkContext.broadcast((items, weight, scale, floor))
+    shared = trees.sparkSession.sparkContext.broadcast((items, weight, floor))
 
     def run(batches):
-        items, weight, scale, floor = shared.value
+        items, weight, floor = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, *fields = (batch.column(c).slice(k, 1).flatten() for c in ("ids", *FIELDS))
-                found = Search(Tree(*map(np.asarray, fields)), items, weight, scale, floor, top)
+                found = Search(Tree(*map(np.asarray, fields)), items, weight, floor, top)
                 found.descend() if descend else found.run()
                 found.cut()
                 if found.found:
@@ -377,14 +381,13 @@ def rank_documents(docs: DataFrame, benchmark: DataFrame, *, top: int = TOP, pas
         df = np.zeros(len(items.vocabulary), dtype=np.int64)
         df[held.column("term").to_numpy()] = held.column("count").to_numpy()
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * k + 1))) for k in df.tolist()], dtype=np.int64)
-        scale = np.sqrt(weight)
-        trees = saved(build_trees(coded, (n_docs, n_terms), weight, scale, block_docs=block_docs, leaf_docs=leaf_docs), "trees")
+        trees = saved(build_trees(coded, (n_docs, n_terms), weight, block_docs=block_docs, leaf_docs=leaf_docs), "trees")
         floor = np.zeros(len(items.ids), dtype=np.int64)
-        near = _ranked(search_trees(trees, items, weight, scale, floor, top=top, descend=True), top)
+        near = _ranked(search_trees(trees, items, weight, floor, top=top, descend=True), top)
         tenth = near.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") == top).toArrow()
         floor[tenth.column("item").to_numpy()] = tenth.column("low").to_numpy()
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item bigint, item_id {kinds[1].simpleString()}")
-        best = _ranked(search_trees(trees, items, weight, scale, floor, top=top), top)
+        best = _ranked(search_trees(trees, items, weight, floor, top=top), top)
         out = out.unionByName(best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
     return out
 
