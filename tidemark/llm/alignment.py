@@ -12,6 +12,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
-from tidemark.llm.common import saved, slices, whole
+from tidemark.llm.common import list_slices, saved, slices, whole
 
 #: What some pattern engine may take for a blank; only between other letters is a text cut.
 BLANKS = [c for c in range(0x110000) if chr(c).isspace()] + [0x180E, 0x200B, 0x2060, 0xFEFF]
@@ -62,6 +63,7 @@ def load_byte_level(path: str) -> ByteLevel:
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(spec: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_str(spec)
@@ -274,7 +276,7 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in list_slices(whole_batch, "a_linked")):
             a, b = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("a_linked", "b_linked"))
             code, n = np.unique((a << 32) | b, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code >> 32), pa.array(code & (2**32 - 1)), pa.array(n)], ["a", "b", "n"])
@@ -311,7 +313,7 @@ def summary(aligned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         codes, n, most = shared.value
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in list_slices(whole_batch, "a_linked")):
             bounds = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(batch.column("a_linked"))))]).astype(np.int64)
             a, b = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("a_linked", "b_linked"))
             some, inverse = np.unique((a << 32) | b, return_inverse=True)

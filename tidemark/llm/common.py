@@ -72,6 +72,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4_00
             start = stop
 
 
+def list_slices(batch: pa.RecordBatch, column: str, max_values: int = 250_000) -> Iterable[pa.RecordBatch]:
+    """The batch cut so that a list column holds about ``max_values`` values (always whole rows)."""
+    upto = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0)))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + max_values, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def whole(texts: pa.Array) -> pa.Array:
     """A copy with 64-bit offsets that is no view of a longer array; null is empty."""
     return pa.compute.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))

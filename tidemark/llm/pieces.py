@@ -21,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, slices, whole
+from tidemark.llm.common import fresh, list_slices, slices, whole
 
 MARK = "▁"
 NONE = np.int64(2**62)
 #: Longer stretches whose places have to be merged one by one leave the rounds for a heap.
 ONE_BY_ONE = 256
 FILTER_BITS = 22
-#: Bytes of text encoded, and ids decoded, at once (whole rows).
+#: Bytes of text encoded at once (whole rows).
 SLICE_BYTES = 2_000_000
-SLICE_IDS = 250_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -358,13 +357,8 @@ def decode_ids(encoded: DataFrame, model: Model, *, ids_col: str = "ids") -> Dat
 
     def run(batches):
         for batch in batches:
-            upto = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0)))
-            start = 0
-            while start < batch.num_rows:
-                before = upto[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(upto, before + SLICE_IDS, side="right")))
-                yield decoded(batch.slice(start, stop - start))
-                start = stop
+            for part in list_slices(batch, ids_col):
+                yield decoded(part)
 
     def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(at)
