@@ -14,7 +14,7 @@ def components(links: DataFrame, *, rounds: int = 100) -> DataFrame:
     ``links`` has columns ``a`` and ``b`` of an ordered type; direction, repeats, loops and nulls do not matter.
     Every node ends as a leaf of its component's root, so what is kept is a row per node; each round is
     written to the shared folder. Counting combines before each shuffle, so a hub is no hot key: a node's
-    least neighbour is a minimum.
+    least neighbour is a minimum. Links that are not done after ``rounds`` are an error.
     """
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-links")
     for _ in range(rounds):
@@ -34,4 +34,6 @@ def components(links: DataFrame, *, rounds: int = 100) -> DataFrame:
         edges = new
         if stars:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
