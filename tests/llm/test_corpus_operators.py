@@ -238,6 +238,28 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.link_embeddings(frame.limit(0)).count() == 0
 
 
+def test_held_out_labels_change_no_score(spark, sf_dir):
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    other = marks.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (toxicity.score_texts(docs, toxicity.fit(toxicity.training_rows(docs), m)).collect() for m in (marks, other))
+    assert other.exceptAll(marks).count() > 0
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_components_that_do_not_end_are_an_error(spark):
+    chain = spark.range(60).selectExpr("id a", "id + 1 b")
+    assert components.components(chain).filter("root = 0").count() == 61
+    with pytest.raises(RuntimeError, match="rounds"):
+        components.components(chain, rounds=1)
+
+
+def test_mixed_rows_do_not_depend_on_how_rows_are_cut(spark, docs):
+    want = Counter(tuple(r) for r in mixing.mixed_rows(docs, block=16).collect())
+    for n in (1, 5):
+        assert Counter(tuple(r) for r in mixing.mixed_rows(docs.repartition(n), block=16).collect()) == want
+
+
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(1)
     rows = [" ".join(f"w{k}" for k in rng.integers(0, 400, 60)) + (" idiot" if i % 3 == 0 else "") for i in range(600)]

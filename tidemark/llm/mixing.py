@@ -117,6 +117,9 @@ def targets(sizes: DataFrame, *, total: float | None = None, most: float = MOST)
 def mix(units: DataFrame, *, block: int = BLOCK, most: float = MOST) -> DataFrame:
     """How much of each unit the mix takes. ``units``: ``unit`` (any id), ``src``, ``size``, a row each.
 
+    Units go in the order of ``order``, a hash that the caller gives where ids do not tell the same from run to
+    run; else it is made of the three.
+
     Returns unit, src, size, ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``copies``.
     Units without words are never taken, as nothing is gained by them. Null sources are a source. Reruns on
     the same rows agree: order and draws come from hashes. An empty table gives no rows.
@@ -132,7 +135,7 @@ def mix(units: DataFrame, *, block: int = BLOCK, most: float = MOST) -> DataFram
         "size",
         whole.alias("base"),
         F.when((F.col("size") > 0) & (rate > whole + 1e-12), rate - whole).otherwise(0.0).alias("p"),
-        F.xxhash64("unit", "src", "size").alias("order"),
+        F.col("order") if "order" in units.columns else F.xxhash64("unit", "src", "size").alias("order"),
     )
     done, left, level, last = None, saved(start, "mix-units"), 0, False
     while not last:
@@ -156,11 +159,12 @@ def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
 def mixed_rows(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """The documents that the mix takes, all columns kept, with ``copies`` (how often) and ``taken`` (words).
 
-    If ``docs`` has columns of these names, the new ones get an underscore before theirs.
+    If ``docs`` has columns of these names, the new ones get an underscore before theirs. Draws follow a hash of
+    id, source and text, so they do not depend on how the rows are cut; rows equal in these stand for each other.
     """
     row = fresh(docs, "mix_row")
     kept = saved(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
     copies, taken = fresh(docs, "copies"), fresh(docs, "taken")
-    units = kept.select(F.col(row).alias("unit"), F.col("source").alias("src"), words_in(text_of()).alias("size"))
+    units = kept.select(F.col(row).alias("unit"), F.col("source").alias("src"), words_in(text_of()).alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"))
     chosen = mix(units, block=block).filter("copies > 0").select(F.col("unit").alias(row), F.col("copies").alias(copies), F.col("taken").alias(taken))
     return kept.join(chosen, row).drop(row)
