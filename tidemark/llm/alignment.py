@@ -150,7 +150,7 @@ def _spells(tokens: list[bytes], ids: np.ndarray, bounds: np.ndarray, held: np.n
     ends = np.concatenate([[0], np.cumsum(size[ids])])[bounds]
     same = np.diff(ends) == np.diff(text_at)
     ids, bounds = _kept(ids, bounds, same)
-    flat, _ = pieces.gather(np.frombuffer(b"".join(tokens), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)]), ids)
+    flat = pieces.spelt(tokens, ids)[: size[ids].sum()]
     theirs = held[np.repeat(same, np.diff(text_at))]
     wrong = np.flatnonzero(flat != theirs)
     at = np.concatenate([[0], np.cumsum(np.diff(text_at) * same)])

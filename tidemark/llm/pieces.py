@@ -267,8 +267,14 @@ def parts_of(held: bytes, starts: np.ndarray) -> pa.DictionaryArray:
 
 def gather(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``which`` of ``flat`` one after the other, and their bounds."""
-    counts = np.diff(bounds)[which]
-    return flat[np.repeat(bounds[which], counts) + stretches(counts)], np.concatenate([[0], np.cumsum(counts)])
+    taken = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), pa.array(flat)).take(pa.array(which))
+    return np.asarray(taken.flatten()), np.asarray(taken.offsets).astype(np.int64)
+
+
+def spelt(tokens: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """The bytes of the tokens one after the other."""
+    data = pa.array(tokens, pa.large_binary()).take(pa.array(ids)).buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
 def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +328,7 @@ codecs.register_error("tidemark-each-byte", lambda e: ("�", e.start + 1))
 def decode(model: Model, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
     """The texts of the stretches of ``ids``: pieces joined, the first one's word mark gone, bytes that spell nothing as U+FFFD each."""
     sizes = np.array(list(map(len, model.pieces)), dtype=np.int64)
-    table, at = np.frombuffer(b"".join(model.pieces), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-    flat, ends = gather(table, at, ids)
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
     row = ends[bounds]
     seen = np.flatnonzero(~model.control[ids])
     begin = row[:-1].copy()
@@ -331,7 +336,7 @@ def decode(model: Model, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         first = np.minimum(np.searchsorted(seen, bounds[:-1]), len(seen) - 1)
         there = (seen[first] >= bounds[:-1]) & (seen[first] < bounds[1:])
         begin += there & model.opens[ids[seen[first]]]
-    held = flat.tobytes()
+    held = spelt(model.pieces, ids).tobytes()[: ends[-1]]
     out = [held[a:b].decode(errors="tidemark-each-byte") for a, b in zip(begin.tolist(), row[1:].tolist(), strict=True)]
     # Bytes on the two sides of a control id do not spell a letter together.
     parted = np.flatnonzero(model.control[ids[1:-1]] & model.is_byte[ids[:-2]] | model.control[ids[1:-1]] & model.control[ids[:-2]]) + 1
