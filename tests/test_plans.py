@@ -40,7 +40,7 @@ def test_texts_are_not_shuffled(spark, sf_dir):
 
 
 def test_scans_read_what_they_need(spark, sf_dir):
-    shown = plan(marts.company_leaderboard(mapping.jobs(spark, sf_dir)))
+    shown = plan(marts.company_segments(mapping.jobs(spark, sf_dir)))
     schema = re.search(r"FileScan parquet \[([^\]]*o_orderkey[^\]]*)\]", shown).group(1)
     assert "o_orderdate" not in schema
     recent = ingest.recent_postings(mapping.jobs(spark, sf_dir), as_of=__import__("datetime").date(1998, 8, 2), days=30)

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import exact_ratio, exact_ratio_wide, value_midpoint
-from tidemark.functions.ranking import name_prefix, split_row_number, value_stats
+from tidemark.functions.ranking import split_row_number, value_stats
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -23,11 +23,27 @@ def test_split_row_number_is_row_number(spark, seed):
     df = spark.createDataFrame(rows, "g string, n bigint, name string").distinct()
     order = [F.desc("n"), F.col("name")]
     plain = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    got = split_row_number(plain, ["g"], order, [(F.col("n"), True), (name_prefix("name"), False)], "rank")
+    got = split_row_number(plain, ["g"], order, "rank")
     assert got.count() == df.count()
     assert got.filter(F.col("rank") != F.col("want")).count() == 0
 
 
+def test_a_hot_group_of_like_names_spreads_over_tasks(spark):
+    """Equal counts and names with a common start: nothing but the end of the name tells the rows apart."""
+    df = spark.range(100_000).select(
+        F.lit("hot").alias("g"), F.lit(7).alias("n"), F.format_string("common-start%09d", F.col("id") * 7919 % 100_000).alias("name")
+    )
+    order = [F.desc("n"), F.col("name")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = split_row_number(df, ["g"], order, "rank")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = {r[0].rsplit("/", 1)[1] for r in spark.read.parquet(*ranked.inputFiles()).select(F.input_file_name()).distinct().collect()}
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert len(tasks) >= 4
+    assert ranked.join(want, "name").filter(F.col("rank") != F.col("want")).count() == 0
+    assert ranked.count() == 100_000
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_value_stats(spark, seed):
     rng = random.Random(seed)

@@ -1,8 +1,9 @@
 """Ranks and medians over groups that may hold a large share of all rows.
 
-A plain ``row_number()`` sends a whole group to one task. Here a coarse key, monotone in the
-order, splits the group: a histogram over the coarse key gives each split its offset, and only
-the rows of one split are sorted together. Results are those of the plain window.
+A plain ``row_number()`` sends a whole group to one task. Here the rows are sorted by ranges of the whole order,
+whose cut points Spark takes from a sample of it, so a group spreads over as many ranges as it has rows for;
+each range numbers its own rows and is shifted by the rows of the group in the ranges before. Results are those
+of the plain window.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import int_div
-
-# Characters of a name used to split ties; binary string order keeps prefixes in order.
-NAME_PREFIX = 4
+from tidemark.session import saved
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
@@ -26,49 +25,24 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, (left[x].eqNullSafe(right[y]) for x, y in pairs))
 
 
-def summed_whole(df: DataFrame, keys: Sequence[str], *sums: Column) -> DataFrame:
-    """``df.groupBy(keys).agg(sums)`` that reads every column of ``df``.
-
-    For an aggregate used both row by row and summed up: column pruning would give the two uses
-    different plans and have the aggregate worked out twice. Needing the same columns, they share
-    one exchange.
-    """
-    touched = F.max(F.xxhash64(*df.columns)).alias("_touched")
-    return df.groupBy(*keys).agg(*sums, touched).filter(F.col("_touched").isNotNull()).drop("_touched")
-
-
-def name_prefix(name: str) -> Column:
-    return F.substring(F.col(name), 1, NAME_PREFIX)
-
-
-def split_row_number(
-    df: DataFrame,
-    partition_by: Sequence[str],
-    order_by: Sequence[Column],
-    splits: Sequence[tuple[Column, bool]],
-    name: str,
-) -> DataFrame:
+def split_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], name: str) -> DataFrame:
     """Add ``row_number() over (partition_by order by order_by)`` as bigint ``name``.
 
-    ``splits`` are (expression, descending) pairs that follow the same order as ``order_by``.
+    The sorted rows are written to the shared folder, so that numbers and shifts come from the same ranges. The
+    order should tell rows apart: only equal rows stay in one range whatever their number.
     """
     parts = list(partition_by)
-    keys = [f"_split{i}" for i in range(len(splits))]
-    cut = df.select("*", *[expr.alias(k) for (expr, _), k in zip(splits, keys)])
-    coarse = [F.col(k).desc_nulls_last() if desc else F.col(k).asc_nulls_last() for (_, desc), k in zip(splits, keys)]
-
-    offsets = summed_whole(cut, [*parts, *keys], F.count(F.lit(1)).alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*parts).orderBy(*coarse).rowsBetween(*_BEFORE))
-    offsets = offsets.select(
-        *[F.col(c).alias(f"_o_{c}") for c in (*parts, *keys)],
-        F.coalesce(earlier, F.lit(0).cast("bigint")).alias("_before"),
-    )
-    local = F.row_number().over(Window.partitionBy(*parts, *keys).orderBy(*order_by))
-    ranked = cut.withColumn("_local", local)
-    same = null_safe(ranked, offsets, [(c, f"_o_{c}") for c in (*parts, *keys)])
-    return ranked.join(offsets, same).select(
-        *[ranked[c] for c in df.columns], (F.col("_before") + F.col("_local")).cast("bigint").alias(name)
+    place = F.monotonically_increasing_id()  # range number, then place in the range
+    rows = saved(df.orderBy(*parts, *order_by).withColumn("_place", place), "ranked")
+    rows = rows.withColumn("_range", F.shiftright("_place", 33))
+    held = rows.groupBy("_range", *parts).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*parts).orderBy("_range").rowsBetween(*_BEFORE))
+    shifts = held.select(
+        *[F.col(c).alias(f"_o_{c}") for c in ("_range", *parts)],
+        (F.coalesce(earlier, F.lit(0).cast("bigint")) - F.col("_first") + 1).alias("_shift"),
     )
+    same = null_safe(rows, shifts, [(c, f"_o_{c}") for c in ("_range", *parts)])
+    return rows.join(shifts, same).select(*[rows[c] for c in df.columns], (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def value_stats(hist: DataFrame, keys: Sequence[str], *, min_rows: int = 1) -> DataFrame:

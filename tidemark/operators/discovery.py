@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tidemark.functions.exact import mean_units
+from pyspark.sql import types as T
 
 SEEN_ORDER = ("seen_at", "job_id", "position")
 
@@ -14,23 +13,52 @@ def _key() -> Column:
     return F.lower(F.trim("skill_name"))
 
 
-def discoveries(
+#: What the rows of one name come to, in a form that adds up: no mean and no order of arrival.
+COUNTED = T.StructType(
+    [
+        T.StructField("skill_key", T.StringType()),
+        T.StructField("seen_at", T.TimestampNTZType()),  # of the first sight, as the next five
+        T.StructField("job_id", T.LongType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("subcategory", T.StringType()),
+        T.StructField("last_seen", T.TimestampNTZType()),
+        T.StructField("occurrence_count", T.LongType()),
+        T.StructField("thousandths", T.LongType()),
+        T.StructField(
+            "contexts",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("seen_at", T.TimestampNTZType()),
+                        T.StructField("job_id", T.LongType()),
+                        T.StructField("position", T.IntegerType()),
+                        T.StructField("context", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+
+
+def count_discoveries(
     new: DataFrame, *, max_contexts: int = 5, context_chars: int = 100, default_confidence: float = 0.8
 ) -> DataFrame:
-    """One row per name whatever the case: first spelling and category, first and last sight, count, mean confidence.
+    """The rows of each name whatever the case, counted: the columns of ``COUNTED``.
 
-    ``new`` holds job_id, position, skill_name, category, subcategory, confidence, context, seen_at.
-    Sample contexts are cut to the first few before they are collected.
+    ``new`` holds job_id, position, skill_name, category, subcategory, confidence, context, seen_at. Of contexts
+    the first few stay; they are cut before they are collected.
     """
     rows = new.filter(F.length(F.trim("skill_name")) >= 2).withColumn("skill_key", _key())
     thousandths = F.floor(F.coalesce("confidence", F.lit(default_confidence)) * 1000.0 + 0.5).cast("bigint")
     first = F.min(F.struct(*SEEN_ORDER, F.trim("skill_name").alias("name"), "category", "subcategory"))
     counted = rows.groupBy("skill_key").agg(
         first.alias("_first"),
-        F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"),
         F.count(F.lit(1)).alias("occurrence_count"),
-        mean_units(thousandths, 1000).alias("avg_confidence"),
+        F.sum(thousandths).alias("thousandths"),
     )
     nth = F.row_number().over(Window.partitionBy("skill_key").orderBy(*SEEN_ORDER))
     contexts = (
@@ -38,22 +66,35 @@ def discoveries(
         .withColumn("_n", nth)
         .filter(F.col("_n") <= max_contexts)
         .groupBy("skill_key")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", F.substring("context", 1, context_chars).alias("c")))).alias("_c"))
+        .agg(F.array_sort(F.collect_list(F.struct(*SEEN_ORDER, F.substring("context", 1, context_chars).alias("context")))).alias("contexts"))
     )
+    none = F.array().cast(COUNTED["contexts"].dataType)
     return counted.join(contexts, "skill_key", "left").select(
+        "skill_key", "_first.*", "last_seen", "occurrence_count", "thousandths", F.coalesce("contexts", none).alias("contexts")
+    )
+
+
+def shown_discoveries(counted: DataFrame) -> DataFrame:
+    """Counted rows as discoveries: first spelling and category, first and last sight, count, mean confidence."""
+    return counted.select(
         "skill_key",
-        "_first.name",
-        F.coalesce("_first.category", F.lit("Other")).alias("category"),
-        F.coalesce("_first.subcategory", F.lit("")).alias("subcategory"),
-        "first_seen",
+        "name",
+        F.coalesce("category", F.lit("Other")).alias("category"),
+        F.coalesce("subcategory", F.lit("")).alias("subcategory"),
+        F.col("seen_at").alias("first_seen"),
         "last_seen",
         "occurrence_count",
-        "avg_confidence",
-        F.coalesce(F.col("_c.c"), F.array().cast("array<string>")).alias("sample_contexts"),
+        (F.col("thousandths").cast("double") / (F.col("occurrence_count") * 1000).cast("double")).alias("avg_confidence"),
+        F.col("contexts.context").alias("sample_contexts"),
         F.lit(False).alias("is_promoted"),
     )
 
 
+def discoveries(new: DataFrame, **options) -> DataFrame:
+    """One row per name whatever the case; rows and options as :func:`count_discoveries` has them."""
+    return shown_discoveries(count_discoveries(new, **options))
+
+
 def promotion_candidates(disc: DataFrame, *, min_count: int = 3, min_confidence: float = 0.75) -> DataFrame:
     fit = (F.col("occurrence_count") >= min_count) & (F.col("avg_confidence") >= min_confidence)
     return disc.filter(~F.col("is_promoted") & fit).orderBy(F.desc("occurrence_count"), "skill_key")

@@ -22,7 +22,8 @@ from tidemark.functions.exact import (
     product,
     value_midpoint,
 )
-from tidemark.functions.ranking import name_prefix, split_row_number, summed_whole, value_stats
+from tidemark.functions.ranking import split_row_number, value_stats
+from tidemark.session import saved
 
 
 def enriched(job_skills: DataFrame, skills: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -78,8 +79,7 @@ def skill_demand(enr: DataFrame, *, top_n: int | None = 50, as_of: date | None =
     ranked = split_row_number(
         counted,
         ["search_role"],
-        [*order[:1], F.col("skill_name"), F.col("country_code"), F.col("skill_id")],
-        [(F.col("job_count"), True), (name_prefix("skill_name"), False)],
+        [F.desc("job_count"), F.col("skill_name"), F.col("country_code"), F.col("skill_id")],
         "rank_in_role_global",
     )
     rank = []
@@ -242,18 +242,15 @@ def company_segments(jobs: DataFrame) -> DataFrame:
 
 def company_leaderboard(jobs: DataFrame, *, top_n: int = 100, as_of: date | None = None) -> DataFrame:
     """The ``top_n`` companies of each (role, country) with their ``company_segments`` and rank in the country."""
-    company = company_segments(jobs)
+    company = saved(company_segments(jobs), "companies")
     in_segment = F.row_number().over(
         Window.partitionBy("search_role", "country_code").orderBy(F.desc("job_count"), "company_name")
     )
     top = company.withColumn("rank_in_role_country", in_segment).filter(F.col("rank_in_role_country") <= top_n)
     in_country = split_row_number(
-        summed_whole(
-            company, ["company_name", "country_code"], F.sum("job_count").alias("company_total_jobs_in_country")
-        ),
+        company.groupBy("company_name", "country_code").agg(F.sum("job_count").alias("company_total_jobs_in_country")),
         ["country_code"],
         [F.desc("company_total_jobs_in_country"), F.col("company_name")],
-        [(F.col("company_total_jobs_in_country"), True), (name_prefix("company_name"), False)],
         "rank_in_country",
     )
     mart = (

@@ -731,17 +731,42 @@ def stream_ingest(spark, sf_dir):
     return _shown(spark.read.parquet(f"{out}/stg_jobs"))
 
 
-@query
-def stream_discoveries(spark, sf_dir):
-    """Discoveries the stream leaves after taking all documents in one batch."""
+def _discovered(spark, sf_dir, **options):
+    """Documents staged in three files and taken by the stream: its output folder and its checkpoint."""
     out = scratch_dir(spark, "stream-discoveries")
     jobs = stage.flatten_posting(mapping.document_postings(spark, sf_dir))[0]
     jobs.withColumn("processed_at", F.col("extracted_at")).repartition(3, "job_id").write.parquet(f"{out}/staged")
     run = stream_discovery.stream_discoveries(
-        spark, f"{out}/staged", out, f"{out}/checkpoint", taxonomy=mapping.taxonomy(spark), mode="discover_all"
+        spark, f"{out}/staged", out, f"{out}/check", taxonomy=mapping.taxonomy(spark), mode="discover_all", **options
     )
     run.awaitTermination()
-    return stream_discovery.stream_totals(spark, out).select("skill_key", "category", "occurrence_count", "is_promoted")
+    return out, f"{out}/check"
+
+
+@query
+def stream_discoveries(spark, sf_dir):
+    """Discoveries the stream leaves after all documents, a file a batch, none promoted in between."""
+    totals = stream_discovery.stream_totals(spark, *_discovered(spark, sf_dir, max_files=1, min_count=10**9))
+    return joined_list(totals, "sample_contexts")
+
+
+@query
+def stream_promotions(spark, sf_dir):
+    """What one batch of all documents promotes."""
+    totals = stream_discovery.stream_totals(spark, *_discovered(spark, sf_dir))
+    return totals.select("skill_key", "category", "occurrence_count", "is_promoted")
+
+
+@query
+def stream_job_skills(spark, sf_dir):
+    """Facts the stream leaves, a file a batch, with their skills' entries, by the posting's platform id."""
+    out, _ = _discovered(spark, sf_dir, max_files=1, min_count=10**9)
+    facts, dim = (spark.read.parquet(f"{out}/{t}") for t in ("stg_job_skills", "dim_skills"))
+    ids = spark.read.parquet(f"{out}/staged").select("job_id", F.col("job_platform_id").cast("bigint").alias("posting"))
+    entries = dim.select("skill_id", F.col("skill_name").alias("entry"))
+    return facts.join(entries, "skill_id").join(ids, "job_id").select(
+        F.col("posting").alias("job_id"), "skill_name", "entry", "mention_count", "verified", "extraction_method"
+    )
 
 
 # --- quality ----------------------------------------------------------------------------------

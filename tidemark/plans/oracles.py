@@ -874,8 +874,15 @@ oracle(
         FROM (SELECT * FROM pt_disc ORDER BY occurrence_count DESC, skill_key LIMIT 10)) AS top_pending
       FROM pt_disc""",
 )
+# Staged documents have neither title nor company, so all contexts are alike.
+part("pt_streamed", disc_sql("(SELECT * REPLACE (' @ ' AS context) FROM pt_allseen)"))
+oracle("stream_discoveries", "SELECT * FROM pt_streamed")
 oracle(
-    "stream_discoveries",
+    "stream_job_skills",
+    "SELECT job_id, skill_name, skill_name AS entry, mention_count, verified, extraction_method FROM pt_merged",
+)
+oracle(
+    "stream_promotions",
     f"""SELECT skill_key, category, occurrence_count,
       {FIT} AND skill_key NOT IN (SELECT lower(name) FROM pt_taxo) AS is_promoted FROM pt_alldisc""",
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,15 @@ PAGE = T.StructType(
 )
 
 
-def landed_rows(pages: DataFrame, *, batch_id: str, as_of: datetime | None = None) -> DataFrame:
-    """One row per result of a page. ``pages`` hold results, search_role and country_code; works on streams."""
+def landed_rows(
+    pages: DataFrame, *, batch_id: str, as_of: datetime | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per result of a page. ``pages`` hold results, search_role and country_code; works on streams.
+
+    Further columns of the pages named in ``keep`` come last.
+    """
     stamp = F.current_timestamp() if as_of is None else F.lit(as_of)
-    results = pages.select("search_role", "country_code", F.explode("results").alias("posting"))
+    results = pages.select("search_role", "country_code", *keep, F.explode("results").alias("posting"))
     return (
         results.withColumn("job_platform_id", F.try_variant_get("posting", "$.id", "string"))
         .filter(F.col("job_platform_id").isNotNull())
@@ -30,6 +36,7 @@ def landed_rows(pages: DataFrame, *, batch_id: str, as_of: datetime | None = Non
             F.to_json("posting").alias("raw_data"),
             stamp.cast("timestamp_ntz").alias("extracted_at"),
             F.lit(batch_id).alias("extraction_batch_id"),
+            *keep,
         )
     )
 

@@ -1,73 +1,114 @@
 """Skill extraction over a stream of staged postings, with a taxonomy that grows between batches.
 
-A batch reads the taxonomy as earlier batches left it, writes its skills and its discovery
-counters, and promotes what has become frequent. Counters are kept per batch and added up on
-reading, so running a batch again replaces its part.
+A batch reads the taxonomy as earlier batches left it and writes its facts and its counts per new term. The
+counts go through a second stream, whose state keeps one total per term: a batch touches the totals of its own
+terms and reads no earlier counts. Terms that have become frequent are promoted. Totals remember the last batch they hold,
+so running a batch again adds nothing twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from tidemark.operators import discovery, text
-from tidemark.operators.stage import posting_texts
-from tidemark.schemas import STG_JOBS, TAXONOMY
-from tidemark.streaming.ingest import batch_path, earlier
-
-COUNTERS = T.StructType(
-    [
-        T.StructField("skill_key", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("subcategory", T.StringType()),
-        T.StructField("first_seen", T.TimestampNTZType()),
-        T.StructField("last_seen", T.TimestampNTZType()),
-        T.StructField("occurrence_count", T.LongType()),
-        T.StructField("avg_confidence", T.DoubleType()),
-        T.StructField("sample_contexts", T.ArrayType(T.StringType())),
-        T.StructField("is_promoted", T.BooleanType()),
-    ]
-)
-
-
-def add_up(parts: DataFrame, *, max_contexts: int = 5) -> DataFrame:
-    """Discovery counters of several batches as one."""
-    n = F.col("occurrence_count")
-    thousandths = F.floor(F.col("avg_confidence") * n * 1000.0 + 0.5).cast("bigint")
-    first = F.min(F.struct("first_seen", "name", "category", "subcategory"))
-    total = parts.groupBy("skill_key").agg(
-        first.alias("_first"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum(n).alias("occurrence_count"),
-        (F.sum(thousandths).cast("double") / (F.sum(n) * 1000).cast("double")).alias("avg_confidence"),
-    )
-    nth = F.row_number().over(Window.partitionBy("skill_key").orderBy("first_seen", "sample_contexts"))
-    held = (
-        parts.filter(F.size("sample_contexts") > 0)
-        .withColumn("_n", nth)
-        .filter(F.col("_n") <= max_contexts)
-        .groupBy("skill_key")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "sample_contexts"))).alias("_c"))
-    )
-    contexts = F.slice(F.flatten(F.col("_c.sample_contexts")), 1, max_contexts)
-    return total.join(held, "skill_key", "left").select(
-        "skill_key",
-        "_first.name",
-        "_first.category",
-        "_first.subcategory",
-        "first_seen",
-        "last_seen",
-        "occurrence_count",
-        "avg_confidence",
-        F.coalesce(contexts, F.array().cast("array<string>")).alias("sample_contexts"),
-        F.lit(False).alias("is_promoted"),
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from tidemark.operators import discovery, stage, text
+from tidemark.schemas import DIM_SKILLS, STG_JOBS, TAXONOMY
+from tidemark.streaming.ingest import batch_path, earlier, keep_state_on_disk
+
+MAX_CONTEXTS = 5
+
+
+def _in_micros(kind: T.DataType) -> T.DataType:
+    """Times as whole microseconds, which pass through Python unchanged."""
+    if isinstance(kind, T.TimestampNTZType):
+        return T.LongType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_in_micros(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _in_micros(f.dataType)) for f in kind])
+    return kind
+
+
+#: A total: the counted columns without the key, and the last batch it holds.
+TOTAL = T.StructType([*_in_micros(discovery.COUNTED).fields[1:], T.StructField("batch", T.LongType())])
+TOUCHED = T.StructType([T.StructField("skill_key", T.StringType()), *TOTAL.fields])
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
+def _micros(time: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch(), time)
+
+
+def _time(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, _epoch())
+
+
+def _with_times(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    entry = lambda c: F.struct(change(c["seen_at"]).alias("seen_at"), c["job_id"], c["position"], c["context"])
+    return df.withColumns(
+        {c: change(F.col(c)) for c in ("seen_at", "last_seen")} | {"contexts": F.transform("contexts", entry)}
     )
 
 
+class Totals(StatefulProcessor):
+    """Per term: what all batches so far counted. A batch brings one row, added up before it comes here."""
+
+    def init(self, handle) -> None:
+        self.total = handle.getValueState("total", TOTAL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        total = None
+        if self.total.exists():
+            held = self.total.get()
+            total = (*held[:9], [tuple(c) for c in held[9]], held[10])
+        for part in rows:
+            for row in part.sort_values("batch").itertuples(index=False):
+                total = added(total, row)
+        self.total.update(total)
+        yield pd.DataFrame([(key[0], *total)], columns=TOUCHED.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def added(total: tuple | None, row) -> tuple:
+    """The total with the counts of one more batch; those of a batch it holds already leave it as it is."""
+    sight = (int(row.seen_at), int(row.job_id), int(row.position), row.name, row.category, row.subcategory)
+    contexts = [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in row.contexts]
+    one = (*sight, int(row.last_seen), int(row.occurrence_count), int(row.thousandths), contexts, int(row.batch))
+    if total is None:
+        return one
+    if total[10] >= one[10]:
+        return total
+    first = min(total, one, key=lambda t: t[:3])[:6]
+    both = sorted([*total[9], *contexts], key=lambda c: c[:3])[:MAX_CONTEXTS]
+    return (*first, max(total[6], one[6]), total[7] + one[7], total[8] + one[8], both, one[10])
+
+
+def _count_up(spark: SparkSession, out: str, checkpoint: str) -> list[int]:
+    """Take new counts into the totals; the numbers of the ``touched`` folders written."""
+    whole = T.StructType([*discovery.COUNTED.fields, T.StructField("batch", T.LongType())])
+    parts = spark.readStream.schema(whole).option("ignoreMissingFiles", True).parquet(f"{out}/counts")
+    totals = _with_times(parts, _micros).groupBy("skill_key").transformWithStateInPandas(Totals(), TOUCHED, "Update", "None")
+    runs: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_path(out, "touched", number))
+        runs.append(number)
+
+    query = totals.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return runs
+
+
 def stream_discoveries(
     spark: SparkSession,
     staged: str,
@@ -83,30 +124,47 @@ def stream_discoveries(
 ) -> StreamingQuery:
     """Extract skills from staged postings not seen before, then stop.
 
-    Writes ``job_skills``, ``discoveries`` (counters per batch) and ``promoted`` (taxonomy entries)
-    under ``out``; an entry promoted by one batch is known to the next.
+    Writes ``job_skills`` (all columns of the merge), ``stg_job_skills`` and ``dim_skills`` (facts with ids, and
+    the skills each batch was the first to find), ``counts`` (new terms per batch), ``touched`` (totals that a
+    batch moved) and ``promoted`` (taxonomy entries) under ``out``; an entry promoted by one batch is known to
+    the next. :func:`stream_totals` reads the totals.
     """
+    keep_state_on_disk(spark)
     jobs = spark.readStream.schema(STG_JOBS).option("maxFilesPerTrigger", max_files).parquet(staged)
 
     def extract(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         promoted = earlier(session, out, "promoted", TAXONOMY, number)
         known = taxonomy if promoted is None else taxonomy.unionByName(promoted, allowMissingColumns=True)
-        docs = posting_texts(batch)
+        docs = stage.posting_texts(batch)
         merged, _ = text.hybrid_extract(docs, text.taxonomy_terms(known), finder=finder, mode=mode)
         merged.write.mode("overwrite").parquet(batch_path(out, "job_skills", number))
-        skills = session.read.parquet(batch_path(out, "job_skills", number))
-        seen = text.new_discoveries(skills).join(docs.select("job_id", "context", "seen_at"), "job_id")
-        discovery.discoveries(seen).write.mode("overwrite").parquet(batch_path(out, "discoveries", number))
+        skills = session.read.schema(merged.schema).parquet(batch_path(out, "job_skills", number))
+
+        before = earlier(session, out, "dim_skills", DIM_SKILLS, number)
+        dim = session.createDataFrame([], DIM_SKILLS) if before is None else before
+        facts, grown = stage.assign_tag_ids(skills, dim)
+        stamped = facts.select("job_id", "skill_id", "skill_name", "mention_count", "verified", "extraction_method").join(
+            batch.select("job_id", "extracted_at"), "job_id"
+        )
+        stamped.write.mode("overwrite").parquet(batch_path(out, "stg_job_skills", number))
+        fresh = grown.join(dim.select("skill_id"), "skill_id", "left_anti").select(DIM_SKILLS.fieldNames())
+        fresh.write.mode("overwrite").parquet(batch_path(out, "dim_skills", number))
 
-        parts = session.read.schema(COUNTERS).parquet(batch_path(out, "discoveries", number))
-        before = earlier(session, out, "discoveries", COUNTERS, number)
-        totals = add_up(parts if before is None else parts.unionByName(before))
-        fit = discovery.promotion_candidates(totals, min_count=min_count, min_confidence=min_confidence)
-        there = known.select(F.lower("name").alias("skill_key"))
-        fit.join(there, "skill_key", "left_anti").select(
-            "name", "category", "subcategory", F.array().cast("array<string>").alias("aliases")
-        ).write.mode("overwrite").parquet(batch_path(out, "promoted", number))
+        seen = text.new_discoveries(skills).join(docs.select("job_id", "context", "seen_at"), "job_id")
+        counts = discovery.count_discoveries(seen, max_contexts=MAX_CONTEXTS)
+        counts.write.mode("overwrite").parquet(batch_path(out, "counts", number))
+        runs = _count_up(session, out, f"{checkpoint}-totals")
+        fit = known.sparkSession.createDataFrame([], TAXONOMY)
+        if runs:
+            touched = session.read.schema(TOUCHED).parquet(*[batch_path(out, "touched", n) for n in runs])
+            shown = discovery.shown_discoveries(_with_times(touched.filter(F.col("batch") == number), _time))
+            there = known.select(F.lower("name").alias("skill_key"))
+            fit = discovery.promotion_candidates(shown, min_count=min_count, min_confidence=min_confidence)
+            fit = fit.join(there, "skill_key", "left_anti").select(
+                "name", "category", "subcategory", F.array().cast("array<string>").alias("aliases")
+            )
+        fit.write.mode("overwrite").parquet(batch_path(out, "promoted", number))
 
     return (
         jobs.writeStream.foreachBatch(extract)
@@ -116,9 +174,10 @@ def stream_discoveries(
     )
 
 
-def stream_totals(spark: SparkSession, out: str) -> DataFrame:
-    """Discoveries of all batches so far, with those promoted marked."""
-    totals = add_up(spark.read.schema(COUNTERS).parquet(f"{out}/discoveries"))
+def stream_totals(spark: SparkSession, out: str, checkpoint: str) -> DataFrame:
+    """Discoveries of all batches so far, with those promoted marked: read from the state, not added up again."""
+    state = spark.read.format("statestore").option("stateVarName", "total").load(f"{checkpoint}-totals")
+    totals = discovery.shown_discoveries(_with_times(state.select("key.skill_key", "value.*"), _time))
     promoted = spark.read.schema(TAXONOMY).parquet(f"{out}/promoted").select(F.lower("name").alias("skill_key")).distinct()
     marked = totals.drop("is_promoted").join(promoted.withColumn("_p", F.lit(True)), "skill_key", "left")
     return marked.withColumn("is_promoted", F.coalesce("_p", F.lit(False))).drop("_p")
