@@ -70,21 +70,9 @@ def term_pattern(term: Column, *, special: str = "full", strict: bool = False) -
     return F.concat(F.lit(IGNORE_CASE), _own(term, special, pattern))
 
 
-def search_pattern(term: Column, *, special: str = "full", strict: bool = False) -> Column:
-    """The same matches as :func:`term_pattern`, for lower-case text.
-
-    The term comes first and what precedes it is checked afterwards, so the search skips to the
-    places where the term stands.
-    """
-    before, after = _edges(term, strict)
-    plain = quoted(F.lower(term))
-    found = F.concat(plain, before, F.lit(WORD), plain, F.lit(")"), after, F.lit(f"{WORD})"))
-    return _own(term, special, found, prefix=IGNORE_CASE)
-
-
-def _own(term: Column, special: str, pattern: Column, *, prefix: str = "") -> Column:
+def _own(term: Column, special: str, pattern: Column) -> Column:
     for text, own in special_terms(special).items():
-        pattern = F.when(term == text, F.lit(prefix + own)).otherwise(pattern)
+        pattern = F.when(term == text, F.lit(own)).otherwise(pattern)
     return pattern
 
 
@@ -95,8 +83,9 @@ def _extract(text: Column, ascii_pattern: str, pattern: str) -> Column:
     return F.when(one_byte, quick).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def words(text: Column) -> Column:
-    return _extract(text, "[a-zA-Z0-9_]+", f"{WORD}+")
+def segments(text: Column) -> Column:
+    """A text as its words and what stands between them, in turn; joined they are the text."""
+    return _extract(text, "[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+", rf"{WORD}+|[^\p{{L}}\p{{N}}_]+")
 
 
 def potential_terms(text: Column) -> Column:

@@ -6,18 +6,17 @@ done where the text is read and only (job, term) rows move on.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.patterns import WORD, potential_terms, search_pattern, special_terms, term_pattern, words
+from tidemark.functions.patterns import WORD, potential_terms, segments, special_terms, term_pattern
 from tidemark.schemas import CANDIDATES, generic_words, label_categories
 
-# Phrase terms kept inside the scan; a larger set is matched through a join instead.
-INLINE_PHRASES = 2000
+# Terms that hold no word at all, which are rare; more of them are an error.
+BARE_TERMS = 1000
 
 Finder = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
@@ -34,105 +33,157 @@ def taxonomy_terms(taxonomy: DataFrame) -> DataFrame:
 
 
 def compile_terms(terms: DataFrame, *, special: str = "full", strict: bool = False) -> DataFrame:
-    """Terms with their ``pattern`` and how to look for it.
+    """Terms with their ``pattern`` and the parts by which texts are searched for them.
 
-    ``kind`` is 'word' for a term that is a single word, which is found by comparing words with its
-    ``term_key``. For other terms, 'phrase', the key is a pattern for lower-case text, tried only
-    where the text holds their ``anchor``, a word of theirs. Terms with a pattern of their own, or
-    without any word, have a ``probe`` to look for instead.
+    ``kind`` is 'word' for a term that is a single word, 'own' for one with a pattern of its own, else 'phrase'.
+    ``core`` holds the term's words and what stands between them, ``lead`` and ``trail`` the symbols before and
+    after; ``anchor`` is its first word. A term is its own ``rival`` if it can begin before it has ended.
     """
     term = F.col("term")
     own = term.isin(*special_terms(special))
     is_word = F.rlike(term, F.lit(rf"^{WORD}+$"))
-    first = F.regexp_extract(F.lower(term), rf"{WORD}+", 0)
-    anchor = F.when(~own & (first != ""), first)
-    # 'Node.js' also matches 'NodeJS': what it must hold is the part before the dot.
-    stem = F.lower(F.when(own & term.endswith(".js"), F.substring_index(term, ".js", 1)).otherwise(term))
-    search = search_pattern(term, special=special, strict=strict)
-    return terms.select(
-        "*",
+    read = terms.select("*", own.alias("_own"), segments(F.lower(term)).alias("_parts"))
+    parts, none = F.col("_parts"), F.lit("")
+    starts, ends = (F.rlike(F.element_at(parts, k), F.lit(f"^{WORD}")) for k in (1, -1))
+    n, lead = F.size(parts), F.when(starts, 0).otherwise(1)
+    length = F.greatest(n - lead - F.when(ends, 0).otherwise(1), F.lit(0))
+    core = F.slice(parts, lead + 1, length)
+    first = F.get(core, 0)
+    # Some words at the start are those at the end, and the same stands between them.
+    border = lambda b: F.slice(core, F.lit(1), b * 2 - 1) == F.slice(core, F.size(core) - b * 2 + 2, b * 2 - 1)
+    shorter = F.when(length > 1, F.sequence(F.lit(1), F.floor(length / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return read.select(
+        *terms.columns,
         term_pattern(term, special=special, strict=strict).alias("pattern"),
-        F.when(is_word, "word").otherwise("phrase").alias("kind"),
-        F.when(is_word, F.lower(term)).otherwise(search).alias("term_key"),
-        anchor.alias("anchor"),
-        F.when(anchor.isNull(), stem).alias("probe"),
+        F.when(F.col("_own"), "own").when(is_word, "word").otherwise("phrase").alias("kind"),
+        F.when(~F.col("_own"), first).alias("anchor"),
+        F.when(starts, none).otherwise(F.element_at(parts, 1)).alias("lead"),
+        core.alias("core"),
+        F.when(ends | (n < 2), none).otherwise(F.element_at(parts, -1)).alias("trail"),
+        F.exists(shorter, border).alias("rival"),
     )
 
 
-def _constant(value: list, kind: str) -> Column:
-    """A list known while planning, folded into the plan as one constant."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _beginnings(texts: DataFrame, words: list[int], before: int, after: int) -> DataFrame:
+    """A row for each word of a text and each number of ``words``: the hash of so many words and what is between.
 
-
-def _phrase_hits(read: DataFrame, phrases: list[Row]) -> DataFrame:
-    """Add ``keys``: the words of a text, and the keys of its phrases, one per mention.
-
-    A phrase is tried only where its anchor is among the words, or its probe in the text.
+    ``before`` and ``after`` are how many symbols beside them are kept, one more than any term has; a blank
+    stands for the start and the end of the text, which no word character can precede or follow.
     """
-    anchors = _constant(sorted({p["anchor"] for p in phrases if p["anchor"]}), "array<string>")
-    listed = _constant([p.asDict() for p in phrases], "array<struct<term_key: string, anchor: string, probe: string>>")
-    tried = F.filter(
-        listed,
-        lambda p: F.when(p["anchor"].isNotNull(), F.array_contains("present", p["anchor"])).otherwise(
-            F.contains(F.col("lowered"), p["probe"])
-        ),
-    )
-    present = read.withColumn("present", F.array_intersect("tokens", anchors))
-    return present.withColumn("keys", F.concat("tokens", _mentions(tried)))
+    parts = F.col("parts")
+    n = F.size(parts)
+    start = F.when(F.rlike(F.get(parts, 0), F.lit(f"^{WORD}")), 1).otherwise(2)
+    places = F.when(n >= start, F.sequence(start, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+    def left(i: Column) -> Column:
+        whole = F.concat(F.when(i == 2, " ").otherwise(""), F.coalesce(F.get(parts, i - 2), F.lit("")))
+        return F.when(i == 1, "").otherwise(F.right(whole, F.lit(before)))
+
+    def right(i: Column, k: int) -> Column:
+        whole = F.concat(F.get(parts, i + (2 * k - 2)), F.when(i + (2 * k - 1) == n, " ").otherwise(""))
+        return F.coalesce(F.left(whole, F.lit(after)), F.lit(""))
+
+    def rows(i: Column) -> Column:
+        word = F.get(parts, i - 1).alias("word")
+        edge = [left(i).alias("left")] if before else []
+        return F.array(
+            *[
+                F.struct(
+                    word,
+                    i.alias("place"),
+                    F.when(i + (2 * k - 2) <= n, F.xxhash64(F.slice(parts, i, F.lit(2 * k - 1)))).alias("key"),
+                    *edge,
+                    *([right(i, k).alias("right")] if after else []),
+                )
+                for k in words
+            ]
+        )
 
+    return texts.select("job_id", F.inline_outer(F.flatten(F.transform(places, rows))))
 
-def _mentions(phrases: Column) -> Column:
-    """The key of each phrase, as often as the text mentions it."""
-    counted = F.transform(
-        phrases, lambda p: F.array_repeat(p["term_key"], F.regexp_count(F.col("lowered"), p["term_key"]))
-    )
-    return F.flatten(counted)
+
+def _edges(strict: bool, before: int, after: int) -> Column:
+    """Whether the symbols beside the words are those of the term, and no word character touches them."""
+    ok = F.lit(True)
+    if before:
+        there = F.col("left") == F.col("lead") if strict else F.endswith("left", F.col("lead")) & (F.length("left") > F.length("lead"))
+        ok = ok & ((F.col("lead") == "") | there)
+    if after:
+        there = F.col("right") == F.col("trail") if strict else F.startswith("right", F.col("trail")) & (F.length("right") > F.length("trail"))
+        ok = ok & ((F.col("trail") == "") | there)
+    return ok
 
 
-def _unfolded(keys: DataFrame, column: Column) -> DataFrame:
-    # The outer form spares Catalyst's filter on the array's size, which would work it out twice.
-    return keys.select("job_id", F.explode_outer(column).alias("term_key"))
+def _by_pattern(texts: DataFrame, terms: list[Row]) -> DataFrame:
+    """Mentions of the few terms that no word leads to, counted where the text is read."""
+    counts = [
+        F.struct(
+            F.lit(t["term"]).alias("term"),
+            F.when(F.contains("lowered", F.lit(t["probe"])), F.regexp_count("text", F.lit(t["pattern"]))).otherwise(0).alias("n"),
+        )
+        for t in terms
+    ]
+    some = F.filter(F.array(*counts), lambda c: c["n"] > 0)
+    return texts.select("job_id", F.inline_outer(some)).filter("n > 0")
 
 
 def extract_terms(docs: DataFrame, terms: DataFrame, *, special: str = "full", strict: bool = False) -> DataFrame:
     """Taxonomy terms found per job with their number of mentions; counts of a name and its aliases add up.
 
-    Single words are found by joining the words of the texts with the taxonomy, phrases by their
-    patterns within the scan.
+    However many terms there are, the plan is the same: each word of a text goes on with the hashes of the words
+    that begin with it, as many as some term has, and these meet the terms' hashes in one join. The text stays
+    where it is read. Terms with a pattern of their own, a fixed list, and terms without a word are counted by
+    pattern within the scan.
     """
-    compiled = compile_terms(terms, special=special, strict=strict)
-    phrases = compiled.filter(F.col("kind") == "phrase").select("term_key", "anchor", "probe").distinct()
-    few = phrases.limit(INLINE_PHRASES + 1).collect()
-    read = docs.select("job_id", F.lower("text").alias("lowered")).withColumn("tokens", words(F.col("lowered")))
-    if not few:
-        found = _unfolded(read, F.col("tokens"))
-    elif len(few) <= INLINE_PHRASES:
-        found = _unfolded(_phrase_hits(read, few), F.col("keys"))
+    compiled = compile_terms(terms, special=special, strict=strict).withColumn("words", ((F.size("core") + 1) / 2).cast("int"))
+    bare = (F.col("kind") == "own") | (F.size("core") == 0)
+    # One row: the numbers of words, and the longest symbols, that the terms have.
+    shape = compiled.filter(~bare).agg(
+        F.sort_array(F.collect_set("words")).alias("words"),
+        F.coalesce(F.max(F.length("lead")), F.lit(0)).alias("lead"),
+        F.coalesce(F.max(F.length("trail")), F.lit(0)).alias("trail"),
+        F.coalesce(F.bool_or("rival"), F.lit(False)).alias("rival"),
+    ).head()
+    stem = F.when(F.col("term").endswith(".js"), F.substring_index("term", ".js", 1)).otherwise(F.col("term"))
+    few = compiled.filter(bare).select("term", "pattern", F.lower(stem).alias("probe")).distinct().limit(BARE_TERMS + 1).collect()
+    if len(few) > BARE_TERMS:
+        raise ValueError(f"more than {BARE_TERMS} terms without a word")
+    before, after = (shape[c] + 1 if shape[c] else 0 for c in ("lead", "trail"))
+    read = docs.select("job_id", "text", F.lower("text").alias("lowered"))
+    labels = ["canonical", "category", "subcategory"]
+    wanted = compiled.filter(~bare).select(
+        F.xxhash64("core").alias("key"), F.col("anchor").alias("word"), "lead", "trail", "term", "rival", "words", *labels
+    )
+    found = _beginnings(read.select("job_id", segments(F.col("lowered")).alias("parts")), shape["words"] or [1], before, after)
+    found = found.join(wanted, ["key", "word"]).filter(_edges(strict, before, after))
+    if shape["rival"]:
+        counted = found.groupBy("job_id", "term", *labels).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sort_array(F.collect_list(F.when(F.col("rival"), F.col("place")))).alias("places"),
+            F.max("words").alias("words"),
+        )
+        found = counted.withColumn("n", F.when(F.size("places") > 0, _apart(F.col("places"), F.col("words"))).otherwise(F.col("n")))
     else:
-        found = _found_by_anchor(read, phrases)
-    wanted = compiled.select("term_key", "canonical", "category", "subcategory")
+        found = found.withColumn("n", F.lit(1).cast("bigint"))
+    found = found.select("job_id", *labels, "n")
+    if few:
+        theirs = compiled.filter(bare).select("term", *labels)
+        found = found.unionByName(_by_pattern(read, few).join(theirs, "term").select("job_id", *labels, F.col("n").cast("bigint").alias("n")))
     return (
-        found.join(wanted, "term_key")
-        .groupBy("job_id", F.col("canonical").alias("skill_name"), "category", "subcategory")
-        .agg(F.count(F.lit(1)).alias("mention_count"))
+        found.groupBy("job_id", F.col("canonical").alias("skill_name"), "category", "subcategory")
+        .agg(F.sum("n").alias("mention_count"))
     )
 
 
-def _found_by_anchor(read: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Words and phrase patterns per text when there are too many phrases to carry along.
+def _apart(places: Column, words: Column) -> Column:
+    """How many of the places, taken from the left, begin after the one before has ended."""
+    none = F.struct(F.lit(0).alias("free"), F.lit(0).cast("bigint").alias("n"))
 
-    The words of a text are joined with the anchors, and the phrases due are brought to their texts.
-    """
-    own = phrases.filter(F.col("anchor").isNull())
-    due = (
-        read.select("job_id", F.explode_outer(F.array_distinct("tokens")).alias("anchor"))
-        .join(phrases.filter(F.col("anchor").isNotNull()), "anchor")
-        .groupBy("job_id")
-        .agg(F.collect_list(F.struct("term_key")).alias("due"))
-    )
-    texts = read.select("job_id", "lowered").join(due, "job_id")
-    by_word = _unfolded(_phrase_hits(read, own.collect()), F.col("keys"))
-    return by_word.unionByName(_unfolded(texts, _mentions(F.col("due"))))
+    def take(held: Column, place: Column) -> Column:
+        taken = F.struct((place + words * 2 - 1).alias("free"), (held["n"] + 1).alias("n"))
+        return F.when(place >= held["free"], taken).otherwise(held)
+
+    return F.aggregate(places, none, take, lambda held: held["n"])
 
 
 def term_coverage(docs: DataFrame, found: DataFrame, *, max_terms: int = 20) -> DataFrame:

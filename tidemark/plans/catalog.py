@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import exact
+from tidemark.functions.patterns import segments
 from tidemark.operators import discovery, extras, ingest, marts, quality, serve, shape, stage, text
 from tidemark.plans import build
 from tidemark.session import scratch_dir
@@ -607,6 +608,21 @@ def extract_terms_basic(spark, sf_dir):
     return text.extract_terms(mapping.documents(spark, sf_dir), _terms(spark), special="basic")
 
 
+@query
+def extract_phrases(spark, sf_dir):
+    """A taxonomy of thousands of phrases: every two and three neighbouring words of the benchmark."""
+    parts = mapping.table(spark, sf_dir, "benchmark").select(segments(F.lower("text")).alias("parts"))
+    some = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: F.rlike(F.get("parts", i - 1), F.lit("^[\\p{L}\\p{N}_]")))
+    phrases = F.transform(some, lambda i: F.array(*[F.array_join(F.slice("parts", i, F.lit(k)), "") for k in (3, 5)]))
+    words = F.split(F.col("name"), r"[^\p{L}\p{N}_]+")
+    once = F.size(F.array_distinct(words)) == F.size(words)  # no phrase can begin within itself
+    names = parts.select(F.explode(F.flatten(phrases)).alias("name")).distinct().filter(F.rlike("name", F.lit("[\\p{L}\\p{N}_]$")) & once)
+    taxonomy = names.select(
+        "name", F.lit("phrase").alias("category"), F.lit("").alias("subcategory"), F.array().cast("array<string>").alias("aliases")
+    )
+    return text.extract_terms(mapping.documents(spark, sf_dir), text.taxonomy_terms(taxonomy))
+
+
 @query
 def term_coverage(spark, sf_dir):
     coverage = text.term_coverage(mapping.documents(spark, sf_dir), _found(spark, sf_dir))

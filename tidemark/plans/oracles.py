@@ -786,6 +786,20 @@ oracle(
 )
 oracle("extract_terms", "SELECT * FROM pt_hits")
 oracle("extract_terms_basic", "SELECT * FROM pt_hits")
+oracle(
+    "extract_phrases",
+    f"""WITH b AS (SELECT regexp_extract_all(lower(text), '[{W}]+|[^{W}]+') AS t FROM benchmark),
+      phrases AS (SELECT DISTINCT array_to_string(t[i:i + k - 1], '') AS name
+        FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM b), (SELECT unnest([3, 5]) AS k)
+        WHERE regexp_matches(t[i], '^[{W}]') AND i + k - 1 <= len(t)),
+      kept AS (SELECT name FROM (SELECT name, regexp_extract_all(name, '[{W}]+') AS w FROM phrases) WHERE len(w) = len(list_distinct(w))),
+      d AS (SELECT job_id, regexp_extract_all(lower(text), '[{W}]+|[^{W}]+') AS t FROM pt_docs),
+      places AS (SELECT job_id, t, unnest(range(1, len(t) + 1)) AS i FROM d),
+      held AS (SELECT job_id, array_to_string(t[i:i + k - 1], '') AS name FROM places, (SELECT unnest([3, 5]) AS k)
+        WHERE regexp_matches(t[i], '^[{W}]') AND i + k - 1 <= len(t))
+      SELECT job_id, name AS skill_name, 'phrase' AS category, '' AS subcategory, count(*) AS mention_count
+      FROM held JOIN kept USING (name) GROUP BY ALL""",
+)
 oracle(
     "rebuild",
     "SELECT job_id, skill_name, mention_count, extraction_method FROM pt_hybrid WHERE verified",
