@@ -168,10 +168,24 @@ def test_one_changed_word_is_still_a_passage_and_every_near_fingerprint_is_found
     index = decontaminate.build_index(list(enumerate(codes)), {int(s): 1.0 for c in codes for s in decontaminate.shingles_of(c)})
     prints = index.fingerprint[:20].copy()
     prints[:, :3] ^= rng.integers(0, 256, (20, 3)).astype(np.uint8)
-    near = np.bitwise_count(prints[:, None] ^ index.fingerprint[None]).sum(2) <= decontaminate.RADIUS
+    near = np.bitwise_count(prints[:, None] ^ index.fingerprint[None]).sum(2) <= index.radius
     assert {tuple(x) for x in decontaminate.within_radius(index, prints).tolist()} == {tuple(x) for x in np.argwhere(near).tolist()}
 
 
+def test_passages_of_uneven_weight_are_found():
+    """Items of which 20 heavy shingles stand in the document and 30 light ones are replaced: overlap 0.8."""
+    rng = np.random.default_rng(4)
+    items = [(k, rng.integers(1, 2**63, 54).astype(np.uint64)) for k in range(200)]
+    rarity = {}
+    for _, codes in items:
+        grams = decontaminate.shingles_of(codes).tolist()
+        rarity |= {g: 6.0 if n < 20 else 1.0 for n, g in enumerate(grams)}
+    index = decontaminate.build_index(items, rarity)
+    for k, codes in items:
+        doc = np.concatenate([rng.integers(1, 2**63, 30).astype(np.uint64), codes[:24], rng.integers(1, 2**63, 60).astype(np.uint64)])
+        assert k in [found[0] for found in decontaminate.search(index, doc)]
+
+
 def test_licenses_against_brute_force(spark, sf_dir, texts):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     for r in catalog.QUERIES["op3_license_scan"](spark, sf_dir).collect():

@@ -3,7 +3,7 @@
 An item's shingles are its runs of five words (all its words, if fewer), weighed by their rarity among the
 items. Over each document slide windows as long as an item; a window's fingerprint is the SimHash of its
 weighted shingles. Fingerprints are cut into blocks, and an index over the items' blocks is asked with every
-block at a small distance, which by the pigeonhole principle returns every item within the radius; what it
+block at a small distance, which by the pigeonhole principle returns every item within its radius; what it
 returns is verified by the exact weighted overlap of shingles. A window that holds no shingle of an item has
 no overlap with it, so windows are made only where some shingle of an item of that size stands.
 """
@@ -11,6 +11,7 @@ no overlap with it, so windows are made only where some shingle of an item of th
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 
 import numpy as np
@@ -24,8 +25,8 @@ from tidemark.llm.common import flat_words, saved, slices, text_of
 SHINGLE = 5
 SIMILAR = 0.8
 BITS, BLOCKS = 64, 8
-#: Fingerprints up to this distance are all found. Overlap 0.8 means about 13 bits, give or take 3.
-RADIUS = 23
+#: Standard deviations of the distance by which an item's radius exceeds what is expected of its worst window.
+ROOM = 4.0
 #: Words of items that one pass over the documents holds; more items take more passes.
 PASS_WORDS = 2_000_000
 TRIM = "\"'`.,;:!?()[]{}<>*_#~|«»“”‘’…-–—/\\&%$@+="
@@ -82,17 +83,35 @@ class Index:
     holder: np.ndarray  # items by shingle
     holder_at: np.ndarray
     fingerprint: np.ndarray  # (items, BLOCKS) bytes
+    radius: np.ndarray  # of each item: fingerprints up to this distance are all found
     table: np.ndarray  # (BLOCKS, 256) items whose block is near, one bit each
     counts: list[dict[int, int]]
 
 
+def radius_of(weights: np.ndarray, other: float) -> int:
+    """The distance that windows with overlap ``SIMILAR`` stay within, by the weights of an item's shingles.
+
+    A bit differs with probability angle / pi. The angle is the widest of two cases: the lightest shingles are
+    missing, as many as the overlap allows, or the heaviest; each is replaced by one of weight ``other``, the most
+    that any shingle weighs.
+    """
+    total, square = weights.sum(), (weights**2).sum()
+    least = 1.0
+    for missing in (np.sort(weights), np.sort(weights)[::-1]):
+        n = int(np.searchsorted(np.cumsum(missing), (1 - SIMILAR) * total + 1e-9, side="right"))
+        shared = square - (missing[:n] ** 2).sum()
+        least = min(least, shared / math.sqrt(square * (shared + n * other**2))) if shared > 0 else 0.0
+    p = math.acos(max(0.0, min(1.0, least))) / math.pi
+    return min(BITS, math.ceil(BITS * p + ROOM * math.sqrt(BITS * p * (1 - p))))
+
+
 def build_index(items: list[tuple[object, np.ndarray]], rarity: dict[int, float]) -> Index:
     kept = [(i, codes) for i, codes in items if len(codes)]
     grams = [shingles_of(codes) for _, codes in kept]
     shingle = np.unique(np.concatenate(grams)) if kept else np.zeros(0, np.uint64)
     weight = np.array([rarity[int(s)] for s in shingle])
     width = np.zeros(len(shingle), dtype=np.int64)
-    pairs, prints, totals, counts = [], [], [], []
+    pairs, prints, totals, counts, reach = [], [], [], [], []
     for n, ((_, codes), g) in enumerate(zip(kept, grams, strict=True)):
         at = np.searchsorted(shingle, g)
         width[at] = min(SHINGLE, len(codes))
@@ -101,11 +120,12 @@ def build_index(items: list[tuple[object, np.ndarray]], rarity: dict[int, float]
         totals.append(weight[at].sum())
         some, c = np.unique(at, return_counts=True)
         counts.append(dict(zip(some.tolist(), c.tolist(), strict=True)))
+        reach.append(radius_of(weight[some] * c, float(weight.max())))
     pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     fingerprint = np.array(prints, dtype=np.uint8).reshape(-1, BLOCKS)
-    reach = RADIUS // BLOCKS
+    radius = np.array(reach, dtype=np.int64)
     value = np.arange(256, dtype=np.uint8)
-    near = np.bitwise_count(value[:, None, None] ^ fingerprint.T[None]) <= reach  # value, block, item
+    near = np.bitwise_count(value[:, None, None] ^ fingerprint.T[None]) <= radius // BLOCKS  # value, block, item
     table = np.packbits(near.transpose(1, 0, 2), axis=2)
     return Index(
         [i for i, _ in kept],
@@ -117,13 +137,14 @@ def build_index(items: list[tuple[object, np.ndarray]], rarity: dict[int, float]
         pairs[:, 1],
         np.searchsorted(pairs[:, 0], np.arange(len(shingle) + 1)),
         fingerprint,
+        radius,
         table,
         counts,
     )
 
 
 def within_radius(index: Index, prints: np.ndarray) -> np.ndarray:
-    """(window, item) pairs at distance RADIUS at most, by the block index."""
+    """(window, item) pairs no further apart than the item's radius, by the block index."""
     out = []
     for start in range(0, len(prints), 4096):
         part = prints[start : start + 4096]
@@ -131,7 +152,7 @@ def within_radius(index: Index, prints: np.ndarray) -> np.ndarray:
         for b in range(1, BLOCKS):
             maybe |= index.table[b][part[:, b]]
         w, i = np.nonzero(np.unpackbits(maybe, axis=1, count=len(index.ids)))
-        near = np.bitwise_count(part[w] ^ index.fingerprint[i]).sum(1) <= RADIUS
+        near = np.bitwise_count(part[w] ^ index.fingerprint[i]).sum(1) <= index.radius[i]
         out.append(np.stack([w[near] + start, i[near]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -171,16 +192,18 @@ def search(index: Index, codes: np.ndarray) -> list[tuple[int, float, int, int]]
         run = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(grams) * weight[:, None], 0)])
         ends = np.minimum(first - base + size - width + 1, len(grams))
         prints = _packed(run[ends] - run[first - base])
-        for w, item in within_radius(index, prints).tolist():
-            if index.words[item] != size:
-                continue
+        for w, near in itertools.groupby(within_radius(index, prints).tolist(), key=lambda pair: pair[0]):
             place = at[first[w] - base : ends[w]][known[first[w] - base : ends[w]]]
             some, c = np.unique(place, return_counts=True)
-            mine = index.counts[item]
-            shared = sum(index.weight[s] * min(k, mine[s]) for s, k in zip(some.tolist(), c.tolist(), strict=True) if s in mine)
-            similar = shared / index.total[item]
-            if similar >= SIMILAR - 1e-9 and similar > best.get(item, (0.0,))[0] + 1e-12:
-                best[item] = (float(min(1.0, similar)), int(first[w]), int(first[w]) + size)
+            there = list(zip(some.tolist(), c.tolist(), strict=True))
+            # What shares no shingle has no overlap.
+            holders = {i for s in some for i in index.holder[index.holder_at[s] : index.holder_at[s + 1]].tolist()}
+            for item in (i for _, i in near if i in holders and index.words[i] == size):
+                mine = index.counts[item]
+                shared = sum(index.weight[s] * min(k, mine[s]) for s, k in there if s in mine)
+                similar = shared / index.total[item]
+                if similar >= SIMILAR - 1e-9 and similar > best.get(item, (0.0,))[0] + 1e-12:
+                    best[item] = (float(min(1.0, similar)), int(first[w]), int(first[w]) + size)
     return [(i, *found) for i, found in sorted(best.items())]
 
 
