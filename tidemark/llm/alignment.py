@@ -13,6 +13,7 @@ import dataclasses
 import functools
 import json
 import os
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,21 @@ from tidemark.llm.common import list_slices, saved, slices, whole
 BLANKS = [c for c in range(0x110000) if chr(c).isspace()] + [0x180E, 0x200B, 0x2060, 0xFEFF]
 
 
+_LIST = "array<int>"
+COLUMNS = {
+    "n_a": "bigint",
+    "n_b": "bigint",
+    "a_ids": _LIST,
+    "b_ids": _LIST,
+    "overlap_a": _LIST,
+    "overlap_b": _LIST,
+    "link_a": _LIST,
+    "link_b": _LIST,
+    "a_linked": _LIST,
+    "b_linked": _LIST,
+    "groups": "string",
+}
+SUMMED = ("n_a", "n_b", "a_linked", "b_linked", "groups")
 #: Bytes of text aligned at once (whole rows).
 SLICE_BYTES = 1_000_000
 #: Bytes of the strings that the byte-level tokenizer gets, about.
@@ -203,7 +219,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def align_batch(left: ByteLevel, right: pieces.Model, texts: pa.Array) -> dict[str, pa.Array]:
+def align_batch(left: ByteLevel, right: pieces.Model, texts: pa.Array, wanted: Sequence[str] = tuple(COLUMNS)) -> dict[str, pa.Array]:
     texts = whole(texts)
     blank = pa.compute.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
     spaced = pa.compute.if_else(pa.compute.equal(texts, ""), texts, blank)
@@ -230,23 +246,30 @@ def align_batch(left: ByteLevel, right: pieces.Model, texts: pa.Array) -> dict[s
     def places(side: Side, which: np.ndarray, at: np.ndarray) -> pa.Array:
         return _lists(which - np.repeat(side.bounds[:-1], np.diff(at)), at)
 
-    return {
-        "a_ids": _lists(a.ids, a.bounds),
-        "b_ids": _lists(b.ids, b.bounds),
-        "overlap_a": places(a, over_a, over_at),
-        "overlap_b": places(b, over_b, over_at),
-        "link_a": places(a, link_a, link_at),
-        "link_b": places(b, link_b, link_at),
-        "groups": group_texts(a, b, link_a, link_b).cast(pa.string()),
+    made = {
+        "n_a": lambda: pa.array(np.diff(a.bounds)),
+        "n_b": lambda: pa.array(np.diff(b.bounds)),
+        "a_ids": lambda: _lists(a.ids, a.bounds),
+        "b_ids": lambda: _lists(b.ids, b.bounds),
+        "overlap_a": lambda: places(a, over_a, over_at),
+        "overlap_b": lambda: places(b, over_b, over_at),
+        "link_a": lambda: places(a, link_a, link_at),
+        "link_b": lambda: places(b, link_b, link_at),
+        "a_linked": lambda: _lists(a.ids[link_a], link_at),
+        "b_linked": lambda: _lists(b.ids[link_b], link_at),
+        "groups": lambda: group_texts(a, b, link_a, link_b).cast(pa.string()),
     }
+    return {c: made[c]() for c in wanted}
 
 
-def align_texts(docs: DataFrame, left: ByteLevel, right: pieces.Model, *, id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: its id and both sides' tokens of a blank and the text.
+def align_texts(
+    docs: DataFrame, left: ByteLevel, right: pieces.Model, *, id_col: str = "doc_id", columns: Sequence[str] = tuple(COLUMNS)
+) -> DataFrame:
+    """One row per input row: its id and both sides' tokens of a blank and the text, as far as ``columns`` asks.
 
-    ``a_ids`` and ``b_ids`` are the ids; ``overlap_a[i]`` and ``overlap_b[i]`` the places (from 0) of two tokens
-    that share bytes; ``link_a`` and ``link_b`` those that end together as well, the last tokens of each group;
-    ``groups`` the ids group by group. A text that is null, empty or not spelt by both sides' tokens (one with
+    ``a_ids`` and ``b_ids`` are the ids, ``n_a`` and ``n_b`` of them; ``overlap_a[i]`` and ``overlap_b[i]`` the places
+    (from 0) of two tokens that share bytes; ``link_a`` and ``link_b`` those that end together as well, the last
+    tokens of each group, and ``a_linked`` and ``b_linked`` their ids; ``groups`` the ids group by group. A text that is null, empty or not spelt by both sides' tokens (one with
     the word mark in it) has no tokens. Null and repeated row ids are kept, other columns left out. Nothing is
     shuffled.
     """
@@ -254,18 +277,12 @@ def align_texts(docs: DataFrame, left: ByteLevel, right: pieces.Model, *, id_col
 
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
-            found = align_batch(*shared.value, batch.column("text"))
+            found = align_batch(*shared.value, batch.column("text"), columns)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *found.values()], [id_col, *found])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "overlap_a", "overlap_b", "link_a", "link_b"))
-    return texts.mapInArrow(run, f"`{id_col}` {kind}, {lists}, groups string")
-
-
-def _ids_at(ids: str, places: str):
-    """The ids at an array of places."""
-    return F.transform(places, lambda k: F.get(F.col(ids), k))
+    return texts.mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} {COLUMNS[c]}' for c in columns)}")
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -288,6 +305,8 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 def summary(aligned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Per row of :func:`align_texts`: sizes, the groups' digest, and how usual its links are in all rows.
 
+    Of its columns those in ``SUMMED`` are needed.
+
     ``n_best`` counts the links whose pair is the most frequent one of its B id, ties included; ``count_sum`` adds up
     the links' counts. Rows without tokens have zeros and an empty digest; an empty table gives no rows.
     """
@@ -295,11 +314,11 @@ def summary(aligned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     kept = saved(
         aligned.select(
             id_col,
-            F.size("a_ids").cast("long").alias("n_a"),
-            F.size("b_ids").cast("long").alias("n_b"),
+            "n_a",
+            "n_b",
             digest.alias("groups_sha256"),
-            _ids_at("a_ids", "link_a").alias("a_linked"),
-            _ids_at("b_ids", "link_b").alias("b_linked"),
+            "a_linked",
+            "b_linked",
         ),
         "links",
     )

@@ -98,7 +98,7 @@ def op11_sentencepiece(spark, sf_dir):
 @query
 def op12_tokenizer_alignment(spark, sf_dir):
     left, right = alignment.load_byte_level(vocabulary_path("byte_bpe_50k.json")), pieces.load_model(vocabulary_path())
-    return alignment.summary(alignment.align_texts(table(spark, sf_dir, "documents"), left, right))
+    return alignment.summary(alignment.align_texts(table(spark, sf_dir, "documents"), left, right, columns=alignment.SUMMED))
 
 
 @query
