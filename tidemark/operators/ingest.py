@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NATURAL_KEY = ("job_platform_id", "country_code")
+#: The folder column of staged postings that are stored by date.
+POSTED = "posted_date"
 
 
 def dedup_first_wins(
@@ -55,11 +58,26 @@ def in_grid(postings: DataFrame, grid: DataFrame) -> DataFrame:
 def recent_postings(
     jobs: DataFrame, *, as_of: date, days: int | None = None, months: int | None = None
 ) -> DataFrame:
-    """Postings of the last ``days``; a month counts 30 days."""
+    """Postings of the last ``days``; a month counts 30 days. A table stored by date is read from its first folder on."""
     span = days if days is not None else (months or 0) * 30
     if not span:
         return jobs
-    return jobs.filter(F.col("job_posted_at") >= F.date_sub(F.lit(as_of), span).cast("timestamp_ntz"))
+    since = F.date_sub(F.lit(as_of), span)
+    recent = jobs.filter(F.col("job_posted_at") >= since.cast("timestamp_ntz"))
+    return recent.filter(F.col(POSTED) >= since).drop(POSTED) if POSTED in jobs.columns else recent
+
+
+def save_by_date(jobs: DataFrame, path: str) -> None:
+    """Staged postings in a folder per posted date; those without a date have a folder of their own.
+
+    Rows are rebalanced by date before writing: Spark splits a date with many postings over several files.
+    """
+    dated = jobs.withColumn(POSTED, F.to_date("job_posted_at")).hint("rebalance", POSTED)
+    dated.write.mode("overwrite").partitionBy(POSTED).parquet(path)
+
+
+def read_by_date(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(POSTED, T.DateType())])).parquet(path)
 
 
 def batch_stats(fetched: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ from tidemark.functions.ranking import split_row_number, value_stats
 from tidemark.session import saved
 
 
+#: What marts read of the enriched rows: no long text, which every skill of a posting would repeat.
+MART_COLUMNS = (
+    "job_id skill_id skill_name skill_category skill_subcategory mention_count job_platform_id search_role country_code "
+    "job_title company_name salary_min salary_max salary_is_predicted salary_currency salary_midpoint contract_type "
+    "contract_time job_posted_at job_posted_date"
+).split()
+
+
 def enriched(job_skills: DataFrame, skills: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row per (job, skill) with skill category, posting columns, pay midpoint and posted date.
 
@@ -177,8 +185,7 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, as_of: date | None = N
     """
     paid = enr.filter(F.col("salary_midpoint") > 0).withColumn("value", half_cents(F.col("salary_midpoint")))
     segment = ["search_role", "country_code"]
-    skill = ["skill_id", *segment, "salary_currency"]
-    names = paid.select("skill_id", "skill_name", "skill_category").distinct()
+    skill = ["skill_id", "skill_name", "skill_category", *segment, "salary_currency"]
     paid_jobs = paid.select("job_id", *segment, "value").distinct()
     market = _pay_stats(paid_jobs, segment, "m", min_jobs=1)
     by_skill = _pay_stats(paid, skill, "s", min_jobs=min_jobs)
@@ -187,7 +194,7 @@ def salary_by_skill(enr: DataFrame, *, min_jobs: int = 5, as_of: date | None = N
     best = Window.partitionBy(*segment).orderBy(
         (F.col("s_total").cast("double") / F.col("s_jobs")).desc(), "skill_name", "skill_id", "salary_currency"
     )
-    ranked = by_skill.join(names, "skill_id").withColumn("rank_by_salary", F.row_number().over(best).cast("bigint"))
+    ranked = by_skill.withColumn("rank_by_salary", F.row_number().over(best).cast("bigint"))
     two_hundred = F.lit(200).cast("decimal(3,0)")
 
     def mean_pay(p: str) -> Column:

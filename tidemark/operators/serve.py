@@ -374,8 +374,8 @@ def role_transitions(sim: DataFrame, *, role: str, easy: float = 0.5, moderate:
 def similarity_matrix(sim: DataFrame, *, roles: list[str] | None = None, long: bool = False) -> DataFrame:
     """Square matrix of Jaccard values: 1 on the diagonal, 0 where a pair is missing.
 
-    ``long=True`` gives the cells (row, col, value) that exist, for many roles. Pass ``roles`` to
-    spare the pivot a pass that looks them up.
+    ``long=True`` gives the cells (row, col, value) that exist, for many roles. ``roles`` limits rows and columns
+    and spares the pivot a pass that looks them up.
     """
     value = F.col("jaccard_similarity")
     there = sim.select(F.col("role_1").alias("row"), F.col("role_2").alias("col"), value.alias("value"))
@@ -383,6 +383,8 @@ def similarity_matrix(sim: DataFrame, *, roles: list[str] | None = None, long: b
     seen = there.select("row").union(back.select("row")).distinct()
     diagonal = seen.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))
     cells = there.unionByName(back).unionByName(diagonal)
+    if roles is not None:
+        cells = cells.filter(F.col("row").isin(roles) & F.col("col").isin(roles))
     if long:
         return cells
     return cells.groupBy("row").pivot("col", roles).agg(F.first("value")).fillna(0.0)

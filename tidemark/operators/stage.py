@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions.exact import exact_ratio
 from tidemark.operators import discovery, text
 from tidemark.operators.ingest import NATURAL_KEY
+from tidemark.session import saved
 
 # --- cleaning ---------------------------------------------------------------------------------
 
@@ -123,6 +126,39 @@ def upsert_tags(target: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(add, same, "full_outer").select(*[pick(c) for c in target.columns])
 
 
+def _in_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(table: DataFrame, path: str, *, keys: Sequence[str], buckets: int) -> None:
+    """A table in folders by a hash of its keys, as :func:`upsert_into` needs it."""
+    spread = _in_buckets(table, keys, buckets).repartition("bucket")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(whole).parquet(path)
+
+
+def upsert_into(
+    path: str, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], *, keys: Sequence[str], buckets: int
+) -> list[int]:
+    """Merge ``new`` rows into the table at ``path``, reading and writing only the buckets that they fall into.
+
+    ``merge(old, new)`` is :func:`upsert_stage` or :func:`upsert_tags`; ``new`` has the table's columns, and
+    ``buckets`` is what the table was written with. Both merges give the same again for the same rows, so a job that failed
+    while it replaced buckets is mended by running it again. Returns the buckets replaced.
+    """
+    spark = new.sparkSession
+    dealt = saved(_in_buckets(new, keys, buckets), "upsert")
+    touched = sorted(r["bucket"] for r in dealt.select("bucket").distinct().collect())  # ``buckets`` at most
+    old = read_buckets(spark, path, new.schema).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = _in_buckets(merge(old, dealt.drop("bucket")), keys, buckets).repartition("bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def assign_tag_ids(found: DataFrame, dim: DataFrame, *, order: str = "job_id") -> tuple[DataFrame, DataFrame]:
     """Found skills with ids, and the dimension grown by the names it lacked.
 
@@ -174,8 +210,8 @@ def rebuild(
 ) -> dict[str, DataFrame]:
     """Staging tables made anew from all raw rows.
 
-    With ``work``, a shared folder, the typed postings are written there first, so that the JSON is
-    parsed once for all tables.
+    With ``work``, a shared folder, the typed postings and the skills found in them are written there first, so
+    that both are worked out once for all tables.
     """
     jobs, bad = flatten_posting(raw)
     if work is not None:
@@ -183,6 +219,10 @@ def rebuild(
         jobs = raw.sparkSession.read.parquet(f"{work}/postings")
     docs = posting_texts(jobs)
     merged, new = text.hybrid_extract(docs, text.taxonomy_terms(taxonomy), **options)
+    if work is not None:
+        merged.write.mode("overwrite").parquet(f"{work}/skills")
+        merged = raw.sparkSession.read.parquet(f"{work}/skills")
+        new = text.new_discoveries(merged)
     spark = raw.sparkSession
     facts, dim = assign_tag_ids(merged, spark.createDataFrame([], schemas.DIM_SKILLS))
     seen = new.join(docs.select("job_id", "context", "seen_at"), "job_id")

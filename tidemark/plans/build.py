@@ -20,12 +20,13 @@ SORTS = {
 
 
 def save_enriched(enr: DataFrame, out: str, *, table: str | None = None, buckets: int = 0) -> DataFrame:
-    """Write the enriched rows once, for all marts to read.
+    """Write the enriched rows once, for all marts to read: the columns that marts use.
 
     With a ``table`` name and ``buckets`` the rows are bucketed by job, so the marts' joins and
     distinct counts by job need no shuffle.
     """
     spark = enr.sparkSession
+    enr = enr.select(*[c for c in enr.columns if c in marts.MART_COLUMNS])
     if table is not None and buckets:
         writer = enr.write.mode("overwrite").option("path", f"{out}/enriched").bucketBy(buckets, "job_id")
         writer.sortBy("job_id").saveAsTable(table)

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import exact
-from tidemark.functions.patterns import segments
-from tidemark.operators import discovery, extras, ingest, marts, quality, serve, shape, stage, text
-from tidemark.plans import build
-from tidemark.session import scratch_dir
+from tidemark.functions.patterns import END, POTENTIAL_TERM, START, segments
+from tidemark.operators import discovery, extras, ingest, marts, quality, serve, shape, sketches, stage, text
+from tidemark.plans import build, objects
+from tidemark.session import saved, scratch_dir
 from tidemark.sources import landing, mapping
 from tidemark.streaming import discoveries as stream_discovery
 from tidemark.streaming import ingest as streams
+from tidemark.streaming import progress as stream_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Of a quantile's rank, by ``sketches.QUANTILE_K``.
+QUANTILE_ERROR = 0.0133
 
 
 def query(fn: Query) -> Query:
@@ -68,6 +71,50 @@ def enriched(spark, sf_dir):
     return mapping.postings(spark, sf_dir).withColumns(money)
 
 
+@query
+def enriched_view(spark, sf_dir):
+    """Pay of paid jobs per currency, by SQL over the registered view and functions."""
+    tables = mapping.job_skills(spark, sf_dir), mapping.skills(spark, sf_dir), mapping.jobs(spark, sf_dir)
+    objects.register_view(spark, *tables, name="enriched_postings")
+    objects.register_functions(spark)
+    return spark.sql(
+        """SELECT search_role, country_code, currency_by_region(lower(substr(country_code, 1, 2))) AS currency, count(*) AS tags,
+          CAST(sum(value_midpoint(salary_min, salary_max)) AS DOUBLE) AS midpoints
+        FROM enriched_postings WHERE skill_category IS NOT NULL GROUP BY search_role, country_code"""
+    )
+
+
+@query
+def jobs_estimated(spark, sf_dir):
+    """Jobs per role and per country from one table of sketches, held against the exact counts."""
+    enr = mapping.postings(spark, sf_dir)
+    stored = saved(sketches.segment_sketches(enr, ["search_role", "country_code"], count="job_id"), "sketches")
+    out = None
+    for level in ("search_role", "country_code"):
+        guess = sketches.distinct_estimates(stored, [level])
+        exact_count = enr.select(level, "job_id").distinct().groupBy(level).agg(F.count(F.lit(1)).alias("jobs"))
+        close = F.abs(F.col("estimate") - F.col("jobs")) <= sketches.distinct_error() * F.col("jobs")
+        one = guess.join(exact_count, level).select(F.lit(level).alias("level"), F.col(level).alias("member"), "jobs", close.alias("within_error"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def pay_quantiles(spark, sf_dir):
+    """Quartiles of pay per role from sketches per role and country; whether their exact ranks are within the error."""
+    jobs = mapping.jobs(spark, sf_dir)
+    paid = jobs.withColumn("value", exact.half_cents(exact.value_midpoint(F.col("salary_min"), F.col("salary_max"))))
+    stored = saved(sketches.segment_sketches(paid, ["search_role", "country_code"], measure="value"), "sketches")
+    wanted = (0.25, 0.5, 0.75)
+    guess = sketches.quantile_estimates(stored, ["search_role"], wanted)
+    ranks = [F.count_if(F.col("value") <= F.get("quantiles", k)).alias(f"r{k}") for k in range(len(wanted))]
+    held = paid.filter(F.col("value").isNotNull()).join(guess, "search_role").groupBy("search_role").agg(F.count(F.lit(1)).alias("jobs"), *ranks)
+    close = F.lit(True)
+    for k, q in enumerate(wanted):
+        close = close & (F.abs(F.col(f"r{k}") / F.col("jobs") - q) <= 2 * QUANTILE_ERROR)
+    return held.select("search_role", "jobs", close.alias("within_error"))
+
+
 @query
 def skill_demand(spark, sf_dir):
     return marts.skill_demand(mapping.postings(spark, sf_dir), top_n=10)
@@ -237,7 +284,8 @@ def role_transitions(spark, sf_dir):
 
 @query
 def similarity_matrix(spark, sf_dir):
-    return serve.similarity_matrix(_similarity(spark, sf_dir), roles=["NATION_6", "NATION_7", "NATION_8", "NATION_9"])
+    """Every role by every role."""
+    return serve.similarity_matrix(_similarity(spark, sf_dir), roles=[f"NATION_{i}" for i in range(25)])
 
 
 @query
@@ -371,6 +419,15 @@ def recent_postings(spark, sf_dir):
     return recent.select("job_id", "search_role", "country_code", "job_posted_at")
 
 
+@query
+def recent_postings_stored(spark, sf_dir):
+    """The same from a table stored by posted date, of which only recent folders are read."""
+    jobs, path = mapping.jobs(spark, sf_dir), scratch_dir(spark, "by-date")
+    ingest.save_by_date(jobs, path)
+    recent = ingest.recent_postings(ingest.read_by_date(spark, path, jobs.schema), as_of=date(1998, 8, 2), months=6)
+    return recent.select("job_id", "search_role", "country_code", "job_posted_at")
+
+
 @query
 def batch_stats(spark, sf_dir):
     return ingest.batch_stats(_event_rows(spark, sf_dir), _fresh_events(spark, sf_dir))
@@ -481,8 +538,7 @@ def region_names(spark, sf_dir):
     return serve.region_names(asked, schemas.countries(spark))
 
 
-@query
-def upsert_stage(spark, sf_dir):
+def _stage_rows(spark, sf_dir):
     jobs = mapping.jobs(spark, sf_dir).select(
         "job_platform_id",
         "country_code",
@@ -494,7 +550,30 @@ def upsert_stage(spark, sf_dir):
     old = jobs.filter(F.col("extracted_at") < F.lit("1997-01-01").cast("timestamp_ntz"))
     new = jobs.filter(F.col("extracted_at") >= F.lit("1996-01-01").cast("timestamp_ntz"))
     new = new.withColumns({"title": F.concat("title", F.lit(" again")), "processed_at": F.lit(AS_OF_TIME).cast("timestamp_ntz")})
-    return stage.upsert_stage(old, new, as_of=AS_OF_TIME)
+    return old, new
+
+
+@query
+def upsert_stage(spark, sf_dir):
+    return stage.upsert_stage(*_stage_rows(spark, sf_dir), as_of=AS_OF_TIME)
+
+
+def _upserted(spark, old, batches, merge, keys):
+    """A table of 16 buckets after the batches, one after the other."""
+    path = scratch_dir(spark, "buckets")
+    stage.write_buckets(old, path, keys=keys, buckets=16)
+    for new in batches:
+        stage.upsert_into(path, new, merge, keys=keys, buckets=16)
+    return stage.read_buckets(spark, path, old.schema).drop("bucket")
+
+
+@query
+def upsert_stage_table(spark, sf_dir):
+    """The same on a stored table, in two batches."""
+    old, new = _stage_rows(spark, sf_dir)
+    early = F.col("extracted_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    merge = lambda have, add: stage.upsert_stage(have, add, as_of=AS_OF_TIME)
+    return _upserted(spark, old, [new.filter(early), new.filter(~early)], merge, ingest.NATURAL_KEY)
 
 
 def _line_tags(spark, sf_dir, lines, stamp):
@@ -510,11 +589,22 @@ def _line_tags(spark, sf_dir, lines, stamp):
     )
 
 
+def _tag_rows(spark, sf_dir):
+    old = _line_tags(spark, sf_dir, F.col("l_linenumber") <= 3, datetime(2023, 1, 1))
+    return old, _line_tags(spark, sf_dir, F.col("l_linenumber") >= 3, datetime(2024, 1, 1))
+
+
 @query
 def upsert_tags(spark, sf_dir):
-    old = _line_tags(spark, sf_dir, F.col("l_linenumber") <= 3, datetime(2023, 1, 1))
-    new = _line_tags(spark, sf_dir, F.col("l_linenumber") >= 3, datetime(2024, 1, 1))
-    return stage.upsert_tags(old, new)
+    return stage.upsert_tags(*_tag_rows(spark, sf_dir))
+
+
+@query
+def upsert_tags_table(spark, sf_dir):
+    """The same on a stored table, in two batches of jobs."""
+    old, new = _tag_rows(spark, sf_dir)
+    even = F.col("job_id") % 2 == 0
+    return _upserted(spark, old, [new.filter(even), new.filter(~even)], stage.upsert_tags, ("job_id", "skill_id"))
 
 
 @query
@@ -560,6 +650,35 @@ def rebuild(spark, sf_dir):
     return skills.select(F.col("posting").alias("job_id"), "skill_name", "mention_count", "extraction_method")
 
 
+@query
+def rebuild_tables(spark, sf_dir):
+    """All five tables staged anew, by their keys; every fortieth document has an older payload that is no object."""
+    raw, work = mapping.document_postings(spark, sf_dir), scratch_dir(spark, "rebuild")
+    broken = raw.filter(F.col("job_platform_id").cast("bigint") % 40 == 7).withColumn("raw_data", F.lit("[]"))
+    tables = stage.rebuild(raw.unionByName(broken), mapping.taxonomy(spark), as_of=AS_OF_TIME, work=work, mode="discover_all")
+    jobs = tables["stg_jobs"]
+    ids = jobs.select("job_id", "job_platform_id")
+    line = lambda *columns: F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    shown = {
+        "stg_jobs": jobs.select(F.col("job_platform_id").alias("key"), F.col("country_code").alias("value")),
+        "stg_job_skills": tables["stg_job_skills"].join(ids, "job_id").select(
+            line("job_platform_id", "skill_name").alias("key"), line("mention_count", "verified", "extraction_method").alias("value")
+        ),
+        "dim_skills": tables["dim_skills"].select(
+            F.col("skill_name").alias("key"), line("skill_category", "skill_subcategory").alias("value")
+        ),
+        "discoveries": tables["discoveries"].select(
+            F.col("skill_key").alias("key"), line("name", "occurrence_count", "first_seen").alias("value")
+        ),
+        "quarantine": tables["quarantine"].select(F.col("job_platform_id").alias("key"), F.col("parse_error").alias("value")),
+    }
+    out = None
+    for name, rows in shown.items():
+        one = rows.select(F.lit(name).alias("table_name"), "key", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def layer_counts(spark, sf_dir):
     return stage.layer_counts(
@@ -643,6 +762,20 @@ def candidate_terms(spark, sf_dir):
     return text.candidate_terms(mapping.documents(spark, sf_dir))
 
 
+def _technical_words():
+    """A finder as a model would be: made once per worker, asked with lists of texts."""
+    import regex
+
+    looks = regex.compile(f"{START}{POTENTIAL_TERM}{END}")
+    return lambda texts: [[{"text": t, "label": "other", "score": 0.8} for t in looks.findall(text)] for text in texts]
+
+
+@query
+def candidate_terms_finder(spark, sf_dir):
+    """Candidates by a finder of the user's own, which looks for what the built-in one does."""
+    return text.candidate_terms(mapping.documents(spark, sf_dir), _technical_words)
+
+
 def _graded(spark, sf_dir):
     """Candidates with labels and scores that vary with their length."""
     size = F.length("text")
@@ -747,6 +880,21 @@ def stream_ingest(spark, sf_dir):
     return _shown(spark.read.parquet(f"{out}/stg_jobs"))
 
 
+@query
+def stream_progress(spark, sf_dir):
+    """What the ingesting stream reports of its batches, added up."""
+    out = scratch_dir(spark, "stream-progress")
+    listener = stream_log.ProgressTable(spark, f"{out}/progress")
+    spark.streams.addListener(listener)
+    try:
+        folder = _landing_folder(spark, sf_dir)
+        listener.wait(streams.stream_ingest(spark, folder, out, f"{out}/checkpoint", max_files=60))
+    finally:
+        spark.streams.removeListener(listener)
+    totals = stream_log.run_totals(stream_log.batch_progress(spark, f"{out}/progress"))
+    return totals.select("total_fetched", "total_inserted", "duplicates_skipped", "known_keys")
+
+
 def _discovered(spark, sf_dir, **options):
     """Documents staged in three files and taken by the stream: its output folder and its checkpoint."""
     out = scratch_dir(spark, "stream-discoveries")

@@ -108,7 +108,7 @@ part(
 )
 
 
-def demand_sql(top_n: int) -> str:
+def demand_sql(top_n: int | None) -> str:
     return f"""
     SELECT skill_id, skill_name, skill_category, skill_subcategory, search_role, country_code, job_count,
       total_jobs AS total_jobs_for_role, demand_percentage, avg_salary_min, avg_salary_max, avg_salary_midpoint,
@@ -125,10 +125,11 @@ def demand_sql(top_n: int) -> str:
           {mean_units("hi_cents", 100)} AS avg_salary_max, {mean_units("mid_half", 200)} AS avg_salary_midpoint
         FROM pt_enr GROUP BY ALL) c
       JOIN pt_totals t ON c.search_role = t.search_role AND c.country_code = t.country_code)
-    WHERE rank_in_role_country <= {top_n}"""
+    {"" if top_n is None else f"WHERE rank_in_role_country <= {top_n}"}"""
 
 
 part("pt_demand", demand_sql(50))
+part("pt_uncut", demand_sql(None))
 part("pt_demand10", demand_sql(10))
 
 part(
@@ -180,7 +181,7 @@ part(
 )
 
 
-def leaderboard_sql(top_n: int) -> str:
+def leaderboard_sql(top_n: int | None) -> str:
     return f"""
     WITH c AS (
       SELECT company_name, search_role, country_code, count(DISTINCT job_id) AS job_count,
@@ -202,10 +203,11 @@ def leaderboard_sql(top_n: int) -> str:
         AS rank_in_role_country FROM c)
     SELECT r.*, k.rank_in_country, k.company_total_jobs_in_country, r.search_role AS roles_hiring
     FROM r LEFT JOIN k ON r.company_name = k.company_name AND r.country_code = k.country_code
-    WHERE rank_in_role_country <= {top_n}"""
+    {"" if top_n is None else f"WHERE rank_in_role_country <= {top_n}"}"""
 
 
 part("pt_lb", leaderboard_sql(100))
+part("pt_segments", leaderboard_sql(None))
 part("pt_lb10", leaderboard_sql(10))
 
 part(
@@ -286,6 +288,27 @@ oracle(
       search_role, country_code, job_title, company_name, salary_currency, contract_type, contract_time, job_posted_at,
       job_posted_date, {MONEY_ENR} FROM pt_enr""",
 )
+oracle(
+    "enriched_view",
+    """SELECT search_role, country_code,
+      CASE lower(substr(country_code, 1, 2)) WHEN 'gb' THEN 'GBP' WHEN 'us' THEN 'USD' WHEN 'au' THEN 'AUD' WHEN 'br' THEN 'BRL'
+        WHEN 'ca' THEN 'CAD' WHEN 'in' THEN 'INR' WHEN 'mx' THEN 'MXN' WHEN 'nz' THEN 'NZD' WHEN 'pl' THEN 'PLN'
+        WHEN 'ru' THEN 'RUB' WHEN 'sg' THEN 'SGD' WHEN 'za' THEN 'ZAR'
+        ELSE CASE WHEN lower(substr(country_code, 1, 2)) IN ('at', 'be', 'de', 'fr', 'it', 'nl') THEN 'EUR' ELSE 'USD' END END AS currency,
+      count(*) AS tags,
+      CAST(sum((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) * 0.5::DECIMAL(2, 1)) AS DOUBLE) AS midpoints
+      FROM pt_enr WHERE skill_category IS NOT NULL GROUP BY 1, 2""",
+)
+oracle(
+    "jobs_estimated",
+    """SELECT 'search_role' AS level, search_role AS member, count(DISTINCT job_id) AS jobs, true AS within_error FROM pt_enr GROUP BY 2
+      UNION ALL SELECT 'country_code', country_code, count(DISTINCT job_id), true FROM pt_enr GROUP BY 2""",
+)
+oracle(
+    "pay_quantiles",
+    """SELECT search_role, count(*) AS jobs, true AS within_error FROM pt_jobs
+      WHERE coalesce(salary_min, salary_max) IS NOT NULL GROUP BY 1""",
+)
 oracle("skill_demand", "SELECT * FROM pt_demand10")
 oracle("skill_cooccurrence", "SELECT * FROM pt_pairs WHERE cooccurrence_count >= 60")
 oracle("salary_by_skill", "SELECT * FROM pt_sal")
@@ -308,7 +331,7 @@ oracle(
       {mean_exact("demand_percentage", 2)} AS demand_percentage, {mean_exact("avg_salary_min")} AS avg_salary_min,
       {mean_exact("avg_salary_max")} AS avg_salary_max, {mean_exact("avg_salary_midpoint")} AS avg_salary_midpoint,
       min(rank_in_role_global) AS rank_in_role_global
-      FROM pt_demand WHERE search_role = 'BUILDING' GROUP BY ALL ORDER BY job_count DESC, skill_name LIMIT 30""",
+      FROM pt_uncut WHERE search_role = 'BUILDING' GROUP BY ALL ORDER BY job_count DESC, skill_name LIMIT 30""",
 )
 oracle(
     "demand_all",
@@ -407,15 +430,15 @@ oracle(
     f"""SELECT company_name, search_role, sum(job_count)::BIGINT AS job_count,
       {", ".join(f"{mean_exact(c)} AS {c}" for c in ("avg_salary_min", "avg_salary_max", "avg_salary_midpoint"))},
       sum(full_time_count)::BIGINT AS full_time_count, sum(part_time_count)::BIGINT AS part_time_count,
-      sum(contract_count)::BIGINT AS contract_count FROM pt_lb WHERE search_role = 'BUILDING' GROUP BY 1, 2
+      sum(contract_count)::BIGINT AS contract_count FROM pt_segments WHERE search_role = 'BUILDING' GROUP BY 1, 2
       ORDER BY job_count DESC, company_name LIMIT 50""",
 )
 MIX = """SELECT coalesce(sum(full_time_count), 0)::BIGINT AS full_time, coalesce(sum(part_time_count), 0)::BIGINT AS part_time,
-      coalesce(sum(contract_count), 0)::BIGINT AS contract FROM pt_lb WHERE search_role = 'BUILDING'"""
+      coalesce(sum(contract_count), 0)::BIGINT AS contract FROM pt_segments WHERE search_role = 'BUILDING'"""
 oracle("contract_mix", MIX)
 oracle(
     "company_search",
-    """SELECT company_name, search_role, country_code, sum(job_count)::BIGINT AS job_count FROM pt_lb
+    """SELECT company_name, search_role, country_code, sum(job_count)::BIGINT AS job_count FROM pt_segments
       WHERE company_name ILIKE '%R#0000001%' GROUP BY 1, 2, 3
       ORDER BY job_count DESC, company_name, search_role, country_code LIMIT 20""",
 )
@@ -435,7 +458,7 @@ part(
       UNION ALL SELECT role_2, role_1, jaccard_similarity FROM pt_sim
       UNION ALL SELECT r, r, 1.0::DOUBLE FROM (SELECT role_1 AS r FROM pt_sim UNION SELECT role_2 FROM pt_sim)""",
 )
-MATRIX_ROLES = ["NATION_6", "NATION_7", "NATION_8", "NATION_9"]
+MATRIX_ROLES = [f"NATION_{i}" for i in range(25)]
 oracle(
     "similarity_matrix",
     'SELECT "row", '
@@ -487,7 +510,7 @@ oracle(
     "category_share",
     f"""SELECT skill_category, job_count, {ratio("job_count", "total", 4)} AS share FROM (
       SELECT coalesce(nullif(skill_category, ''), 'Other') AS skill_category, sum(job_count)::BIGINT AS job_count,
-        (SELECT sum(job_count)::BIGINT FROM pt_demand) AS total FROM pt_demand GROUP BY 1)""",
+        (SELECT sum(job_count)::BIGINT FROM pt_uncut) AS total FROM pt_uncut GROUP BY 1)""",
 )
 oracle(
     "top_n_by",
@@ -550,6 +573,7 @@ oracle(
     """SELECT job_id, search_role, country_code, job_posted_at FROM pt_jobs
       WHERE job_posted_at >= DATE '1998-08-02' - INTERVAL 180 DAY""",
 )
+oracle("recent_postings_stored", ORACLES["recent_postings"])
 oracle(
     "batch_stats",
     """SELECT e.extraction_batch_id, e.n AS total_fetched, coalesce(f.n, 0) AS total_inserted,
@@ -602,6 +626,11 @@ part(
 )
 oracle("flatten_posting", "SELECT * FROM pt_staged")
 oracle("stream_ingest", "SELECT * FROM pt_staged")
+oracle(
+    "stream_progress",
+    """SELECT n + again AS total_fetched, n AS total_inserted, again AS duplicates_skipped, n AS known_keys
+      FROM (SELECT count(*) AS n, count(*) FILTER (WHERE job_id % 10 = 0) AS again FROM pt_jobs WHERE job_id % 97 <> 0)""",
+)
 oracle(
     "posting_quarantine",
     """SELECT page_id AS id, url AS job_platform_id, 'payload is not a JSON object' AS parse_error
@@ -630,6 +659,7 @@ oracle(
            ELSE TIMESTAMP '2024-01-01 12:00:00' END AS processed_at
       FROM pt_jobs""",
 )
+oracle("upsert_stage_table", ORACLES["upsert_stage"])
 oracle(
     "upsert_tags",
     """SELECT l_orderkey AS job_id, CAST(substr(p_brand, 7) AS BIGINT) AS skill_id, p_brand AS skill_name,
@@ -638,9 +668,10 @@ oracle(
       CASE WHEN min(l_linenumber) <= 3 THEN TIMESTAMP '2023-01-01' ELSE TIMESTAMP '2024-01-01' END AS extracted_at
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
 )
+oracle("upsert_tags_table", ORACLES["upsert_tags"])
 SNAPSHOT = """skill_id, skill_name, search_role, country_code, job_count, demand_percentage, avg_salary_min,
       avg_salary_max"""
-oracle("snapshot_demand", f"SELECT DATE '2024-01-01' AS snapshot_date, {SNAPSHOT} FROM pt_demand")
+oracle("snapshot_demand", f"SELECT DATE '2024-01-01' AS snapshot_date, {SNAPSHOT} FROM pt_uncut")
 part(
     "pt_founds",
     """SELECT l_orderkey AS job_id, p_brand AS skill_name, min(p_type) AS category, count(*) AS mention_count,
@@ -788,7 +819,7 @@ oracle("extract_terms", "SELECT * FROM pt_hits")
 oracle("extract_terms_basic", "SELECT * FROM pt_hits")
 oracle(
     "extract_phrases",
-    f"""WITH b AS (SELECT regexp_extract_all(lower(text), '[{W}]+|[^{W}]+') AS t FROM benchmark),
+    f"""SELECT * FROM (WITH b AS (SELECT regexp_extract_all(lower(text), '[{W}]+|[^{W}]+') AS t FROM benchmark),
       phrases AS (SELECT DISTINCT array_to_string(t[i:i + k - 1], '') AS name
         FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM b), (SELECT unnest([3, 5]) AS k)
         WHERE regexp_matches(t[i], '^[{W}]') AND i + k - 1 <= len(t)),
@@ -798,12 +829,21 @@ oracle(
       held AS (SELECT job_id, array_to_string(t[i:i + k - 1], '') AS name FROM places, (SELECT unnest([3, 5]) AS k)
         WHERE regexp_matches(t[i], '^[{W}]') AND i + k - 1 <= len(t))
       SELECT job_id, name AS skill_name, 'phrase' AS category, '' AS subcategory, count(*) AS mention_count
-      FROM held JOIN kept USING (name) GROUP BY ALL""",
+      FROM held JOIN kept USING (name) GROUP BY ALL)""",
 )
 oracle(
     "rebuild",
     "SELECT job_id, skill_name, mention_count, extraction_method FROM pt_hybrid WHERE verified",
 )
+oracle(
+    "rebuild_tables",
+    f"""SELECT 'stg_jobs' AS table_name, CAST(job_id AS VARCHAR) AS key, lang AS value FROM pt_docs
+      UNION ALL SELECT 'stg_job_skills', job_id || '|' || skill_name, mention_count || '|' || verified || '|' || extraction_method
+        FROM pt_merged
+      UNION ALL SELECT 'dim_skills', skill_name, any_value(category || '|' || subcategory) FROM pt_merged GROUP BY skill_name
+      UNION ALL SELECT 'discoveries', skill_key, name || '|' || occurrence_count || '|' || first_seen FROM pt_alldisc
+      UNION ALL SELECT 'quarantine', CAST(job_id AS VARCHAR), 'payload is not a JSON object' FROM pt_docs WHERE job_id % 40 = 7""",
+)
 oracle(
     "term_coverage",
     """SELECT l.job_id, coalesce(k, 0) AS matched_skills, coalesce(m, 0)::BIGINT AS total_mentions,
@@ -815,6 +855,7 @@ oracle(
 )
 oracle("route_docs", "SELECT * FROM pt_routed")
 oracle("candidate_terms", "SELECT * FROM pt_cands")
+oracle("candidate_terms_finder", "SELECT * FROM pt_cands")
 oracle(
     "clean_candidates",
     f"""SELECT job_id, position, text AS skill_name,
@@ -940,7 +981,7 @@ oracle(
 
 
 def snapshot_at(year: int) -> str:
-    known = demand_sql(50).replace("pt_totals", f"(SELECT search_role, country_code, count(DISTINCT job_id) AS total_jobs "
+    known = demand_sql(None).replace("pt_totals", f"(SELECT search_role, country_code, count(DISTINCT job_id) AS total_jobs "
         f"FROM pt_enr WHERE job_posted_at < TIMESTAMP '{year}-01-01' GROUP BY ALL)")
     known = known.replace("FROM pt_enr GROUP BY ALL) c", f"FROM pt_enr WHERE job_posted_at < TIMESTAMP '{year}-01-01' GROUP BY ALL) c")
     return f"SELECT DATE '{year}-01-01' AS snapshot_date, {SNAPSHOT} FROM ({known})"

@@ -90,15 +90,18 @@ def stream_ingest(
     A key is new once: its first sight by time and role is landed, later ones never. With a ``horizon`` ('30
     days'), keys leave the state when they have not come for that long, so its size is bounded; a posting that
     comes again later is landed again, and which of a key's sights in the same batch is taken is not defined.
+    The stream reports rows ``fetched`` and ``inserted`` per batch (see ``progress``).
     """
     keep_state_on_disk(spark)
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).json(landing)
+    seen = sightings(pages).observe("landing", F.count(F.lit(1)).alias("fetched"))
     if horizon is None:
-        new = first_sights(sightings(pages))
+        new = first_sights(seen)
         taken = new.filter(F.col("first.extracted_at") == F.col("last")).select(*NATURAL_KEY, "first.*")
     else:
-        timed = sightings(pages).withColumn("seen", F.current_timestamp()).withWatermark("seen", horizon)
+        timed = seen.withColumn("seen", F.current_timestamp()).withWatermark("seen", horizon)
         taken = timed.dropDuplicatesWithinWatermark(list(NATURAL_KEY)).drop("seen")
+    taken = taken.observe("fresh", F.count(F.lit(1)).alias("inserted"))
 
     def land(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
