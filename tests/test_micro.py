@@ -99,9 +99,7 @@ ENTRIES = [
 BODY = "Machine Learning, big data big data;big-data a a a a. ML mlx ÉLAN VITAL élan x_y x y data_ C machine  learning"
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
-def test_phrases_as_brute_force(spark, monkeypatch, inline):
-    monkeypatch.setattr(text, "INLINE_PHRASES", inline)
+def test_phrases_as_brute_force(spark):
     assert found(spark, BODY, *ENTRIES) == brute(BODY, ENTRIES)
     assert found(spark, BODY, *ENTRIES, strict=True) == brute(BODY, ENTRIES)
 

@@ -50,9 +50,11 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         mapping.table(spark, sf_dir, "customer")
         .groupBy(F.col("c_mktsegment").alias("role_name"))
-        .agg(
-            F.when(F.min("c_acctbal") < 0, "mixed").otherwise("solvent").alias("role_category"),
-            (F.avg("c_custkey") >= 0).alias("is_active"),
+        .agg(F.when(F.min("c_acctbal") < 0, "mixed").otherwise("solvent").alias("role_category"))
+        .select(
+            "role_name",
+            "role_category",
+            (F.col("role_name") != "FURNITURE").alias("is_active"),
         )
     )
 

@@ -500,7 +500,7 @@ oracle(
 part(
     "pt_roles",
     """SELECT c_mktsegment AS role_name, CASE WHEN min(c_acctbal) < 0 THEN 'mixed' ELSE 'solvent' END AS role_category,
-      avg(c_custkey) >= 0 AS is_active FROM customer GROUP BY 1""",
+      c_mktsegment <> 'FURNITURE' AS is_active FROM customer GROUP BY 1""",
 )
 oracle("active_roles", "SELECT role_name, role_category FROM pt_roles WHERE is_active")
 
