@@ -26,7 +26,7 @@ PROGRESS = T.StructType(
 
 
 class ProgressTable(StreamingQueryListener):
-    """Stores a row for each batch of the streams that write their state to ``checkpoint``, under ``path``.
+    """Stores a row for each batch of the session's ingesting streams under ``path``.
 
     A batch that is run again has a row for each run; :func:`batch_progress` takes the last one.
     """
