@@ -282,6 +282,16 @@ def test_toxicity_learns_words(spark):
     assert p[0] > 0.5 > 0.3 > p[1] and p[2] < 0.3
 
 
+def test_toxicity_learns_from_every_label(spark):
+    rows = [(i, f"a b w{i % 7}" + (" idiot" if i % 3 == 0 else "") + (" seldom" if i % 10 == 0 else ""), "en", int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    models = [toxicity.fit(d, docs.select("doc_id", "toxic"), rows=20) for d in (docs, docs.repartition(3))]
+    code, _ = toxicity.hashed(pa.array(["seldom"]))
+    assert code[0] in models[0].known
+    one, two = (toxicity.scores(m, pa.array(["a b w1", "a b idiot w2", ""])) for m in models)
+    assert (one == two).all() and one[1] > one[0]
+
+
 def test_near_duplicates_against_brute_force(spark, sf_dir, docs, texts):
     got = {r["doc_id"]: r for r in catalog.QUERIES["op8_minhash_neardup"](spark, sf_dir).collect()}
     n, counters = neardup.document_frequencies(docs)
