@@ -79,3 +79,21 @@ def test_one_plan_for_any_number_of_terms(spark, sf_dir):
     empty = text.extract_terms(mapping.documents(spark, sf_dir), text.taxonomy_terms(spark.createDataFrame([], TAXONOMY)))
     assert empty.count() == 0
     assert many.agg(F.count(F.lit(1))).head()[0] > 0
+
+
+def test_words_that_begin_no_term_stay_in_the_scan(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "big data and big cats"), (2, None), (3, "none here")], "job_id bigint, text string")
+    entries = text.taxonomy_terms(spark.createDataFrame([("big data", "x", "y", ["cats"])], TAXONOMY))
+    met = []
+    real = text._beginnings
+
+    def spy(*args):
+        met.append(real(*args))
+        return met[-1]
+
+    monkeypatch.setattr(text, "_beginnings", spy)
+    got = [text.extract_terms(docs, entries).collect()]
+    assert met[-1].filter("word is not null").count() == 6  # big, big and cats, for one and for two words
+    monkeypatch.setattr(text, "ANCHORS", 1)
+    got.append(text.extract_terms(docs, entries).collect())
+    assert got[0] == got[1] and got[0][0]["mention_count"] == 2

@@ -17,6 +17,8 @@ from tidemark.schemas import CANDIDATES, generic_words, label_categories
 
 # Terms that hold no word at all, which are rare; more of them are an error.
 BARE_TERMS = 1000
+# Up to so many first words of terms are looked for within the scan; with more of them, every word meets the join.
+ANCHORS = 10_000
 
 Finder = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
@@ -64,9 +66,10 @@ def compile_terms(terms: DataFrame, *, special: str = "full", strict: bool = Fal
     )
 
 
-def _beginnings(texts: DataFrame, words: list[int], before: int, after: int) -> DataFrame:
+def _beginnings(texts: DataFrame, words: list[int], before: int, after: int, anchors: list[str] | None) -> DataFrame:
     """A row for each word of a text and each number of ``words``: the hash of so many words and what is between.
 
+    With ``anchors``, only for words that some term begins with.
     ``before`` and ``after`` are how many symbols beside them are kept, one more than any term has; a blank
     stands for the start and the end of the text, which no word character can precede or follow.
     """
@@ -74,6 +77,8 @@ def _beginnings(texts: DataFrame, words: list[int], before: int, after: int) ->
     n = F.size(parts)
     start = F.when(F.rlike(F.get(parts, 0), F.lit(f"^{WORD}")), 1).otherwise(2)
     places = F.when(n >= start, F.sequence(start, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    if anchors is not None:
+        places = F.filter(places, lambda i: F.get(parts, i - 1).isin(anchors))
 
     def left(i: Column) -> Column:
         whole = F.concat(F.when(i == 2, " ").otherwise(""), F.coalesce(F.get(parts, i - 2), F.lit("")))
@@ -148,13 +153,15 @@ def extract_terms(docs: DataFrame, terms: DataFrame, *, special: str = "full", s
     few = compiled.filter(bare).select("term", "pattern", F.lower(stem).alias("probe")).distinct().limit(BARE_TERMS + 1).collect()
     if len(few) > BARE_TERMS:
         raise ValueError(f"more than {BARE_TERMS} terms without a word")
+    first = [r["anchor"] for r in compiled.filter(~bare).select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    anchors = sorted(first) if len(first) <= ANCHORS else None
     before, after = (shape[c] + 1 if shape[c] else 0 for c in ("lead", "trail"))
     read = docs.select("job_id", "text", F.lower("text").alias("lowered"))
     labels = ["canonical", "category", "subcategory"]
     wanted = compiled.filter(~bare).select(
         F.xxhash64("core").alias("key"), F.col("anchor").alias("word"), "lead", "trail", "term", "rival", "words", *labels
     )
-    found = _beginnings(read.select("job_id", segments(F.col("lowered")).alias("parts")), shape["words"] or [1], before, after)
+    found = _beginnings(read.select("job_id", segments(F.col("lowered")).alias("parts")), shape["words"] or [1], before, after, anchors)
     found = found.join(wanted, ["key", "word"]).filter(_edges(strict, before, after))
     if shape["rival"]:
         counted = found.groupBy("job_id", "term", *labels).agg(
