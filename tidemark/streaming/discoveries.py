@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -36,6 +35,7 @@ def _in_micros(kind: T.DataType) -> T.DataType:
 
 #: A total: the counted columns without the key, and the last batch it holds.
 TOTAL = T.StructType([*_in_micros(discovery.COUNTED).fields[1:], T.StructField("batch", T.LongType())])
+CONTEXT = TOTAL["contexts"].dataType.elementType.fieldNames()
 TOUCHED = T.StructType([T.StructField("skill_key", T.StringType()), *TOTAL.fields])
 
 
@@ -64,16 +64,16 @@ class Totals(StatefulProcessor):
     def init(self, handle) -> None:
         self.total = handle.getValueState("total", TOTAL)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         total = None
         if self.total.exists():
             held = self.total.get()
             total = (*held[:9], [tuple(c) for c in held[9]], held[10])
-        for part in rows:
-            for row in part.sort_values("batch").itertuples(index=False):
-                total = added(total, row)
+        for row in sorted(rows, key=lambda r: r.batch):
+            total = added(total, row)
         self.total.update(total)
-        yield pd.DataFrame([(key[0], *total)], columns=TOUCHED.fieldNames())
+        contexts = [Row(**dict(zip(CONTEXT, c, strict=True))) for c in total[9]]
+        yield Row(**dict(zip(TOUCHED.fieldNames(), (key[0], *total[:9], contexts, total[10]), strict=True)))
 
     def close(self) -> None:
         pass
@@ -97,7 +97,7 @@ def _count_up(spark: SparkSession, out: str, checkpoint: str) -> list[int]:
     """Take new counts into the totals; the numbers of the ``touched`` folders written."""
     whole = T.StructType([*discovery.COUNTED.fields, T.StructField("batch", T.LongType())])
     parts = spark.readStream.schema(whole).option("ignoreMissingFiles", True).parquet(f"{out}/counts")
-    totals = _with_times(parts, _micros).groupBy("skill_key").transformWithStateInPandas(Totals(), TOUCHED, "Update", "None")
+    totals = _with_times(parts, _micros).groupBy("skill_key").transformWithState(Totals(), TOUCHED, "Update", "None")
     runs: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
