@@ -59,3 +59,9 @@ def test_bucketed_rows_join_by_job_without_a_shuffle(spark, sf_dir):
     want = {tuple(r) for r in marts.skill_cooccurrence(mapping.postings(spark, sf_dir)).collect()}
     assert {tuple(r) for r in marts.skill_cooccurrence(saved).collect()} == want
     spark.sql("DROP TABLE bucketed_postings")
+
+
+def test_lines_are_dealt_by_job_in_tasks_of_one_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mapping, "TASK_ROWS", 100)
+    n = -(-mapping.table(spark, sf_dir, "lineitem").count() // 100)
+    assert "job_id#" in plan(mapping.job_skills(spark, sf_dir)) and f", {n}), REPARTITION_BY_NUM" in plan(mapping.job_skills(spark, sf_dir))
