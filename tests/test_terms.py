@@ -63,8 +63,7 @@ def test_names_and_aliases_add_up(spark):
 
 
 def test_one_plan_for_any_number_of_terms(spark, sf_dir):
-    from tidemark.plans import catalog
-    from tidemark.sources import mapping
+        from tidemark.sources import mapping
 
     def shape(df) -> list[str]:
         shown = df._jdf.queryExecution().optimizedPlan().toString()
@@ -97,3 +96,11 @@ def test_words_that_begin_no_term_stay_in_the_scan(spark, monkeypatch):
     monkeypatch.setattr(text, "ANCHORS", 1)
     got.append(text.extract_terms(docs, entries).collect())
     assert got[0] == got[1] and got[0][0]["mention_count"] == 2
+
+
+def test_words_are_unfolded_and_not_looked_at_one_by_one_in_arrays(spark):
+    docs = spark.createDataFrame([(1, "Red hat, red  hat; blue")], "job_id bigint, text string")
+    terms = spark.createDataFrame([("red hat", "Red Hat", "a", ""), ("blue", "Blue", "a", "")], "term string, canonical string, category string, subcategory string")
+    found = text.extract_terms(docs, terms)
+    assert {(r["skill_name"], r["mention_count"]) for r in found.collect()} == {("Red Hat", 1), ("Blue", 1)}
+    assert "posexplode" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -69,42 +69,31 @@ def compile_terms(terms: DataFrame, *, special: str = "full", strict: bool = Fal
 def _beginnings(texts: DataFrame, words: list[int], before: int, after: int, anchors: list[str] | None) -> DataFrame:
     """A row for each word of a text and each number of ``words``: the hash of so many words and what is between.
 
-    With ``anchors``, only for words that some term begins with.
+    With ``anchors``, only for words that some term begins with. Words are unfolded to rows first and hashed after that
+    choice, so that Spark compiles the whole way; functions over arrays it would interpret word by word.
     ``before`` and ``after`` are how many symbols beside them are kept, one more than any term has; a blank
     stands for the start and the end of the text, which no word character can precede or follow.
     """
-    parts = F.col("parts")
+    parts, word, i = F.col("parts"), F.col("word"), F.col("place")
     n = F.size(parts)
-    start = F.when(F.rlike(F.get(parts, 0), F.lit(f"^{WORD}")), 1).otherwise(2)
-    places = F.when(n >= start, F.sequence(start, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    if anchors is not None:
-        places = F.filter(places, lambda i: F.get(parts, i - 1).isin(anchors))
+    start = F.when(F.rlike(F.get(parts, 0), F.lit(f"^{WORD}")), 0).otherwise(1).alias("start")
+    placed = texts.select("job_id", "parts", start).select("job_id", "parts", "start", F.posexplode_outer("parts").alias("at", "word"))
+    chosen = F.col("at") % 2 == F.col("start") if anchors is None else word.isin(anchors)
+    placed = placed.filter(chosen).select("job_id", "parts", "word", (F.col("at") + 1).alias("place"))
 
-    def left(i: Column) -> Column:
-        whole = F.concat(F.when(i == 2, " ").otherwise(""), F.coalesce(F.get(parts, i - 2), F.lit("")))
-        return F.when(i == 1, "").otherwise(F.right(whole, F.lit(before)))
+    left = F.concat(F.when(i == 2, " ").otherwise(""), F.coalesce(F.get(parts, i - 2), F.lit("")))
+    left = F.when(i == 1, "").otherwise(F.right(left, F.lit(before)))
 
-    def right(i: Column, k: int) -> Column:
+    def right(k: int) -> Column:
         whole = F.concat(F.get(parts, i + (2 * k - 2)), F.when(i + (2 * k - 1) == n, " ").otherwise(""))
         return F.coalesce(F.left(whole, F.lit(after)), F.lit(""))
 
-    def rows(i: Column) -> Column:
-        word = F.get(parts, i - 1).alias("word")
-        edge = [left(i).alias("left")] if before else []
-        return F.array(
-            *[
-                F.struct(
-                    word,
-                    i.alias("place"),
-                    F.when(i + (2 * k - 2) <= n, F.xxhash64(F.slice(parts, i, F.lit(2 * k - 1)))).alias("key"),
-                    *edge,
-                    *([right(i, k).alias("right")] if after else []),
-                )
-                for k in words
-            ]
-        )
+    def key(k: int) -> Column:
+        return F.when(i + (2 * k - 2) <= n, F.xxhash64(F.slice(parts, i, F.lit(2 * k - 1))))
 
-    return texts.select("job_id", F.inline_outer(F.flatten(F.transform(places, rows))))
+    each = [F.struct(key(k).alias("key"), *([right(k).alias("right")] if after else [])) for k in words]
+    edge = [left.alias("left")] if before else []
+    return placed.select("job_id", "word", "place", *edge, F.inline_outer(F.array(*each)))
 
 
 def _edges(strict: bool, before: int, after: int) -> Column:
@@ -383,13 +372,16 @@ def hybrid_extract(
     min_known: int = 5,
     sample_rate: float = 0.1,
     special: str = "full",
+    found: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Taxonomy hits for all jobs, candidates for the routed ones, merged.
 
+    ``found`` is what :func:`extract_terms` gives for them, if it is there already.
+
     The built-in finder is cheaper than a second look at the texts, so it runs on all of them and
     its rows are routed after the shuffle by job. A custom finder sees only the texts routed to it.
     """
-    found = extract_terms(docs, terms, special=special)
+    found = extract_terms(docs, terms, special=special) if found is None else found
     rule = {"mode": mode, "min_known": min_known, "sample_rate": sample_rate}
     if mode == "fast_only":
         nothing = docs.sparkSession.createDataFrame([], CANDIDATES)
@@ -408,9 +400,8 @@ def hybrid_extract(
 
 def extraction_stats(routed: DataFrame, merged: DataFrame) -> DataFrame:
     """Totals of one extraction run in one row."""
-    skills = merged.agg(
-        F.count_if("verified").alias("verified_skills"), F.count_if(~F.col("verified")).alias("unverified_skills")
-    )
+    pair = F.struct(F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
+    skills = merged.agg(pair.alias("pair")).scalar()  # asked twice, worked out once
     total = F.col("total_extractions")
     runs = routed.agg(
         F.count(F.lit(1)).alias("total_extractions"),
@@ -419,8 +410,8 @@ def extraction_stats(routed: DataFrame, merged: DataFrame) -> DataFrame:
     )
     return runs.withColumns(
         {
-            "verified_skills": skills.select("verified_skills").scalar(),
-            "unverified_skills": skills.select("unverified_skills").scalar(),
+            "verified_skills": skills["verified"],
+            "unverified_skills": skills["unverified"],
             "fast_path_ratio": F.col("fast_path_only") / F.greatest(F.lit(1), total),
             "finder_ratio": F.col("finder_invoked") / F.greatest(F.lit(1), total),
         }
