@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.patterns import special_terms
 from tidemark.operators import text
+from tidemark.plans import catalog
 from tidemark.schemas import TAXONOMY
 
 W = r"[\p{L}\p{N}_]"
@@ -63,7 +64,8 @@ def test_names_and_aliases_add_up(spark):
 
 
 def test_one_plan_for_any_number_of_terms(spark, sf_dir):
-        from tidemark.sources import mapping
+    from tidemark.plans import catalog
+    from tidemark.sources import mapping
 
     def shape(df) -> list[str]:
         shown = df._jdf.queryExecution().optimizedPlan().toString()
@@ -104,3 +106,10 @@ def test_words_are_unfolded_and_not_looked_at_one_by_one_in_arrays(spark):
     found = text.extract_terms(docs, terms)
     assert {(r["skill_name"], r["mention_count"]) for r in found.collect()} == {("Red Hat", 1), ("Blue", 1)}
     assert "posexplode" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_extraction_stats_finds_the_terms_once(spark, sf_dir, monkeypatch):
+    calls, whole = [], text.extract_terms
+    monkeypatch.setattr(text, "extract_terms", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    catalog.QUERIES["extraction_stats"](spark, sf_dir)
+    assert len(calls) == 1
