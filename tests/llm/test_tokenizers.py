@@ -174,3 +174,21 @@ def test_linked_pairs_end_alike(byte_level, model):
         by_bytes[token].append(i)
     long = {(a, b) for b, token in enumerate(model.pieces) for k in range(len(token)) for a in by_bytes.get(token[k:], ())}
     assert len(short | long) == 324_298
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.common import give_back
+
+    held = [pa.array(np.arange(100_000)).cast(pa.string()) for _ in range(20)]
+    del held
+    give_back()
+    with open("/proc/self/statm") as f:
+        before = int(f.read().split()[1])
+    held = [str(i) * 4 for i in range(1_000_000)]
+    del held
+    give_back()
+    with open("/proc/self/statm") as f:
+        assert (int(f.read().split()[1]) - before) * 4096 < 40_000_000

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
-from tidemark.llm.common import list_slices, saved, slices, whole
+from tidemark.llm.common import give_back, list_slices, saved, slices, whole
 
 #: What some pattern engine may take for a blank; only between other letters is a text cut.
 BLANKS = [c for c in range(0x110000) if chr(c).isspace()] + [0x180E, 0x200B, 0x2060, 0xFEFF]
@@ -279,6 +279,8 @@ def align_texts(
         for batch in slices(batches, "text", SLICE_BYTES):
             found = align_batch(*shared.value, batch.column("text"), columns)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *found.values()], [id_col, *found])
+            del found
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
@@ -297,6 +299,8 @@ def pair_counts(linked: DataFrame) -> DataFrame:
             a, b = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("a_linked", "b_linked"))
             code, n = np.unique((a << 32) | b, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code >> 32), pa.array(code & (2**32 - 1)), pa.array(n)], ["a", "b", "n"])
+            del a, b, code, n
+            give_back()
 
     parts = linked.select("a_linked", "b_linked").mapInArrow(run, "a bigint, b bigint, n bigint")
     return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -342,6 +346,8 @@ def summary(aligned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
             links = pa.array(np.diff(bounds))
             sums = [pa.array(np.diff(x[bounds]).astype(np.int64)) for x in (best, upto)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), links, links, *sums, batch.column("groups_sha256")], names)
+            del a, b, some, inverse, count, upto, best, sums
+            give_back()
 
     kind = aligned.schema[id_col].dataType.simpleString()
     return kept.mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} bigint' for c in names[1:-1])}, groups_sha256 string")
