@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import flat_words, remainder, row_sums, saved, slices
+from tidemark.llm.common import flat_words, give_back, remainder, row_sums, saved, slices
 
 END, START = 1, 2
 #: Counts above this are not discounted.
@@ -67,6 +67,8 @@ def coded_slices(docs: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict({k: pa.array([v], _type(k, batch)) for k, v in row.items()})
             seen += 1
+            del row, code, names, words, bounds, coded, order, place
+            give_back()
 
     def _type(name, batch):
         kinds = {"doc_ids": pa.list_(batch.schema.field("doc_id").type), "train": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "names": pa.binary(), "code": pa.binary()}
@@ -127,7 +129,7 @@ def tally(asked: DataFrame, kind: type) -> DataFrame:
     ``tops`` has of these keys how many have a sum of 1, 2, ... TRUSTED + 1, how many there are, and their whole sum.
     """
 
-    def run(group: pa.Table) -> pa.Table:
+    def summed(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["slice"])
         keys = [np.cumsum(_unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
         addends = np.concatenate([_unpacked(r["addends"], kind).reshape(-1, len(k)) for r, k in zip(rows, keys, strict=True)], axis=1)
@@ -145,6 +147,11 @@ def tally(asked: DataFrame, kind: type) -> DataFrame:
             start += len(k)
         return pa.Table.from_pylist(told, pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("sums", pa.binary()), ("first", pa.binary()), ("tops", pa.list_(pa.int64()))]))
 
+    def run(group: pa.Table) -> pa.Table:
+        told = summed(group)
+        give_back()
+        return told
+
     return asked.groupBy("part").applyInArrow(run, TOLD)
 
 
@@ -188,6 +195,7 @@ def _rows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            give_back()
 
 
 def score(docs: DataFrame) -> DataFrame:
