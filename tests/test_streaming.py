@@ -66,6 +66,19 @@ def test_a_batch_reads_its_own_rows_only(spark):
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
 
 
+def test_landed_text_is_the_page_s_own_and_a_bad_result_costs_no_page(spark):
+    """Keys in the page's order; a result with a key twice is quarantined and does not take its neighbours with it."""
+    out = scratch_dir(spark, "test-text")
+    results = ['{"title":"b","id":1,"x":1.50}', '{"id":2,"id":2}', '{"title":"c"}', "null", "7", '{"id":"3"}']
+    rows = spark.createDataFrame([(f'{{"results":[{",".join(results)}],"count":6}}',)], "value string")
+    rows.coalesce(1).write.text(f"{out}/pages/search_role=R/country_code=gb")
+    stream_ingest(spark, f"{out}/pages", out, f"{out}/check").awaitTermination()
+    raw = {r["job_platform_id"]: r["raw_data"] for r in spark.read.parquet(f"{out}/raw").collect()}
+    assert raw["1"] == results[0] and raw["3"] == results[5]
+    assert {r["job_platform_id"] for r in spark.read.parquet(f"{out}/quarantine").collect()} == {"2"}
+    assert {r["job_platform_id"] for r in spark.read.parquet(f"{out}/stg_jobs").collect()} == {"1", "3"}
+
+
 def test_the_first_role_of_a_batch_wins(spark):
     out = scratch_dir(spark, "test-first")
     for role in ("B", "A", "C"):

@@ -24,8 +24,16 @@ def currency_by_region(df: DataFrame, *, default: str = schemas.DEFAULT_CURRENCY
     return df.withColumn("salary_currency", F.coalesce(F.try_element_at(known, F.col("country_code")), F.lit(default)))
 
 
-def _field(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("_posting", f"$.{path}", kind)
+#: What is read of a posting. All is taken in one pass over it, as each lookup by path goes through its keys again.
+POSTING = (
+    "struct<title string, company variant, description string, location struct<display_name string, area array<string>>,"
+    " category struct<tag string, label string>, salary_min decimal(18,2), salary_max decimal(18,2), salary_is_predicted variant,"
+    " contract_type string, contract_time string, redirect_url string, created string>"
+)
+
+
+def _field(path: str) -> Column:
+    return F.col(f"_read.{path}")
 
 
 def _text(path: str) -> Column:
@@ -34,9 +42,10 @@ def _text(path: str) -> Column:
 
 def _company() -> Column:
     """The company's name, whether it comes as an object, as plain text or not at all."""
-    company = _field("company", "variant")
+    company = _field("company")
     is_object = F.schema_of_variant(company).startswith("OBJECT")
-    return F.when(company.isNull(), "").when(is_object, _text("company.display_name")).otherwise(_text("company"))
+    name = F.when(is_object, F.try_variant_get(company, "$.display_name", "string")).otherwise(F.try_variant_get(company, "$", "string"))
+    return F.coalesce(name, F.lit(""))
 
 
 def _posted_at() -> Column:
@@ -52,9 +61,10 @@ def flatten_posting(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = raw.withColumn("_posting", F.try_parse_json("raw_data"))
     fine = F.col("_posting").isNotNull() & F.ltrim("raw_data").startswith("{")
     bad = parsed.filter(~fine).drop("_posting").withColumn("parse_error", F.lit("payload is not a JSON object"))
-    predicted = _field("salary_is_predicted", "variant")
+    predicted = _field("salary_is_predicted")
     is_text = F.schema_of_variant(predicted) == "STRING"
-    good = parsed.filter(fine).select(
+    read = parsed.filter(fine).withColumn("_read", F.try_variant_get("_posting", "$", POSTING)).drop("_posting")
+    good = read.select(
         F.xxhash64(*NATURAL_KEY).alias("job_id"),
         "job_platform_id",
         "search_role",
@@ -63,12 +73,12 @@ def flatten_posting(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         _company().alias("company_name"),
         _text("description").alias("description"),
         _text("location.display_name").alias("location_display"),
-        F.coalesce(_field("location.area", "array<string>"), F.array().cast("array<string>")).alias("location_areas"),
+        F.coalesce(_field("location.area"), F.array().cast("array<string>")).alias("location_areas"),
         _text("category.tag").alias("category_tag"),
         _text("category.label").alias("category_label"),
-        _field("salary_min", "decimal(18,2)").alias("salary_min"),
-        _field("salary_max", "decimal(18,2)").alias("salary_max"),
-        F.coalesce(is_text & (_field("salary_is_predicted") == "1"), F.lit(False)).alias("salary_is_predicted"),
+        _field("salary_min").alias("salary_min"),
+        _field("salary_max").alias("salary_max"),
+        F.coalesce(is_text & (F.try_variant_get(predicted, "$", "string") == "1"), F.lit(False)).alias("salary_is_predicted"),
         _text("contract_type").alias("contract_type"),
         _text("contract_time").alias("contract_time"),
         _text("redirect_url").alias("redirect_url"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.schemas import TAXONOMY
 
 PAGE = T.StructType(
-    [T.StructField("results", T.ArrayType(T.VariantType())), T.StructField("count", T.LongType())]
+    [T.StructField("results", T.ArrayType(T.StringType())), T.StructField("count", T.LongType())]
 )
 
 
@@ -21,19 +21,20 @@ def landed_rows(
 ) -> DataFrame:
     """One row per result of a page. ``pages`` hold results, search_role and country_code; works on streams.
 
-    Further columns of the pages named in ``keep`` come last.
+    ``raw_data`` is the result's text as the page has it. Only its id is parsed here: a result that is no object, or has
+    no id, is dropped. Further columns of the pages named in ``keep`` come last.
     """
     stamp = F.current_timestamp() if as_of is None else F.lit(as_of)
     results = pages.select("search_role", "country_code", *keep, F.explode("results").alias("posting"))
     return (
-        results.withColumn("job_platform_id", F.try_variant_get("posting", "$.id", "string"))
+        results.withColumn("job_platform_id", F.try_variant_get(F.from_json("posting", "id variant")["id"], "$", "string"))
         .filter(F.col("job_platform_id").isNotNull())
         .select(
             F.xxhash64("job_platform_id", "country_code").alias("id"),
             "job_platform_id",
             "search_role",
             "country_code",
-            F.to_json("posting").alias("raw_data"),
+            F.col("posting").alias("raw_data"),
             stamp.cast("timestamp_ntz").alias("extracted_at"),
             F.lit(batch_id).alias("extraction_batch_id"),
             *keep,

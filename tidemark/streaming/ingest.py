@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.ingest import NATURAL_KEY
+from tidemark.operators.ingest import NATURAL_KEY, dedup_first_wins
 from tidemark.operators.stage import flatten_posting
 from tidemark.schemas import RAW_POSTINGS
 from tidemark.sources.landing import PAGE, landed_rows
@@ -30,7 +30,6 @@ SIGHT = T.StructType(
         T.StructField("extracted_at", T.TimestampNTZType()),
         T.StructField("search_role", T.StringType()),
         T.StructField("file", T.StringType()),
-        T.StructField("content", T.LongType()),
     ]
 )
 
@@ -54,31 +53,31 @@ def keep_state_on_disk(spark: SparkSession) -> None:
 
 
 def sightings(pages: DataFrame) -> DataFrame:
-    """Where each posting of the pages stands: its key, time, role, ``file`` and a hash of its ``content``."""
+    """Where each posting of the pages stands: its key, time, role and ``file``."""
     rows = landed_rows(pages.withColumn("file", F.col("_metadata.file_path")), batch_id="", keep=["file"])
-    return rows.withColumn("content", F.xxhash64("raw_data")).select(SIGHT.fieldNames())
+    return rows.select(SIGHT.fieldNames())
 
 
 def first_sights(seen: DataFrame) -> DataFrame:
     """Of a stream of sightings, the keys of a batch with their first sight ever and the time of the last."""
-    values = F.struct("extracted_at", "search_role", "file", "content")
+    values = F.struct("extracted_at", "search_role", "file")
     return seen.groupBy(*NATURAL_KEY).agg(F.min(values).alias("first"), F.max("extracted_at").alias("last"))
 
 
 def postings_seen(spark: SparkSession, landing: str, fresh: DataFrame, *, batch_id: str) -> DataFrame:
     """The landing rows of the sights in ``fresh``, read again from their files.
 
-    The files are those of one batch, so the source's limit on files bounds their list.
+    The files are those of one batch, so the source's limit on files bounds their list. They hold each new key's first
+    sight, so the first one of a key in them by role and file is it; of several in a file, any will do but always the same.
     """
     files = [r["file"] for r in fresh.select("file").distinct().collect()]
     if not files:
         return spark.createDataFrame([], RAW_POSTINGS)
     pages = spark.read.schema(PAGES).option("basePath", landing).json(files)
     rows = landed_rows(pages.withColumn("file", F.col("_metadata.file_path")), batch_id=batch_id, keep=["file"])
-    where = [*NATURAL_KEY, "search_role", "file", "content"]
-    found = rows.drop("extracted_at").withColumn("content", F.xxhash64("raw_data")).join(fresh, where)
-    # The same posting may stand twice in a file.
-    return found.dropDuplicates(list(NATURAL_KEY)).select(RAW_POSTINGS.fieldNames())
+    sorted_by = rows.drop("extracted_at").withColumn("content", F.xxhash64("raw_data"))
+    first = dedup_first_wins(sorted_by, None, order=("search_role", "file", "content"))
+    return first.join(fresh.select(*NATURAL_KEY, "extracted_at"), list(NATURAL_KEY)).select(RAW_POSTINGS.fieldNames())
 
 
 def stream_ingest(
