@@ -9,7 +9,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tidemark.functions.patterns import special_terms
+from tidemark.functions.patterns import END, POTENTIAL_TERM, START, special_terms
 from tidemark.operators import text
 from tidemark.plans import catalog
 from tidemark.schemas import TAXONOMY
@@ -113,3 +113,13 @@ def test_extraction_stats_finds_the_terms_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(text, "extract_terms", lambda *a, **k: calls.append(1) or whole(*a, **k))
     catalog.QUERIES["extraction_stats"](spark, sf_dir)
     assert len(calls) == 1
+
+
+def test_a_technical_word_is_matched_without_going_back():
+    """No part gives letters back, and what is found is what the pattern that did so found."""
+    assert regex.fullmatch(f"{POTENTIAL_TERM}b", "a-bb") is None
+    backing = r"(?:[A-Z][a-z]+[A-Z][a-z]*|[A-Z]{2,}|[a-zA-Z]+\p{Nd}+|[a-zA-Z]+-[a-zA-Z]+)"
+    draw = random.Random(3)
+    for _ in range(3000):
+        line = "".join(draw.choices("AbCd12-_é ", k=14))
+        assert regex.findall(f"{START}{POTENTIAL_TERM}{END}", line) == regex.findall(f"{START}{backing}{END}", line), line

@@ -33,8 +33,9 @@ BASIC_TERMS = {
     "C#": r"(?<![a-zA-Z])C#(?![a-zA-Z])",
     ".NET": r"(?<![a-zA-Z])\.NET(?![a-zA-Z])",
 }
-# Text that looks like a technical term: CamelCase, CAPITALS, letters with digits, hyphenated.
-POTENTIAL_TERM = r"(?:[A-Z][a-z]+[A-Z][a-z]*|[A-Z]{2,}|[a-zA-Z]+\p{Nd}+|[a-zA-Z]+-[a-zA-Z]+)"
+# Text that looks like a technical term: CamelCase, CAPITALS, letters with digits, hyphenated. No part can give back
+# letters and match, as a word character would follow, so none tries to.
+POTENTIAL_TERM = r"(?:[A-Z][a-z]++[A-Z][a-z]*+|[A-Z]{2,}+|[a-zA-Z]++(?:\p{Nd}++|-[a-zA-Z]++))"
 # ---------------------------------------------------------------------------------------------
 
 IGNORE_CASE = "(?iu)"
