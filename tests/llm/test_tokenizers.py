@@ -192,3 +192,18 @@ def test_a_worker_gives_back_what_it_has_freed():
     give_back()
     with open("/proc/self/statm") as f:
         assert (int(f.read().split()[1]) - before) * 4096 < 40_000_000
+
+
+def test_parts_met_in_an_earlier_slice_are_not_encoded_again(monkeypatch):
+    import public_tokenizers
+
+    left = alignment.load_byte_level(str(public_tokenizers.path("byte_bpe_50k.json")))
+    new, encode = [], alignment._encode_new
+    monkeypatch.setattr(alignment, "_encode_new", lambda side, parts, plain: new.extend(parts.to_pylist()) or encode(side, parts, plain))
+    texts = pa.array([" zyx wvu zyx", None, " a  b", ""])
+    once = alignment.encode_byte_level(left, texts)
+    assert " zyx" in new and len(new) == len(set(new))
+    new.clear()
+    again = alignment.encode_byte_level(left, texts)
+    assert not new
+    assert all((a == b).all() for a, b in zip(once, again, strict=True))

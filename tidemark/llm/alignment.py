@@ -47,6 +47,9 @@ SUMMED = ("n_a", "n_b", "a_linked", "b_linked", "groups")
 SLICE_BYTES = 1_000_000
 #: Bytes of the strings that the byte-level tokenizer gets, about.
 JOINED_BYTES = 16_384
+#: Parts whose ids a worker remembers from slice to slice, at most, and their letters.
+KNOWN_PARTS = 300_000
+KNOWN_LETTERS = 32
 
 
 @dataclasses.dataclass(frozen=True)
@@ -119,7 +122,31 @@ def encode_byte_level(side: ByteLevel, texts: pa.Array) -> tuple[np.ndarray, np.
     return out, part_bounds[np.searchsorted(starts, bounds)]
 
 
+@functools.lru_cache(maxsize=2)
+def _known(spec: str) -> dict[str, bytes]:
+    """Ids of the short parts that this worker has met in earlier slices."""
+    return {}
+
+
 def _encode_parts(side: ByteLevel, parts: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each part in turn. The same words fill most slices, so only those not met lately are encoded."""
+    names, known = parts.to_pylist(), _known(side.spec)
+    coded = [known.get(name) for name in names]
+    new = np.flatnonzero([ids is None for ids in coded])
+    if len(new):
+        ids, bounds = _encode_new(side, parts.take(pa.array(new)), plain[new])
+        held, at = ids.astype(np.int32).tobytes(), (bounds * 4).tolist()
+        for i, a, b in zip(new.tolist(), at, at[1:], strict=False):
+            coded[i] = held[a:b]
+        short = [i for i in new.tolist() if len(names[i]) <= KNOWN_LETTERS]
+        if len(known) + len(short) > KNOWN_PARTS:
+            known.clear()
+        known.update((names[i], coded[i]) for i in short[:KNOWN_PARTS])
+    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4)])
+    return np.frombuffer(b"".join(coded), dtype=np.int32).astype(np.int64), upto
+
+
+def _encode_new(side: ByteLevel, parts: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each part in turn; the plain ones are joined to strings of some size and told apart by their bytes."""
     joined = parts.filter(pa.array(plain))
     ends = np.cumsum(np.asarray(pa.compute.binary_length(joined)))
