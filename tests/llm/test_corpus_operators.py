@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import catalog, components, decontaminate, embeddings, katz, language, license, mixing, neardup, pii, tokens, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import saved, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, spans string, words string"
@@ -261,6 +261,18 @@ def test_held_out_labels_change_no_score(spark, sf_dir):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_components_of_links_that_are_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "saved", lambda df, purpose: written.append(purpose) or saved(df, purpose))
+    links = spark.createDataFrame([(0, 4), (5, 0), (0, 5), (1, 2), (3, 3)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert got == {0: 0, 4: 0, 5: 0, 1: 1, 2: 1} and "cc-round" not in written
+    written.clear()
+    chain = spark.createDataFrame([(0, 1), (1, 2)], "a bigint, b bigint")
+    assert {r["node"]: r["root"] for r in components.components(chain).collect()} == {0: 0, 1: 0, 2: 0}
+    assert written.count("cc-round") == 1
+
+
 def test_components_that_do_not_end_are_an_error(spark):
     chain = spark.range(60).selectExpr("id a", "id + 1 b")
     assert components.components(chain).filter("root = 0").count() == 61

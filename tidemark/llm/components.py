@@ -17,23 +17,23 @@ def components(links: DataFrame, *, rounds: int = 100) -> DataFrame:
     least neighbour is a minimum. Links that are not done after ``rounds`` are an error.
     """
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-links")
-    for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("best"))
+    for turn in range(rounds + 1):
+        # Each link from both of its ends, in one read. What is known of a node's neighbours tells whether to go on, too.
+        ends = F.array(*(F.struct(F.col(x).alias("of"), F.col(y).alias("other")) for x, y in (("hi", "lo"), ("lo", "hi"))))
+        below, above = F.count_if(F.col("other") < F.col("of")), F.count_if(F.col("other") > F.col("of"))
+        least = edges.select(F.inline(ends)).groupBy("of").agg(F.min("other").alias("best"), below.alias("below"), above.alias("above"))
+        least = saved(least, "cc-least")
+        # Done when every node has one link downwards at most and no node is both below and above.
+        if not least.filter("below > 1 or (below = 1 and above > 0)").take(1):
+            break
+        if turn == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         # Large star: each larger neighbour links to the least of the neighbourhood and the node.
-        up = edges.join(least.withColumn("best", F.least("best", "of")), F.col("lo") == F.col("of")).select("hi", F.col("best").alias("lo"))
-        large = up.distinct()
+        to = least.select("of", F.least("best", "of").alias("best"))
+        large = edges.join(to, F.col("lo") == F.col("of")).select("hi", F.col("best").alias("lo")).distinct()
         # Small star: the smaller neighbours and the node link to the least of them.
         floor = large.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("best"))
         down = large.join(floor, F.col("hi") == F.col("of"))
         small = down.select(F.col("lo").alias("hi"), F.col("best").alias("lo")).unionAll(floor.select(F.col("of").alias("hi"), F.col("best").alias("lo")))
-        new = saved(small.filter("hi <> lo").distinct(), "cc-round")
-        # Done when every node has one link and no node is both below and above.
-        left = new.select(F.count(F.lit(1)), F.count_distinct("hi")).head()
-        stars = left[0] == left[1] and not new.select("lo").join(new.select(F.col("hi").alias("lo")), "lo", "left_semi").take(1)
-        edges = new
-        if stars:
-            break
-    else:
-        raise RuntimeError(f"components are not complete after {rounds} rounds")
+        edges = saved(small.filter("hi <> lo").distinct(), "cc-round")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

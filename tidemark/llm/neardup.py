@@ -341,7 +341,9 @@ def classes(docs: DataFrame, *, similar: float = SIMILAR) -> tuple[DataFrame, Da
                 links = links.unionAll(more)
                 root = saved(components(links), "dup-roots")
     ended = nodes.join(root, "node", "left").select("node", "doc_id", "n_docs", F.coalesce("root", "node").alias("class_node"))
-    return saved(ended, "dup-classes"), links
+    ended = saved(ended, "dup-classes")
+    sketch.destroy()  # all that needs it is written
+    return ended, links
 
 
 def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
